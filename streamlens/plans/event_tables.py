@@ -39,7 +39,7 @@ def cell_seconds(spark: SparkSession, sf_dir: str) -> int:
     return _measured[place]
 
 
-def raw_frames(events: DataFrame) -> DataFrame:
+def raw_frames(events: DataFrame, *extra: Column | str) -> DataFrame:
     kind = F.col("event_type")
     media = (
         F.when(kind.isin("view", "click"), "video")
@@ -53,15 +53,22 @@ def raw_frames(events: DataFrame) -> DataFrame:
         media.alias("media"),
         (kind == "view").alias("is_key"),
         F.col("value").alias("size"),
+        *extra,
     )
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, *extra: Column | str) -> DataFrame:
     return to_frames(
-        raw_frames(read_events(spark, sf_dir)), cell_seconds=cell_seconds(spark, sf_dir)
+        raw_frames(read_events(spark, sf_dir), *extra), cell_seconds=cell_seconds(spark, sf_dir)
     )
 
 
+def video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video frames, asked for by the stored column so that the file reader can skip others."""
+    everything = frames(spark, sf_dir, "event_type")
+    return everything.filter(F.col("event_type").isin("view", "click")).drop("event_type")
+
+
 def commands(events: DataFrame) -> DataFrame:
     action = F.create_map(
         *[F.lit(x) for x in ("signup", "start", "error", "stop", "purchase", "update")]

@@ -14,7 +14,7 @@ from streamlens.operators.cells import measure_cell_seconds
 from streamlens.plans import event_tables as ev
 from streamlens.plans import mixer, recorder, screenshot
 from streamlens.sinks.frames import name_frames, push_stream
-from streamlens.sources.frames import stream_durations, video_only
+from streamlens.sources.frames import stream_durations
 from streamlens.sources.packets import media_inventory, probe_streams
 from streamlens.streaming import operators as live
 
@@ -29,10 +29,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _video(spark: SparkSession, sf: str) -> DataFrame:
-    return video_only(ev.frames(spark, sf))
-
-
 @query
 def frames_base(spark, sf):
     return ev.frames(spark, sf)
@@ -94,18 +90,14 @@ def route_media_by_index(spark, sf):
         F.array(*[F.lit(x) for x in ("error", "click", "view", "signup", "purchase")]),
         F.col("event_type"),
     )
-    raw = ev.raw_frames(events.withColumn("user_id", F.col("user_id")))
-    indexed = raw.join(
-        events.select(F.col("event_id").alias("frame_id"), index.cast("int").alias("stream_index")),
-        "frame_id",
-    )
+    indexed = ev.raw_frames(events, index.cast("int").alias("stream_index"))
     routed = recording.route_media(indexed, "ts", ev.cell_seconds(spark, sf))
     return routed.select("stream_id", "frame_id", "stream_index", "out_index")
 
 
 @query
 def name_frames_(spark, sf):
-    kept = sampling.sample_interval(_video(spark, sf), DAY)
+    kept = sampling.sample_interval(ev.video(spark, sf), DAY)
     folder = F.concat(F.lit("u"), "stream_id")
     return name_frames(kept, folder, "shot", cell_seconds=ev.cell_seconds(spark, sf)).drop("t")
 
@@ -123,33 +115,32 @@ def screenshot_task(spark, sf):
 
 @query
 def sample_interval(spark, sf):
-    return sampling.sample_interval(_video(spark, sf), DAY)
+    return sampling.sample_interval(ev.video(spark, sf), DAY)
 
 
 @query
 def sample_percentage(spark, sf):
-    frames = ev.frames(spark, sf)
-    return sampling.sample_percentage(video_only(frames), 10, stream_durations(frames))
+    durations = stream_durations(ev.frames(spark, sf))
+    return sampling.sample_percentage(ev.video(spark, sf), 10, durations)
 
 
 @query
 def sample_immediate(spark, sf):
-    return sampling.sample_first(_video(spark, sf))
+    return sampling.sample_first(ev.video(spark, sf))
 
 
 @query
 def sample_immediate_drain(spark, sf):
-    return sampling.sample_first(_video(spark, sf), drain=3)
+    return sampling.sample_first(ev.video(spark, sf), drain=3)
 
 
 @query
 def sample_at_time(spark, sf):
-    return sampling.sample_at_time(_video(spark, sf), 10 * DAY)
+    return sampling.sample_at_time(ev.video(spark, sf), 10 * DAY)
 
 
 @query
 def sample_at_times(spark, sf):
-    frames = _video(spark, sf)
     moments = F.array(*[F.lit(x) for x in (0, DAY, 1_000_000, 2_550_000)])
     wanted = (
         ev.read_events(spark, sf)
@@ -157,7 +148,7 @@ def sample_at_times(spark, sf):
         .distinct()
         .withColumn("at", F.explode(moments))
     )
-    return sampling.sample_at_times(frames, wanted, ev.cell_seconds(spark, sf))
+    return sampling.sample_at_times(ev.video(spark, sf), wanted, ev.cell_seconds(spark, sf))
 
 
 @query
@@ -240,16 +231,15 @@ def interleave(spark, sf):
 
 @query
 def estimate_frame_rate(spark, sf):
-    return recording.estimate_frame_rate(_video(spark, sf))
+    return recording.estimate_frame_rate(ev.video(spark, sf))
 
 
 @query
 def saved_counts(spark, sf):
-    frames = ev.frames(spark, sf)
-    video = video_only(frames)
+    video = ev.video(spark, sf)
     kept = {
         "interval": {"interval": DAY},
-        "percentage": {"pct": 10, "duration": stream_durations(frames)},
+        "percentage": {"pct": 10, "duration": stream_durations(ev.frames(spark, sf))},
         "immediate": {},
         "specific_time": {"seconds": 10 * DAY},
     }
@@ -357,19 +347,20 @@ def _with_end(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_sample_interval(spark, sf):
     live.use_rocksdb(spark)
-    frames = _live(spark, _video(spark, sf).select("stream_id", "frame_id", "t"), "frames")
+    frames = _live(spark, ev.video(spark, sf).select("stream_id", "frame_id", "t"), "frames")
     return _drained(spark, live.stream_sample_interval(frames, DAY))
 
 
 @query
 def stream_sample_first(spark, sf):
     live.use_rocksdb(spark)
-    frames = _live(spark, _video(spark, sf).select("stream_id", "frame_id", "t"), "frames")
+    frames = _live(spark, ev.video(spark, sf).select("stream_id", "frame_id", "t"), "frames")
     return _drained(spark, live.stream_sample_first(frames))
 
 
 @query
 def stream_gap_sessions(spark, sf):
+    live.merge_sessions_before_shuffle(spark)
     return _drained(spark, live.stream_gap_sessions(_with_end(spark, sf), HALF_DAY))
 
 

@@ -1,6 +1,8 @@
 """The operators on live input. On ordered bounded input each gives its batch operator's rows.
 
-Stateful operators use the RocksDB state store; ``use_rocksdb`` selects it.
+Stateful operators use the RocksDB state store; ``use_rocksdb`` selects it. How
+much a key may bring at once is set at the source (``maxFilesPerTrigger``,
+``maxOffsetsPerTrigger``); samplers are cut down before the shuffle in any case.
 Rows later than the watermark are dropped by the engine, and inactivity is
 measured in event time.
 """
@@ -31,6 +33,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
+def merge_sessions_before_shuffle(spark: SparkSession) -> None:
+    """Let each task join the rows of a session first, so a busy stream sends few of them."""
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+
+
 def _first_of(sdf: DataFrame, keys: list[str], count: int) -> DataFrame:
     """Cut each input batch down to the first rows per key before they are shuffled.
 

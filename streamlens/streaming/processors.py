@@ -71,7 +71,10 @@ class FirstSampler(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         kept = self.kept.get()[0] if self.kept.exists() else 0
         if kept < self.count:
-            first = _ordered(rows, "t", "frame_id").head(self.count - kept)
+            first = None
+            for batch in rows:
+                seen = [batch] if first is None else [first, batch]
+                first = _ordered(iter(seen), "t", "frame_id").head(self.count - kept)
             self.kept.update((kept + len(first),))
             yield first
 
