@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,15 +38,18 @@ def rescale_ts(
     """Move a tick count between time bases; nearest, halves away from zero, NULL stays NULL.
 
     The product of a BIGINT and two INT terms does not fit a BIGINT, so the
-    arithmetic is on DECIMAL(38,0), which holds it exactly.
+    arithmetic is on DECIMAL(38,0), which holds it exactly. A result outside
+    BIGINT is no time stamp and gives NULL.
     """
     x = _col(pts).cast("decimal(20,0)")
-    up = F.lit(2 * src_tb[0] * dst_tb[1]).cast("decimal(20,0)")
-    down = src_tb[1] * dst_tb[0]
-    rounded = F.call_function(
-        "div",
-        (F.abs(x) * up + F.lit(down).cast("decimal(20,0)")).cast("decimal(38,0)"),
-        F.lit(2 * down).cast("decimal(20,0)"),
+    up, down = 2 * src_tb[0] * dst_tb[1], src_tb[1] * dst_tb[0]
+
+    def exact(n: int) -> Column:
+        return F.lit(Decimal(n)).cast("decimal(38,0)")
+
+    doubled = (F.abs(x) * exact(up).cast("decimal(20,0)") + exact(down)).cast("decimal(38,0)")
+    rounded = F.when(
+        doubled < exact((2**63 - 1) * 2 * down), F.call_function("div", doubled, exact(2 * down))
     )
     return F.when(x < 0, -rounded).otherwise(rounded)
 
