@@ -11,6 +11,7 @@ joined back on ``(stream, cell)``, the partitioning the row-level windows use.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -84,28 +85,44 @@ def measure_cell_seconds(
     raise AssertionError("unreachable")
 
 
-def before_cell(order: WindowSpec) -> WindowSpec:
-    return order.rowsBetween(Window.unboundedPreceding, -1)
-
-
-def after_cell(order: WindowSpec) -> WindowSpec:
-    return order.rowsBetween(1, Window.unboundedFollowing)
+@dataclass(frozen=True)
+class CellWindows:
+    """Windows over the cell summaries of a stream.
 
+    ``after`` runs backwards from the end, so that the nearest later cell comes
+    last: a frame that reaches forward to the end is computed anew for each row,
+    which takes quadratic time, while one that starts at the beginning is not.
+    """
 
-def whole_stream(order: WindowSpec) -> WindowSpec:
-    return order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order: WindowSpec
+    before: WindowSpec
+    up_to: WindowSpec
+    after: WindowSpec
+    whole: WindowSpec
+
+    @classmethod
+    def over(cls, keys: Sequence[str]) -> CellWindows:
+        stream = Window.partitionBy(*keys)
+        order = stream.orderBy(CELL)
+        first, last = Window.unboundedPreceding, Window.unboundedFollowing
+        return cls(
+            order=order,
+            before=order.rowsBetween(first, -1),
+            up_to=order.rowsBetween(first, 0),
+            after=stream.orderBy(F.desc(CELL)).rowsBetween(first, -1),
+            whole=stream.rowsBetween(first, last),
+        )
 
 
 def carry(
     rows: DataFrame,
     keys: Sequence[str],
     per_cell: Sequence[Column],
-    across: Callable[[WindowSpec], Sequence[Column]],
+    across: Callable[[CellWindows], Sequence[Column]],
 ) -> DataFrame:
     """Attach to each row what ``across`` computes over its stream's cell summaries."""
     summary = rows.groupBy(*keys, CELL).agg(*per_cell)
-    order = Window.partitionBy(*keys).orderBy(CELL)
-    carried = summary.select(*keys, CELL, *across(order))
+    carried = summary.select(*keys, CELL, *across(CellWindows.over(keys)))
     return rows.join(carried, [*keys, CELL])
 
 
@@ -128,7 +145,7 @@ def number_rows(
         with_cell_width(df, order[0], width),
         keys,
         [F.count(F.lit(1)).alias("_n")],
-        lambda w: [F.coalesce(F.sum("_n").over(before_cell(w)), F.lit(0)).alias("_offset")],
+        lambda w: [F.coalesce(F.sum("_n").over(w.before), F.lit(0)).alias("_offset")],
     )
     local = F.row_number().over(in_cell(keys, *order)) - 1
     return offset.withColumn(name, (F.col("_offset") + local).cast("bigint")).drop(CELL, "_offset")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from streamlens.operators.cells import (
     CELL,
     DEFAULT_CELL_SECONDS,
-    after_cell,
-    before_cell,
     carry,
     in_cell,
     with_cell,
@@ -40,8 +38,8 @@ def with_task_state(
             F.min(F.when(F.col("action") == "stop", F.struct(time, tiebreak))).alias("_stop"),
         ],
         lambda w: [
-            F.last("_end", ignorenulls=True).over(before_cell(w)).alias("_entry"),
-            F.first("_stop", ignorenulls=True).over(after_cell(w)).alias("_later_stop"),
+            F.last("_end", ignorenulls=True).over(w.before).alias("_entry"),
+            F.last("_stop", ignorenulls=True).over(w.after).alias("_later_stop"),
         ],
     )
     so_far = F.last(switch, ignorenulls=True).over(
@@ -86,16 +84,17 @@ def sessions_from_commands(
 ) -> DataFrame:
     """Accepted starts with the time of the next stop, NULL while still running.
 
-    After an accepted start the task is active, so the next stop is the accepted one.
+    Accepted starts and stops take turns, and after the last start of a cell the
+    first stop of a later one is the accepted one.
     """
     switches = commands.filter(F.col("action").isin("start", "stop"))
     judged = with_task_state(switches, keys, time, tiebreak, cell_seconds)
-    in_this_cell = F.first(
-        F.when(F.col("action") == "stop", F.col(time)), ignorenulls=True
-    ).over(in_cell(keys, time, tiebreak).rowsBetween(1, Window.unboundedFollowing))
+    start, active = F.col("action") == "start", F.col("_active")
+    accepted = judged.filter(start != active)
+    in_this_cell = F.lead(time).over(in_cell(keys, time, tiebreak))
     return (
-        judged.withColumn("stop_ts", F.coalesce(in_this_cell, F.col(f"_later_stop.{time}")))
-        .filter((F.col("action") == "start") & ~F.col("_active"))
+        accepted.withColumn("stop_ts", F.coalesce(in_this_cell, F.col(f"_later_stop.{time}")))
+        .filter(F.col("action") == "start")
         .select(*keys, F.col(tiebreak).alias("session_id"), F.col(time).alias("start_ts"), "stop_ts")
     )
 
@@ -135,7 +134,7 @@ def record_sessions(
         with_cell(events, "ts", cell_seconds),
         ["stream_id"],
         [F.max(F.when(F.col("_kind") == 0, F.struct("ts", "_order", "_session"))).alias("_tail")],
-        lambda w: [F.last("_tail._session", ignorenulls=True).over(before_cell(w)).alias("_open")],
+        lambda w: [F.last("_tail._session", ignorenulls=True).over(w.before).alias("_open")],
     )
     here = F.last("_session", ignorenulls=True).over(
         in_cell(["stream_id"], "ts", "_kind", "_order").rowsBetween(
@@ -177,7 +176,7 @@ def active_task_profile(
         with_cell(changes, "ts", cell_seconds),
         [],
         [F.sum("_delta").alias("_sum")],
-        lambda w: [F.coalesce(F.sum("_sum").over(before_cell(w)), F.lit(0)).alias("_base")],
+        lambda w: [F.coalesce(F.sum("_sum").over(w.before), F.lit(0)).alias("_base")],
     )
     here = F.sum("_delta").over(
         Window.partitionBy(CELL).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)

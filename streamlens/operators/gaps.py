@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from streamlens.operators.cells import (
     CELL,
     DEFAULT_CELL_SECONDS,
+    CellWindows,
     carry,
     clock,
     in_cell,
@@ -57,10 +58,10 @@ def gap_sessions(
     )
 
     def numbering(w):
-        joins = F.col("_first") - F.lag("_final").over(w) <= limit
+        joins = F.col("_first") - F.lag("_final").over(w.order) <= limit
         # One less where the first run carries on the session of the cell before.
         new = F.col("_runs") - F.coalesce(joins, F.lit(False)).cast("int")
-        return [F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), "_runs"]
+        return [F.sum(new).over(w.up_to).alias("_upto"), "_runs"]
 
     numbered = carry(
         runs,
@@ -93,13 +94,12 @@ def until_timeout(
         F.max("_tick").alias("_final"),
         F.min(F.when(F.col("_gap"), F.col("_tick"))).alias("_inner"),
     )
-    order = Window.partitionBy("stream_id").orderBy(CELL)
-    late = F.col("_first") - F.lag("_final").over(order) > limit
+    w = CellWindows.over(["stream_id"])
+    late = F.col("_first") - F.lag("_final").over(w.order) > limit
     here = F.when(late, F.col("_first")).otherwise(F.col("_inner"))
     # A cell is cut by its own gaps and by those of any cell before it.
-    up_to_here = order.rowsBetween(Window.unboundedPreceding, 0)
     cuts = summary.withColumn("_here", here).select(
-        "stream_id", CELL, F.min("_here").over(up_to_here).alias("_cut")
+        "stream_id", CELL, F.min("_here").over(w.up_to).alias("_cut")
     )
     return (
         with_cell(df, time, cell_seconds)

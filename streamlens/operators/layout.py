@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from streamlens.functions.media import is_live
 from streamlens.operators.cells import (
-    after_cell,
-    before_cell,
+    CELL,
     carry,
     in_cell,
     with_cell_width,
@@ -19,6 +18,7 @@ STREAM_FIELDS = ("id", "url", "width", "height", "x", "y", "z-index")
 GEOMETRY = ("width", "height", "x", "y", "z")
 
 CELL_VERSIONS = 4096
+CELL_TICKS = 10_000
 
 
 def streams_schema() -> str:
@@ -75,8 +75,8 @@ def _versions(layout: DataFrame, cell_versions: int) -> DataFrame:
         ["task_id"],
         [F.min("ver").alias("_min"), F.max("ver").alias("_max")],
         lambda w: [
-            F.max("_max").over(before_cell(w)).alias("_earlier"),
-            F.min("_min").over(after_cell(w)).alias("_later"),
+            F.max("_max").over(w.before).alias("_earlier"),
+            F.min("_min").over(w.after).alias("_later"),
         ],
     )
     here = in_cell(["task_id"], "ver")
@@ -144,7 +144,7 @@ def layout_replay(layout: DataFrame, cell_versions: int = CELL_VERSIONS) -> Data
         with_cell_width(marked, "ver", cell_versions),
         keys,
         [F.max_by("_taken", F.when(F.col("_taken").isNotNull(), F.col("ver"))).alias("_end")],
-        lambda w: [F.last("_end", ignorenulls=True).over(before_cell(w)).alias("_entry")],
+        lambda w: [F.last("_end", ignorenulls=True).over(w.before).alias("_entry")],
     )
     so_far = F.last("_taken", ignorenulls=True).over(
         in_cell(keys, "ver").rowsBetween(Window.unboundedPreceding, 0)
@@ -162,7 +162,7 @@ def paint_order(layout: DataFrame) -> DataFrame:
 
 
 def mix_on_clock(
-    frames: DataFrame, step: float, until: float, cell_ticks: int = 1_000_000
+    frames: DataFrame, step: float, until: float, cell_ticks: int = CELL_TICKS
 ) -> DataFrame:
     """The frame each input shows at every output tick 0, step, 2*step, ... up to ``until``.
 
@@ -174,7 +174,7 @@ def mix_on_clock(
     keys = ["stream_id", "media"]
     last_tick = int(until // step)
     shown = (
-        frames.withColumn("tick_no", F.ceil(F.col("t") / step).cast("bigint"))
+        frames.withColumn("tick_no", F.greatest(F.ceil(F.col("t") / step), F.lit(0)).cast("bigint"))
         .filter(F.col("tick_no") <= last_tick)
         .groupBy(*keys, "tick_no")
         .agg(F.max(F.struct("t", "frame_id")).alias("_f"))
@@ -184,16 +184,24 @@ def mix_on_clock(
         with_cell_width(shown, "tick_no", cell_ticks),
         keys,
         [F.min("tick_no").alias("_head")],
-        lambda w: [F.min("_head").over(after_cell(w)).alias("_later")],
+        lambda w: [F.min("_head").over(w.after).alias("_later")],
     )
     following = F.coalesce(
         F.lead("tick_no").over(in_cell(keys, "tick_no")), F.col("_later"), F.lit(last_tick + 1)
     )
-    filled = carried.withColumn("_next", following).select(
+    # A frame may stand for long; it fills one cell of ticks at a time.
+    width = F.lit(cell_ticks)
+    until_cell = F.call_function("div", F.col("_next") - 1, width)
+    stretches = carried.withColumn("_next", following).select(
         *keys,
-        F.explode(F.sequence(F.col("tick_no"), F.col("_next") - 1)).alias("tick_no"),
+        "tick_no",
         "frame_id",
+        "_next",
+        F.explode(F.sequence(F.col(CELL), until_cell)).alias("_in"),
     )
+    first = F.greatest(F.col("tick_no"), F.col("_in") * width)
+    last = F.least(F.col("_next"), (F.col("_in") + 1) * width) - 1
+    filled = stretches.select(*keys, "frame_id", F.explode(F.sequence(first, last)).alias("tick_no"))
     return filled.select(
         *keys, (F.col("tick_no") * F.lit(float(step))).alias("tick"), "frame_id"
     )

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlens.functions.media import MICROS, rescale_ts, segment_file_name
 from streamlens.operators.cells import (
     CELL,
     DEFAULT_CELL_SECONDS,
+    CellWindows,
     carry,
     number_rows,
-    whole_stream,
     with_cell,
 )
 
@@ -39,8 +39,8 @@ def route_media(
             F.min(F.when(audio, index)).alias("_audio"),
         ],
         lambda w: [
-            F.min("_video").over(whole_stream(w)).alias("_video_index"),
-            F.min("_audio").over(whole_stream(w)).alias("_audio_index"),
+            F.min("_video").over(w.whole).alias("_video_index"),
+            F.min("_audio").over(w.whole).alias("_audio_index"),
         ],
     )
     chosen = F.when(video, index == F.col("_video_index")).otherwise(
@@ -109,9 +109,9 @@ def assign_segments(
     spans = spanned.groupBy("stream_id", CELL).agg(
         F.min(F.when(F.col("is_key"), place)).alias("_key"), F.min(place).alias("_head")
     )
-    order = Window.partitionBy("stream_id").orderBy(CELL)
-    begins = F.when(F.row_number().over(order) == 1, F.col("_head")).otherwise(F.col("_key"))
-    begun = F.count("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    w = CellWindows.over(["stream_id"])
+    begins = F.when(F.row_number().over(w.order) == 1, F.col("_head")).otherwise(F.col("_key"))
+    begun = F.count("_begins").over(w.up_to)
     numbered = spans.withColumn("_begins", begins).select(
         "stream_id", CELL, "_begins", begun.alias("_begun")
     )

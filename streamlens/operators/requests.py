@@ -14,6 +14,7 @@ from streamlens.functions.media import (
     SCREENSHOT_METHODS,
     has_recording_suffix,
     is_live,
+    task_key,
 )
 from streamlens.operators.cells import DEFAULT_CELL_SECONDS
 from streamlens.operators.control import NOT_FOUND, NOT_RUNNING, RUNNING, outcome, with_task_state
@@ -60,21 +61,29 @@ MIX_NOT_RUNNING = "No running task found for the given URL."
 
 MIX_METHOD = "mix"
 
-_TASK_BODY = (
-    "stream_url string, method string, action string, interval string, percentage string,"
-    " time_second string, filename_name string"
-)
-_MIX_BODY = (
-    "output_url string, action string, background_image string,"
-    " resolution struct<width:string, height:string>, streams " + streams_schema()
+_TASK_FIELDS = (
+    "stream_url",
+    "method",
+    "action",
+    "interval",
+    "percentage",
+    "time_second",
+    "filename_name",
 )
+_MIX_FIELDS = ("output_url", "action", "background_image", "resolution", "streams")
 
 
-def _parsed(df: DataFrame, body: str, schema: str) -> DataFrame:
-    """Add ``_fields``, the names present (NULL for a body that is no object), and ``_b``."""
-    return df.withColumn("_fields", F.json_object_keys(body)).withColumn(
-        "_b", F.from_json(F.col(body), schema)
-    )
+def _b(field: str) -> Column:
+    return F.col(f"_b_{field}")
+
+
+def _parsed(df: DataFrame, body: str, fields: Sequence[str]) -> DataFrame:
+    """Add ``_fields``, the names present (NULL for a body that is no object), and each field.
+
+    ``json_tuple`` reads a body once for all fields, however many checks use them.
+    """
+    present = df.withColumn("_fields", F.json_object_keys(body))
+    return present.select("*", F.json_tuple(body, *fields).alias(*[f"_b_{f}" for f in fields]))
 
 
 def _missing(required: Sequence[str]) -> Column:
@@ -83,14 +92,14 @@ def _missing(required: Sequence[str]) -> Column:
     return F.coalesce(*absent)
 
 
-def _number(field: str) -> Column:
+def _number(text: Column) -> Column:
     """A whole number; a fraction is cut off, and what is no number gives NULL."""
-    return F.col(f"_b.{field}").try_cast("double").try_cast("int")
+    return text.try_cast("double").try_cast("int")
 
 
 def _common(required: Sequence[str], actions: Sequence[str]) -> list[tuple[Column, int, Column]]:
     missing = _missing(required)
-    action = F.col("_b.action")
+    action = _b("action")
     return [
         (F.col("_fields").isNull(), INVALID_JSON, F.lit(INVALID_JSON_TEXT)),
         (missing.isNotNull(), INVALID_REQUEST, F.concat(F.lit(MISSING_FIELD), missing)),
@@ -102,78 +111,87 @@ def _common(required: Sequence[str], actions: Sequence[str]) -> list[tuple[Colum
     ]
 
 
-def _verdict(checks: Sequence[tuple[Column, int, Column | str]]) -> list[Column]:
+def _verdict(checks: Sequence[tuple[Column, int, Column | str]]) -> tuple[Column, Column]:
     """Code and message of the first check that applies."""
-    code = message = None
+    code = message = F
     for test, number, text in checks:
-        text = F.lit(text) if isinstance(text, str) else text
-        code = F.when(test, number) if code is None else code.when(test, number)
-        message = F.when(test, text) if message is None else message.when(test, text)
-    return [code.alias("code"), message.alias("message")]
+        code = code.when(test, number)
+        message = message.when(test, text if isinstance(text, Column) else F.lit(text))
+    return code, message
 
 
 def _refuse(test: Column, text: str) -> tuple[Column, int, str]:
     return F.coalesce(test, F.lit(True)), INVALID_REQUEST, text
 
 
-def validate_screenshot(df: DataFrame, body: str = "body", keep: Sequence[str] = ("req_id",)) -> DataFrame:
-    """Code and message of each screenshot request; a valid one gets the success text."""
-    parsed = _parsed(df, body, _TASK_BODY)
-    method, live = F.col("_b.method"), is_live("_b.stream_url")
-    start = F.col("_b.action") == "start"
+def _judge(df: DataFrame, checks: Sequence[tuple[Column, int, Column | str]]) -> DataFrame:
+    return df.withColumns({c: v for c, v in zip(("code", "message"), _verdict(checks))})
+
+
+def _judge_screenshot(df: DataFrame, body: str) -> DataFrame:
+    parsed = _parsed(df, body, _TASK_FIELDS)
+    method, live = _b("method"), is_live(_b("stream_url"))
+    interval, percentage, second = map(
+        _number, (_b("interval"), _b("percentage"), _b("time_second"))
+    )
     checks = _common(("stream_url", "method", "action"), ("start", "stop")) + [
-        (~start, SUCCESS, SCREENSHOT_STOPPED),
+        (_b("action") != "start", SUCCESS, SCREENSHOT_STOPPED),
         (method.isin(*FILE_ONLY_METHODS) & live, INVALID_REQUEST, FILE_ONLY),
         (method.isin(*LIVE_ONLY_METHODS) & ~live, INVALID_REQUEST, LIVE_ONLY),
         _refuse(~method.isin(*SCREENSHOT_METHODS), UNKNOWN_SCREENSHOT),
-        _refuse((method == "interval") & (_number("interval") <= 0), BAD_INTERVAL),
-        _refuse(
-            (method == "percentage") & ~_number("percentage").between(1, 100), BAD_PERCENTAGE
-        ),
-        _refuse((method == "specific_time") & (_number("time_second") < 0), BAD_TIME),
+        _refuse((method == "interval") & (interval <= 0), BAD_INTERVAL),
+        _refuse((method == "percentage") & ~percentage.between(1, 100), BAD_PERCENTAGE),
+        _refuse((method == "specific_time") & (second < 0), BAD_TIME),
         (F.lit(True), SUCCESS, SCREENSHOT_STARTED),
     ]
-    return parsed.select(*keep, *_verdict(checks))
+    return _judge(parsed, checks)
 
 
-def validate_recording(df: DataFrame, body: str = "body", keep: Sequence[str] = ("req_id",)) -> DataFrame:
-    """Code and message of each recording request."""
-    parsed = _parsed(df, body, _TASK_BODY)
-    start = F.col("_b.action") == "start"
+def _judge_recording(df: DataFrame, body: str) -> DataFrame:
+    parsed = _parsed(df, body, _TASK_FIELDS)
     checks = _common(("stream_url", "method", "action"), ("start", "stop")) + [
-        (~start, SUCCESS, RECORDING_STOPPED),
-        _refuse(~has_recording_suffix("_b.filename_name"), BAD_FILE_NAME),
-        _refuse(~is_live("_b.stream_url"), RECORDING_LIVE_ONLY),
-        _refuse(~F.col("_b.method").isin(*RECORDING_METHODS), UNKNOWN_RECORDING),
+        (_b("action") != "start", SUCCESS, RECORDING_STOPPED),
+        _refuse(~has_recording_suffix(_b("filename_name")), BAD_FILE_NAME),
+        _refuse(~is_live(_b("stream_url")), RECORDING_LIVE_ONLY),
+        _refuse(~_b("method").isin(*RECORDING_METHODS), UNKNOWN_RECORDING),
         (F.lit(True), SUCCESS, RECORDING_STARTED),
     ]
-    return parsed.select(*keep, *_verdict(checks))
+    return _judge(parsed, checks)
 
 
-def validate_mix(df: DataFrame, body: str = "body", keep: Sequence[str] = ("req_id",)) -> DataFrame:
-    """Code, message and number of usable streams of each mix request."""
-    parsed = _parsed(df, body, _MIX_BODY).withColumn(
-        "_n", F.coalesce(F.size(valid_streams(F.col("_b.streams"))), F.lit(0))
-    )
-    start = F.col("_b.action") == "start"
-    width, height = F.col("_b.resolution.width"), F.col("_b.resolution.height")
-    positive = (_number("resolution.width") > 0) & (_number("resolution.height") > 0)
-    not_live = ~is_live("_b.output_url")
+def _judge_mix(df: DataFrame, body: str) -> DataFrame:
+    usable = F.size(valid_streams(F.from_json(_b("streams"), streams_schema())))
+    parsed = _parsed(df, body, _MIX_FIELDS).withColumn("n_streams", F.coalesce(usable, F.lit(0)))
+    start = _b("action") == "start"
+    width, height = (F.get_json_object(_b("resolution"), f"$.{s}") for s in ("width", "height"))
+    positive = (_number(width) > 0) & (_number(height) > 0)
+    no_streams = F.col("n_streams") == 0
     checks = _common(("output_url", "action", "streams"), ("start", "update")) + [
         (start & ~F.array_contains("_fields", "resolution"), INVALID_REQUEST, NO_RESOLUTION),
-        _refuse(not_live, MIX_LIVE_ONLY),
+        _refuse(~is_live(_b("output_url")), MIX_LIVE_ONLY),
         (start & (width.isNull() | height.isNull()), INVALID_REQUEST, RESOLUTION_PARTS),
         _refuse(start & ~positive, RESOLUTION_SIZE),
-        (
-            start & (F.col("_b.background_image").isNull() | (F.col("_n") == 0)),
-            INVALID_REQUEST,
-            MIX_PARAMETERS,
-        ),
+        (start & (_b("background_image").isNull() | no_streams), INVALID_REQUEST, MIX_PARAMETERS),
         (start, SUCCESS, MIX_STARTED),
-        (F.col("_n") == 0, INVALID_REQUEST, MIX_NO_STREAMS),
+        (no_streams, INVALID_REQUEST, MIX_NO_STREAMS),
         (F.lit(True), SUCCESS, MIX_UPDATED),
     ]
-    return parsed.select(*keep, *_verdict(checks), F.col("_n").cast("int").alias("n_streams"))
+    return _judge(parsed, checks)
+
+
+def validate_screenshot(df: DataFrame, body: str = "body", request: str = "req_id") -> DataFrame:
+    """Code and message of each screenshot request; a valid one gets the success text."""
+    return _judge_screenshot(df, body).select(request, "code", "message")
+
+
+def validate_recording(df: DataFrame, body: str = "body", request: str = "req_id") -> DataFrame:
+    """Code and message of each recording request."""
+    return _judge_recording(df, body).select(request, "code", "message")
+
+
+def validate_mix(df: DataFrame, body: str = "body", request: str = "req_id") -> DataFrame:
+    """Code, message and number of usable streams of each mix request."""
+    return _judge_mix(df, body).select(request, "code", "message", "n_streams")
 
 
 def request_outcomes(verdicts: DataFrame) -> DataFrame:
@@ -182,9 +200,9 @@ def request_outcomes(verdicts: DataFrame) -> DataFrame:
 
 
 _RESPONSES = {
-    "screenshot": (validate_screenshot, SCREENSHOT_RUNNING, SCREENSHOT_NOT_RUNNING),
-    "recording": (validate_recording, RECORDING_RUNNING, RECORDING_NOT_RUNNING),
-    "mix": (validate_mix, MIX_RUNNING, MIX_NOT_RUNNING),
+    "screenshot": (_judge_screenshot, SCREENSHOT_RUNNING, SCREENSHOT_NOT_RUNNING),
+    "recording": (_judge_recording, RECORDING_RUNNING, RECORDING_NOT_RUNNING),
+    "mix": (_judge_mix, MIX_RUNNING, MIX_NOT_RUNNING),
 }
 
 
@@ -200,25 +218,21 @@ def respond(
     Requests that pass the checks become commands on their task key; a start of a
     running task, or a stop or update of one that is not running, is refused.
     """
-    check, running, not_running = _RESPONSES[job]
-    fields = F.from_json(F.col(body), _MIX_BODY if job == "mix" else _TASK_BODY)
+    judge, running, not_running = _RESPONSES[job]
     url, method = (
-        (fields.getField("output_url"), F.lit(MIX_METHOD))
-        if job == "mix"
-        else (fields.getField("stream_url"), fields.getField("method"))
+        (_b("output_url"), F.lit(MIX_METHOD)) if job == "mix" else (_b("stream_url"), _b("method"))
     )
-    keyed = df.select(
+    verdicts = judge(df.select("req_id", time, body), body).select(
         "req_id",
         time,
-        body,
-        url.alias("stream_url"),
-        method.alias("method"),
-        fields.getField("action").alias("action"),
+        task_key(url, method).alias("_task"),
+        _b("action").alias("action"),
+        "code",
+        "message",
     )
-    verdicts = check(keyed, body, keep=("req_id", time, "stream_url", "method", "action"))
-    commands = verdicts.filter(F.col("code") == SUCCESS)
+    commands = verdicts.filter(F.col("code") == SUCCESS).select("_task.*", *verdicts.columns)
     judged = with_task_state(
-        commands, ("stream_url", "method"), time, "req_id", cell_seconds
+        commands.drop("_task"), ("stream_url", "method"), time, "req_id", cell_seconds
     ).withColumn("_outcome", outcome())
     refused = F.col("_outcome").isin(RUNNING, NOT_RUNNING, NOT_FOUND)
     text = F.when(F.col("_outcome") == RUNNING, running).otherwise(not_running)

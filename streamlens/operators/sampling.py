@@ -13,7 +13,6 @@ from pyspark.sql.types import DoubleType, StructType
 from streamlens.checkpoints import shared_dir
 from streamlens.operators.cells import (
     DEFAULT_CELL_SECONDS,
-    after_cell,
     carry,
     in_cell,
     with_cell,
@@ -211,13 +210,13 @@ def sample_at_times(
         with_cell(moments, "_at", cell_seconds),
         ["stream_id"],
         [F.min(F.when(F.col("_kind") == 1, F.struct("_at", "_frame"))).alias("_head")],
-        lambda w: [F.first("_head._frame", ignorenulls=True).over(after_cell(w)).alias("_later")],
-    )
-    here = F.first("_frame", ignorenulls=True).over(
-        in_cell(["stream_id"], "_at", "_kind", "_frame.frame_id").rowsBetween(
-            Window.currentRow, Window.unboundedFollowing
-        )
+        lambda w: [F.last("_head._frame", ignorenulls=True).over(w.after).alias("_later")],
     )
+    # From the end backwards: the nearest later frame is the last one met.
+    backwards = in_cell(
+        ["stream_id"], F.desc("_at"), F.desc("_kind"), F.desc("_frame.frame_id")
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.last("_frame", ignorenulls=True).over(backwards)
     found = ahead.withColumn("_found", F.coalesce(here, F.col("_later")))
     at = requests.schema["at"].dataType
     return found.filter((F.col("_kind") == 0) & F.col("_found").isNotNull()).select(

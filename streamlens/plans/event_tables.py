@@ -81,21 +81,22 @@ def commands(events: DataFrame) -> DataFrame:
     )
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def _with_k(events: DataFrame) -> DataFrame:
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 def layout(events: DataFrame) -> DataFrame:
     """One entry per user, day and event type: the last event of it."""
     k = F.col("_e.k")
     return (
-        events.select(
+        _with_k(events)
+        .select(
             F.col("user_id").alias("task_id"),
             F.col("ts").cast("date").alias("ver"),
             F.col("event_type").alias("id"),
             "ts",
             "event_id",
-            _k().alias("k"),
+            "k",
         )
         .groupBy("task_id", "ver", "id")
         .agg(F.max(F.struct("ts", "event_id", "k")).alias("_e"))
@@ -120,7 +121,7 @@ def _quoted(name: str, value: Column) -> Column:
 
 def _requests(events: DataFrame, *fields: Column) -> DataFrame:
     """Requests whose body has ``fields``; a NULL field is left out."""
-    return events.select(
+    return _with_k(events).select(
         F.col("event_id").alias("req_id"),
         "ts",
         F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("body"),
@@ -134,23 +135,23 @@ def _url() -> Column:
 
 
 def _action() -> Column:
-    return F.when(_k() % 10 < 6, "start").when(_k() % 10 < 9, "stop").otherwise("pause")
+    return F.when(F.col("k") % 10 < 6, "start").when(F.col("k") % 10 < 9, "stop").otherwise("pause")
 
 
 def screenshot_requests(events: DataFrame) -> DataFrame:
     methods = F.array(
         *[F.lit(m) for m in ("interval", "percentage", "immediate", "specific_time", "bogus")]
     )
-    method = F.element_at(methods, _k() % 5 + 1)
+    method = F.element_at(methods, F.col("k") % 5 + 1)
     param = F.element_at(
         F.array(F.lit("interval"), F.lit("percentage"), F.lit(None), F.lit("time_second")),
-        F.when(_k() % 5 < 4, _k() % 5 + 1),
+        F.when(F.col("k") % 5 < 4, F.col("k") % 5 + 1),
     )
     number = (F.floor("value") - 20).cast("string")
     return _requests(
         events,
         _quoted("stream_url", _url()),
-        F.when(_k() % 11 != 0, _quoted("method", method)),
+        F.when(F.col("k") % 11 != 0, _quoted("method", method)),
         _quoted("action", _action()),
         F.concat(F.lit('"'), param, F.lit('":'), number),
     )
@@ -159,11 +160,11 @@ def screenshot_requests(events: DataFrame) -> DataFrame:
 def recording_requests(events: DataFrame) -> DataFrame:
     methods = F.array(*[F.lit(m) for m in ("mp4", "mp4", "hls", "hls", "bogus")])
     suffixes = F.array(F.lit(".mp4"), F.lit(".m3u8"), F.lit(".avi"))
-    name = F.concat(F.lit("rec"), F.element_at(suffixes, _k() % 3 + 1))
+    name = F.concat(F.lit("rec"), F.element_at(suffixes, F.col("k") % 3 + 1))
     return _requests(
         events,
         _quoted("stream_url", _url()),
-        F.when(_k() % 11 != 0, _quoted("method", F.element_at(methods, _k() % 5 + 1))),
+        F.when(F.col("k") % 11 != 0, _quoted("method", F.element_at(methods, F.col("k") % 5 + 1))),
         _quoted("action", _action()),
         _quoted("filename_name", name),
     )

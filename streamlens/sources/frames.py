@@ -11,7 +11,6 @@ from streamlens.operators.cells import (
     DEFAULT_CELL_SECONDS,
     carry,
     clock,
-    whole_stream,
     with_cell_width,
 )
 
@@ -35,7 +34,7 @@ def to_frames(
         with_cell_width(named, time, width),
         ["stream_id"],
         [F.min(time).alias("_first")],
-        lambda w: [F.min("_first").over(whole_stream(w)).alias("_origin")],
+        lambda w: [F.min("_first").over(w.whole).alias("_origin")],
     )
     pts = clock(started, time) - clock(started, "_origin")
     return (

@@ -47,6 +47,14 @@ def test_windows_over_rows_stay_in_cells(large, name):
     assert all("_cell" in w for w in windows)
 
 
+@pytest.mark.parametrize("name", BATCH)
+def test_no_window_reaches_forward_to_the_end(large, name):
+    """Such frames are computed anew for each row: quadratic time."""
+    plan = plan_of(all_queries()[name](large, SF))
+    frames = re.findall(r"specifiedwindowframe\(RowFrame, ([^,]*), ([^)]*\))", plan)
+    assert all("unboundedpreceding" in a for a, b in frames if "unboundedfollowing" in b)
+
+
 def test_only_needed_columns_are_read(large):
     plan = plan_of(all_queries()["sample_interval"](large, SF))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
