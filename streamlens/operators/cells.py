@@ -52,6 +52,14 @@ def with_cell(df: DataFrame, time: str, seconds: int) -> DataFrame:
 
 
 def with_cell_width(df: DataFrame, name: str, width: int) -> DataFrame:
+    """Add the cell of each row, unless the rows carry one along.
+
+    Rows that kept the cells of an earlier operator are still partitioned by them
+    and need no further shuffle. Any clock that orders a stream in the same way
+    makes the same use of them.
+    """
+    if CELL in df.columns:
+        return df
     return df.withColumn(CELL, F.call_function("div", clock(df, name), F.lit(width)))
 
 
@@ -119,9 +127,15 @@ def carry(
     keys: Sequence[str],
     per_cell: Sequence[Column],
     across: Callable[[CellWindows], Sequence[Column]],
+    summarised: DataFrame | None = None,
 ) -> DataFrame:
-    """Attach to each row what ``across`` computes over its stream's cell summaries."""
-    summary = rows.groupBy(*keys, CELL).agg(*per_cell)
+    """Attach to each row what ``across`` computes over its stream's cell summaries.
+
+    The summary is of ``rows``, or of ``summarised``: the same rows before joins
+    it does not need.
+    """
+    source = rows if summarised is None else summarised
+    summary = source.groupBy(*keys, CELL).agg(*per_cell)
     carried = summary.select(*keys, CELL, *across(CellWindows.over(keys)))
     return rows.join(carried, [*keys, CELL])
 
@@ -148,4 +162,6 @@ def number_rows(
         lambda w: [F.coalesce(F.sum("_n").over(w.before), F.lit(0)).alias("_offset")],
     )
     local = F.row_number().over(in_cell(keys, *order)) - 1
-    return offset.withColumn(name, (F.col("_offset") + local).cast("bigint")).drop(CELL, "_offset")
+    return offset.withColumn(name, (F.col("_offset") + local).cast("bigint")).select(
+        *df.columns, name
+    )

@@ -104,6 +104,7 @@ def record_sessions(
     sessions: DataFrame,
     keep: Sequence[str] = (),
     cell_seconds: int = DEFAULT_CELL_SECONDS,
+    keep_cells: bool = False,
 ) -> DataFrame:
     """Frames inside a ``[start_ts, stop_ts)`` session of their stream, with columns ``keep``.
 
@@ -147,7 +148,9 @@ def record_sessions(
         (F.col("_kind") == 1)
         & F.col("_in").isNotNull()
         & (stop.isNull() | (F.col("ts") < stop))
-    ).select("stream_id", "_in.session_id", "frame_id", "ts", *keep)
+    ).select(
+        "stream_id", "_in.session_id", "frame_id", "ts", *keep, *([CELL] if keep_cells else [])
+    )
 
 
 def active_task_profile(

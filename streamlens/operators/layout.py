@@ -69,15 +69,16 @@ def last_of_duplicates(layout: DataFrame) -> DataFrame:
 
 def _versions(layout: DataFrame, cell_versions: int) -> DataFrame:
     """The versions of each task with the ones before and after them."""
-    versions = with_cell_width(layout.select("task_id", "ver").distinct(), "ver", cell_versions)
+    celled = with_cell_width(layout.select("task_id", "ver"), "ver", cell_versions)
     carried = carry(
-        versions,
+        celled.distinct(),
         ["task_id"],
         [F.min("ver").alias("_min"), F.max("ver").alias("_max")],
         lambda w: [
             F.max("_max").over(w.before).alias("_earlier"),
             F.min("_min").over(w.after).alias("_later"),
         ],
+        summarised=celled,
     )
     here = in_cell(["task_id"], "ver")
     return carried.select(
@@ -88,40 +89,64 @@ def _versions(layout: DataFrame, cell_versions: int) -> DataFrame:
     )
 
 
+def _beside(layout: DataFrame, cell_versions: int) -> DataFrame:
+    """Each entry beside the same id's one before (``_old``) and the version it is next in.
+
+    ``_prev`` and ``_next`` are the task's versions around it: an id that was gone
+    in between has an ``_old`` of some other version.
+    """
+    keys = ["task_id", "id"]
+    entry = F.struct("ver", *GEOMETRY)
+    celled = with_cell_width(layout, "ver", cell_versions)
+    carried = carry(
+        celled.join(_versions(layout, cell_versions), ["task_id", "ver"]),
+        keys,
+        [F.max(entry).alias("_last"), F.min("ver").alias("_first")],
+        lambda w: [
+            F.last("_last").over(w.before).alias("_earlier"),
+            F.last("_first").over(w.after).alias("_later"),
+        ],
+        summarised=celled,
+    )
+    here = in_cell(keys, "ver")
+    return carried.withColumns(
+        {
+            "_old": F.coalesce(F.lag(entry).over(here), F.col("_earlier")),
+            "_again": F.coalesce(F.lead("ver").over(here), F.col("_later")),
+        }
+    )
+
+
+def _is_new() -> Column:
+    return F.col("_old").isNull() | ~F.col("_old.ver").eqNullSafe(F.col("_prev"))
+
+
 def _changed() -> Column:
     same = F.lit(True)
     for g in GEOMETRY:
-        same = same & F.col(f"_old.{g}").eqNullSafe(F.col(f"_new.{g}"))
+        same = same & F.col(f"_old.{g}").eqNullSafe(F.col(g))
     return ~same
 
 
-def _against_previous(layout: DataFrame, how: str, cell_versions: int) -> DataFrame:
-    """Entries of a version (``_new``) beside those of the version before (``_old``)."""
-    entry = F.struct(*GEOMETRY, "url")
-    dated = layout.join(_versions(layout, cell_versions), ["task_id", "ver"])
-    old = dated.filter(F.col("_next").isNotNull()).select(
-        "task_id", F.col("_next").alias("ver"), "id", entry.alias("_old")
-    )
-    new = dated.select("task_id", "ver", "id", entry.alias("_new"), "_prev")
-    if how == "full_outer":
-        new = new.filter(F.col("_prev").isNotNull())
-    return new.join(old, ["task_id", "ver", "id"], how)
-
-
 def layout_diff(layout: DataFrame, cell_versions: int = CELL_VERSIONS) -> DataFrame:
     """What each version of a task changes against the one before it.
 
     A stream whose URL alone differs counts as unchanged. The first version of a
     task has nothing to be compared with and is left out.
     """
-    both = _against_previous(layout, "full_outer", cell_versions)
-    change = (
-        F.when(F.col("_new").isNull(), "removed")
-        .when(F.col("_old").isNull(), "added")
-        .when(_changed(), "updated")
-        .otherwise("unchanged")
+    change = F.when(_is_new(), "added").when(_changed(), "updated").otherwise("unchanged")
+    here = F.when(
+        F.col("_prev").isNotNull(), F.struct("ver", change.alias("change"))
+    )
+    gone = F.when(
+        F.col("_next").isNotNull() & ~F.col("_again").eqNullSafe(F.col("_next")),
+        F.struct(F.col("_next").alias("ver"), F.lit("removed").alias("change")),
+    )
+    return (
+        _beside(layout, cell_versions)
+        .select("task_id", "id", F.explode(F.array_compact(F.array(here, gone))).alias("_c"))
+        .select("task_id", "_c.ver", "id", "_c.change")
     )
-    return both.select("task_id", "ver", "id", change.alias("change"))
 
 
 def layout_replay(layout: DataFrame, cell_versions: int = CELL_VERSIONS) -> DataFrame:
@@ -130,18 +155,16 @@ def layout_replay(layout: DataFrame, cell_versions: int = CELL_VERSIONS) -> Data
     An entry is taken over when its id is new or its geometry differs; otherwise
     the running one stays, so its URL is the one of the last taking over.
     """
-    beside = _against_previous(layout, "left", cell_versions)
-    taken = F.col("_old").isNull() | _changed()
-    marked = beside.select(
-        "task_id",
+    keys = ["task_id", "id"]
+    marked = _beside(layout, cell_versions).select(
+        *keys,
         "ver",
-        "id",
-        "_new.*",
-        F.when(taken, F.struct("_new.url")).alias("_taken"),
+        CELL,
+        *GEOMETRY,
+        F.when(_is_new() | _changed(), F.struct("url")).alias("_taken"),
     )
-    keys = ["task_id", "id"]
     carried = carry(
-        with_cell_width(marked, "ver", cell_versions),
+        marked,
         keys,
         [F.max_by("_taken", F.when(F.col("_taken").isNotNull(), F.col("ver"))).alias("_end")],
         lambda w: [F.last("_end", ignorenulls=True).over(w.before).alias("_entry")],

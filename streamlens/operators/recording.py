@@ -88,8 +88,11 @@ def interleave(
 ) -> DataFrame:
     """Number the routed packets of an input in one time order over both media.
 
-    Both media must count ``order`` in the same time base ``tb``.
+    Both media must count ``order`` in the same time base ``tb``. Kept cells are
+    those of the presentation time, which decoding order need not follow.
     """
+    if order == "dts":
+        df = df.drop(CELL)
     width = max(1, cell_seconds * tb[1] // tb[0])
     return number_rows(df, "seq", [order, "out_index", "frame_id"], width)
 
@@ -104,21 +107,21 @@ def assign_segments(
     begun earlier. Spans are found with partial aggregation, numbered with one
     row each, and joined back on ``(stream_id, span)``.
     """
-    spanned = df.withColumn(CELL, F.floor(F.col(t) / seconds).cast("bigint"))
+    spanned = df.withColumn("_span", F.floor(F.col(t) / seconds).cast("bigint"))
     place = F.struct(t, tiebreak)
-    spans = spanned.groupBy("stream_id", CELL).agg(
+    spans = spanned.groupBy("stream_id", F.col("_span").alias(CELL)).agg(
         F.min(F.when(F.col("is_key"), place)).alias("_key"), F.min(place).alias("_head")
     )
     w = CellWindows.over(["stream_id"])
     begins = F.when(F.row_number().over(w.order) == 1, F.col("_head")).otherwise(F.col("_key"))
     begun = F.count("_begins").over(w.up_to)
     numbered = spans.withColumn("_begins", begins).select(
-        "stream_id", CELL, "_begins", begun.alias("_begun")
+        "stream_id", F.col(CELL).alias("_span"), "_begins", begun.alias("_begun")
     )
     late = F.col("_begins").isNotNull() & (place < F.col("_begins"))
     number = F.col("_begun") - 1 - late.cast("int")
     return (
-        spanned.join(numbered, ["stream_id", CELL])
+        spanned.join(numbered, ["stream_id", "_span"])
         .withColumn("segment_no", number.cast("bigint"))
         .select(*df.columns, "segment_no")
     )

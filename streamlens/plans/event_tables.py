@@ -57,9 +57,13 @@ def raw_frames(events: DataFrame, *extra: Column | str) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, sf_dir: str, *extra: Column | str) -> DataFrame:
+def frames(
+    spark: SparkSession, sf_dir: str, *extra: Column | str, keep_cells: bool = False
+) -> DataFrame:
     return to_frames(
-        raw_frames(read_events(spark, sf_dir), *extra), cell_seconds=cell_seconds(spark, sf_dir)
+        raw_frames(read_events(spark, sf_dir), *extra),
+        cell_seconds=cell_seconds(spark, sf_dir),
+        keep_cells=keep_cells,
     )
 
 

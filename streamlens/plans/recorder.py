@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from streamlens.functions.media import MICROS
-from streamlens.operators.cells import DEFAULT_CELL_SECONDS
+from streamlens.operators.cells import CELL, DEFAULT_CELL_SECONDS
 from streamlens.operators.control import record_sessions, sessions_from_commands
 from streamlens.operators.recording import rescale_packets, route_media
 from streamlens.sinks.recorders import record
@@ -23,8 +23,8 @@ def recorded_packets(
     """Packets of each recording, ready to be written, with the session they belong to."""
     sessions = sessions_from_commands(commands, cell_seconds=cell_seconds)
     rest = [c for c in frames.columns if c not in ("stream_id", "frame_id", "ts")]
-    packets = record_sessions(frames, sessions, rest, cell_seconds)
-    routed = route_media(packets, cell_seconds=cell_seconds)
+    packets = record_sessions(frames, sessions, rest, cell_seconds, keep_cells=True)
+    routed = route_media(packets).drop(CELL)
     return rescale_packets(routed, video_tb, audio_tb, out_video_tb, out_audio_tb)
 
 

@@ -78,7 +78,7 @@ def rescale_ts_(spark, sf):
 
 @query
 def route_media_(spark, sf):
-    routed = recording.route_media(ev.frames(spark, sf), cell_seconds=ev.cell_seconds(spark, sf))
+    routed = recording.route_media(ev.frames(spark, sf, keep_cells=True))
     return routed.select("stream_id", "frame_id", "media", "out_index")
 
 
@@ -208,8 +208,7 @@ def until_timeout(spark, sf):
 
 
 def _routed(spark: SparkSession, sf: str) -> DataFrame:
-    frames = ev.frames(spark, sf).withColumn("dts", F.col("pts"))
-    return recording.route_media(frames, cell_seconds=ev.cell_seconds(spark, sf))
+    return recording.route_media(ev.frames(spark, sf, keep_cells=True))
 
 
 @query
@@ -225,7 +224,7 @@ def segment_manifest(spark, sf):
 
 @query
 def interleave(spark, sf):
-    numbered = recording.interleave(_routed(spark, sf), cell_seconds=ev.cell_seconds(spark, sf))
+    numbered = recording.interleave(_routed(spark, sf), "pts")
     return numbered.select("stream_id", "seq", "frame_id", "out_index")
 
 

@@ -22,11 +22,13 @@ def to_frames(
     time: str = "ts",
     tb: tuple[int, int] = MICROS,
     cell_seconds: int = DEFAULT_CELL_SECONDS,
+    keep_cells: bool = False,
 ) -> DataFrame:
     """Add ``pts`` (ticks since the stream's first row) and ``t`` (seconds).
 
     ``time`` is a timestamp, or a BIGINT already counting ticks of ``tb``. The
-    first row is taken over all rows of the stream, whatever their media.
+    first row is taken over all rows of the stream, whatever their media. With
+    ``keep_cells`` the operators that follow reuse the partitioning made here.
     """
     named = df.withColumnsRenamed({stream: "stream_id", order: "frame_id"})
     width = max(1, cell_seconds * tb[1] // tb[0])
@@ -37,11 +39,8 @@ def to_frames(
         lambda w: [F.min("_first").over(w.whole).alias("_origin")],
     )
     pts = clock(started, time) - clock(started, "_origin")
-    return (
-        started.withColumn("pts", pts)
-        .withColumn("t", pts_to_seconds("pts", *tb))
-        .drop(CELL, "_origin")
-    )
+    frames = started.withColumn("pts", pts).withColumn("t", pts_to_seconds("pts", *tb))
+    return frames.drop("_origin") if keep_cells else frames.drop("_origin", CELL)
 
 
 def stream_durations(frames: DataFrame, stream: str = "stream_id") -> DataFrame:

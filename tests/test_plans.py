@@ -40,11 +40,18 @@ def test_no_product_and_no_single_task(large, name):
              "interleave", "name_frames", "sample_at_times", "screenshot_responses"]
 )
 def test_windows_over_rows_stay_in_cells(large, name):
-    """A window either works inside a cell or on summaries that are ordered by cell."""
+    """A window works inside a cell or on summaries, in the order of cells or in none."""
     plan = plan_of(all_queries()[name](large, SF))
     windows = re.findall(r"windowspecdefinition\(([^)]*?specifiedwindowframe)", plan)
     assert windows
-    assert all("_cell" in w for w in windows)
+    assert all("_cell" in w for w in windows if "NULLS" in w)
+
+
+def test_kept_cells_save_shuffles(large):
+    """Rows are shuffled once for their origin, their routing and their numbers."""
+    plan = plan_of(all_queries()["interleave"](large, SF))
+    rows = plan.split("Exchange")[0]
+    assert rows.count("SortMergeJoin") == 3
 
 
 @pytest.mark.parametrize("name", BATCH)
