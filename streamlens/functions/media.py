@@ -23,8 +23,19 @@ def _col(c: Column | str) -> Column:
 
 
 def micros(ts: Column | str) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp, as BIGINT."""
-    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), _col(ts))
+    """Microseconds since 1970 of a zone-free timestamp, as BIGINT, in any session time zone."""
+    span = _col(ts) - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+
+    def part(unit: str, each: int) -> Column:
+        return (F.extract(F.lit(unit), span) * F.lit(each)).cast("bigint")
+
+    # The longest units are BIGINT constants, the seconds a DECIMAL with six places.
+    return (
+        part("DAY", 86_400_000_000)
+        + part("HOUR", 3_600_000_000)
+        + F.extract(F.lit("MINUTE"), span).cast("bigint") * 60_000_000
+        + part("SECOND", 1_000_000)
+    )
 
 
 def pts_to_seconds(pts: Column | str, num: int = 1, den: int = 1_000_000) -> Column:

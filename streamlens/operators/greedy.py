@@ -9,10 +9,26 @@ value of the current stream, so memory does not grow with the stream.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import StructType
+
+Walk = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def walk_in_order(
+    df: DataFrame, stream: str, order: Sequence[str | Column], walk: Walk, schema: StructType
+) -> DataFrame:
+    """Pass each stream's rows, in order, through a Python function of Arrow batches.
+
+    A batch may end inside a stream and hold several; the function keeps what it
+    needs of the stream it is in. Cut ``df`` down first, as a stream is one task's.
+    """
+    ordered = df.repartition(stream).sortWithinPartitions(stream, *order)
+    return ordered.mapInArrow(walk, schema)
 
 
 def _runs(keys: list) -> Iterator[tuple[int, int]]:
@@ -24,7 +40,7 @@ def _runs(keys: list) -> Iterator[tuple[int, int]]:
             start = i
 
 
-def interval_walk(interval: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def interval_walk(interval: int) -> Walk:
     """Over (stream, second, ...) rows, one per second: keep those a gap apart."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +62,7 @@ def interval_walk(interval: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return walk
 
 
-def percentage_walk(
-    pct: int, schema: pa.Schema
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def percentage_walk(pct: int, schema: pa.Schema) -> Walk:
     """Over (stream, duration, t, frame) rows, led by one row per stream with its duration.
 
     The share is a double and so is the last kept one; the comparison must be

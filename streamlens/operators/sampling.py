@@ -17,7 +17,7 @@ from streamlens.operators.cells import (
     in_cell,
     with_cell,
 )
-from streamlens.operators.greedy import interval_walk, percentage_walk
+from streamlens.operators.greedy import interval_walk, percentage_walk, walk_in_order
 
 HOT_STREAM_ROWS = 20_000_000
 
@@ -44,11 +44,7 @@ def sample_interval(
         .agg(F.min(F.struct(t, tiebreak)).alias("_first"))
         .select(stream, "_second", F.col(f"_first.{tiebreak}"), F.col(f"_first.{t}"))
     )
-    kept = (
-        seconds.repartition(stream)
-        .sortWithinPartitions(stream, "_second")
-        .mapInArrow(interval_walk(interval), seconds.schema)
-    )
+    kept = walk_in_order(seconds, stream, ["_second"], interval_walk(interval), seconds.schema)
     return kept.select(stream, tiebreak, t)
 
 
@@ -104,12 +100,9 @@ def _share_by_walk(rows, pct, totals, stream, t, tiebreak) -> DataFrame:
     body = rows.select(stream, F.lit(None).cast("bigint").alias("duration"), t, tiebreak)
     fields = {f.name: f for f in rows.schema}
     schema = StructType([fields[stream], fields[tiebreak], fields[t]]).add("pct", DoubleType())
-    return (
-        body.unionByName(lead)
-        .repartition(stream)
-        .sortWithinPartitions(stream, F.col("duration").asc_nulls_last(), t, tiebreak)
-        .mapInArrow(percentage_walk(pct, to_arrow_schema(schema)), schema)
-    )
+    order = [F.col("duration").asc_nulls_last(), t, tiebreak]
+    walk = percentage_walk(pct, to_arrow_schema(schema))
+    return walk_in_order(body.unionByName(lead), stream, order, walk, schema)
 
 
 def _share_by_rounds(rows, pct, totals, stream, t, tiebreak) -> DataFrame:

@@ -106,34 +106,30 @@ class LayoutState(StatefulProcessor):
     """Remembers the running streams of a mix; each input row is one full stream list."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        entry = "url string, " + ", ".join(f"{g} int" for g in GEOMETRY)
-        self.streams = handle.getMapState("streams", "id string", entry)
-        self.seen = handle.getValueState("seen", "seen boolean")
+        entry = "id: string, url: string, " + ", ".join(f"{g}: int" for g in GEOMETRY)
+        self.state = handle.getValueState("layout", f"streams array<struct<{entry}>>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
         updates = _ordered(rows, "ver")
-        first = not self.seen.exists()
+        first = not self.state.exists()
+        active = {} if first else {s[0]: tuple(s) for s in self.state.get()[0]}
         out = []
         for ver, streams in zip(updates["ver"], updates["streams"]):
             # Of entries with the same id the last one counts.
-            new = {s["id"]: (s["url"], *(s[g] for g in GEOMETRY)) for s in streams}
-            old = {k[0]: v for k, v in self.streams.iterator()} if self.streams.exists() else {}
-            for gone in old.keys() - new.keys():
-                self.streams.removeKey((gone,))
-                out.append((key[0], ver, gone, "removed"))
+            new = {s["id"]: (s["id"], s["url"], *(s[g] for g in GEOMETRY)) for s in streams}
+            changes = {gone: "removed" for gone in active.keys() - new.keys()}
             for name, entry in new.items():
-                if name not in old:
-                    change = "added"
-                elif tuple(old[name][1:]) != entry[1:]:
-                    change = "updated"
+                if name not in active:
+                    changes[name] = "added"
+                elif active[name][2:] != entry[2:]:
+                    changes[name] = "updated"
                 else:
-                    change = "unchanged"
-                if change in ("added", "updated"):
-                    self.streams.updateValue((name,), entry)
-                if not first:
-                    out.append((key[0], ver, name, change))
+                    changes[name] = "unchanged"
+            active = {n: active[n] if changes[n] == "unchanged" else e for n, e in new.items()}
+            if not first:
+                out += [(key[0], ver, name, change) for name, change in changes.items()]
             first = False
-        self.seen.update((True,))
+        self.state.update(([tuple(s) for s in active.values()],))
         if out:
             yield pd.DataFrame(out, columns=["task_id", "ver", "id", "change"])
 

@@ -2,10 +2,13 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 import naive
+from streamlens.functions.media import micros
 from streamlens.operators import control, gaps
 from streamlens.operators.cells import measure_cell_seconds
+from streamlens.streaming import operators as live
 
 START = datetime(2024, 1, 1)
 COMMAND = "stream_id bigint, event_id bigint, ts timestamp_ntz, action string"
@@ -118,3 +121,23 @@ def test_cell_width_follows_the_fullest_cell(spark):
     assert measure_cell_seconds(df, target_rows=600) == 600
     assert measure_cell_seconds(df, target_rows=30) == 30
     assert measure_cell_seconds(df, None, target_rows=7202) == 7200
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_clock_knows_no_time_zone(spark, zone):
+    """Also in the hour a clock change skips or repeats."""
+    moments = [
+        datetime(2024, 3, 10, 1, 59, 59, 999999), datetime(2024, 3, 10, 2, 30),
+        datetime(2024, 11, 3, 1, 30), datetime(1969, 12, 31, 23, 59, 59, 999999),
+        datetime(1970, 1, 1), datetime(2100, 6, 7, 8, 9, 10, 11),
+    ]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(m,) for m in moments], "ts timestamp_ntz")
+        got = [r[0] for r in df.select(micros("ts")).collect()]
+        back = df.select(live._zone_free(F.timestamp_micros(micros("ts")))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [(m - datetime(1970, 1, 1)) // timedelta(microseconds=1) for m in moments]
+    assert [r[0] for r in back] == moments

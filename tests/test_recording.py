@@ -183,3 +183,12 @@ def test_packet_tables(spark, tmp_path):
     (tmp_path / "files" / "a.mp4").write_bytes(b"12345")
     found = media_files(spark, f"{tmp_path}/files", "*.mp4").collect()
     assert [(r["url"].endswith("/a.mp4"), r["length"]) for r in found] == [(True, 5)]
+
+
+def test_methods_suit_inputs(spark):
+    df = spark.createDataFrame(
+        [(m, u) for m in ("interval", "percentage", "immediate", "specific_time") for u in ("rtmp://a", "a.mp4")],
+        "m string, u string",
+    )
+    got = [r[0] for r in df.select(media.method_allowed("m", "u")).collect()]
+    assert got == [True, True, False, True, True, False, False, True]

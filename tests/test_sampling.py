@@ -1,11 +1,13 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import naive
 from streamlens.operators import sampling
+from streamlens.operators.greedy import walk_in_order
 from streamlens.sinks.frames import name_frames
 from streamlens.sources.frames import stream_durations, to_frames
 
@@ -171,3 +173,27 @@ def test_frames_from_ticks(spark, cell_seconds):
     assert rows[2] == (1, 90_000, 90_000 * (1 / 90_000))
     assert rows[3] == (1, 89_100_000, 89_100_000 * (1 / 90_000))
     assert rows[9] == (2, 0, 0.0)
+
+
+def test_callback_per_stream(spark, frames, streams):
+    """A user's function of each stream's frames, here the gaps between them."""
+    schema = frames.select("stream_id", F.col("t").alias("gap")).schema
+
+    def gaps(batches):
+        stream, last = None, None
+        for batch in batches:
+            out = []
+            for s, t in zip(batch["stream_id"].to_pylist(), batch["t"].to_pylist()):
+                if s == stream:
+                    out.append((s, t - last))
+                stream, last = s, t
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())],
+                ["stream_id", "gap"],
+            )
+
+    got = defaultdict(list)
+    for r in walk_in_order(frames, "stream_id", ["t", "frame_id"], gaps, schema).collect():
+        got[r["stream_id"]].append(r["gap"])
+    want = {s: [b - a for (a, _), (b, _) in zip(sorted(r), sorted(r)[1:])] for s, r in streams.items()}
+    assert got == {s: g for s, g in want.items() if g}
