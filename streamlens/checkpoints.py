@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the session names; a local one only where none is named, as in tests."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a folder that all executors share.")
         named = tempfile.mkdtemp(prefix="streamlens-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

@@ -13,19 +13,22 @@ from streamlens.operators.cells import (
     clock,
     in_cell,
     ticks_per_second,
-    with_cell,
+    with_cell_width,
 )
 
 # Fixed value: seconds without a packet after which an input counts as dead.
 READ_TIMEOUT_SECONDS = 3
 
 
-def _flag_gaps(df: DataFrame, gap: float, time: str, cell_seconds: int) -> DataFrame:
-    """Add ``_tick`` and ``_gap``: the row follows an earlier one *of its cell* by too long."""
-    limit = int(gap * ticks_per_second(df, time))
-    celled = with_cell(df, time, cell_seconds).withColumn("_tick", clock(df, time))
+def _ticked(df: DataFrame, time: str, cell_seconds: int) -> DataFrame:
+    ticks = df.withColumn("_tick", clock(df, time))
+    return with_cell_width(ticks, "_tick", cell_seconds * ticks_per_second(df, time))
+
+
+def _flag_gaps(ticked: DataFrame, limit: int) -> DataFrame:
+    """Add ``_gap``: the row follows an earlier one *of its cell* by more than ``limit``."""
     before = F.lag("_tick").over(in_cell(["stream_id"], "_tick"))
-    return celled.withColumn("_gap", F.coalesce(F.col("_tick") - before > limit, F.lit(False)))
+    return ticked.withColumn("_gap", F.coalesce(F.col("_tick") - before > limit, F.lit(False)))
 
 
 def gap_sessions(
@@ -41,7 +44,7 @@ def gap_sessions(
     cell summaries decide that and give each cell the number its runs start at.
     """
     limit = int(gap * ticks_per_second(df, time))
-    flagged = _flag_gaps(df.select("stream_id", time), gap, time, cell_seconds)
+    flagged = _flag_gaps(_ticked(df.select("stream_id", time), time, cell_seconds), limit)
     run = F.sum(F.col("_gap").cast("int")).over(
         in_cell(["stream_id"], "_tick").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -88,7 +91,8 @@ def until_timeout(
 ) -> DataFrame:
     """The rows of each stream before its first gap longer than ``gap`` seconds."""
     limit = int(gap * ticks_per_second(df, time))
-    flagged = _flag_gaps(df.select("stream_id", time), gap, time, cell_seconds)
+    ticked = _ticked(df, time, cell_seconds)
+    flagged = _flag_gaps(ticked.select("stream_id", CELL, "_tick"), limit)
     summary = flagged.groupBy("stream_id", CELL).agg(
         F.min("_tick").alias("_first"),
         F.max("_tick").alias("_final"),
@@ -102,9 +106,7 @@ def until_timeout(
         "stream_id", CELL, F.min("_here").over(w.up_to).alias("_cut")
     )
     return (
-        with_cell(df, time, cell_seconds)
-        .withColumn("_tick", clock(df, time))
-        .join(cuts, ["stream_id", CELL])
+        ticked.join(cuts, ["stream_id", CELL])
         .filter(F.col("_cut").isNull() | (F.col("_tick") < F.col("_cut")))
         .select(*df.columns)
     )

@@ -131,9 +131,13 @@ def segment_manifest(
     df: DataFrame, seconds: int = SEGMENT_SECONDS, base: str = "out"
 ) -> DataFrame:
     """One playlist row per segment: its file name, time span and number of rows."""
+    return manifest_of(assign_segments(df, seconds), base)
+
+
+def manifest_of(cut: DataFrame, base: str = "out") -> DataFrame:
+    """The playlist of rows that have their ``segment_no`` already."""
     return (
-        assign_segments(df, seconds)
-        .groupBy("stream_id", "segment_no")
+        cut.groupBy("stream_id", "segment_no")
         .agg(
             F.min("t").alias("start_t"),
             F.max("t").alias("end_t"),

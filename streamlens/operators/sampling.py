@@ -67,16 +67,16 @@ def sample_percentage(
         raise ValueError("Percentage must be between 1 and 100.")
     rows = df.select(stream, tiebreak, t).filter(F.col(t).isNotNull())
     totals = duration.select(stream, F.col("duration").cast("bigint").alias("duration"))
-    shared_dir(df.sparkSession)
     hot = (
         rows.groupBy(stream)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
         .select(stream)
-        .checkpoint()
     )
     if hot.isEmpty():
         return _share_by_walk(rows, pct, totals, stream, t, tiebreak)
+    shared_dir(df.sparkSession)
+    hot = hot.checkpoint()
     # At most (all rows / hot_rows) streams are hot, so this side is small.
     hot = F.broadcast(hot)
     cold_part = _share_by_walk(

@@ -29,8 +29,12 @@ def name_frames(
 
 
 def write_frames(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write kept frames, payload included, into one folder per stream."""
-    df.write.mode(mode).partitionBy("stream_id").parquet(path)
+    """Write kept frames, payload included, into one folder per stream.
+
+    Rebalancing brings a stream's frames together, to write few files, and splits
+    a stream that is too large for one task.
+    """
+    df.hint("rebalance", "stream_id").write.mode(mode).partitionBy("stream_id").parquet(path)
 
 
 def attach_payload(kept: DataFrame, frames: DataFrame, *payload: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from streamlens.operators.recording import SEGMENT_SECONDS, assign_segments, segment_manifest
+from streamlens.operators.recording import SEGMENT_SECONDS, assign_segments, manifest_of
 
 
 def write_single(
@@ -34,17 +34,22 @@ def write_segments(
     base: str = "out",
     mode: str = "errorifexists",
 ) -> None:
-    """One output folder per segment, and the playlist of all segments beside them."""
+    """One output folder per segment, and the playlist of all segments beside them.
+
+    A segment is short, so one task writes it. The playlist is made from what was
+    written, not by cutting the packets again.
+    """
     place = ["stream_id", "segment_no"]
+    cut = assign_segments(df, seconds)
     (
-        assign_segments(df, seconds)
-        .repartition(*place)
+        cut.repartition(*place)
         .sortWithinPartitions(*place, "t", "out_index")
         .write.mode(mode)
         .partitionBy(*place)
         .parquet(f"{path}/segments")
     )
-    segment_manifest(df, seconds, base).write.mode(mode).parquet(f"{path}/manifest")
+    written = df.sparkSession.read.schema(cut.schema).parquet(f"{path}/segments")
+    manifest_of(written, base).write.mode(mode).parquet(f"{path}/manifest")
 
 
 _RECORDERS: dict[str, Callable[..., None]] = {"mp4": write_single, "hls": write_segments}

@@ -31,16 +31,18 @@ def to_frames(
     ``keep_cells`` the operators that follow reuse the partitioning made here.
     """
     named = df.withColumnsRenamed({stream: "stream_id", order: "frame_id"})
+    ticked = named.withColumn("_tick", clock(named, time))
     width = max(1, cell_seconds * tb[1] // tb[0])
     started = carry(
-        with_cell_width(named, time, width),
+        with_cell_width(ticked, "_tick", width),
         ["stream_id"],
-        [F.min(time).alias("_first")],
+        [F.min("_tick").alias("_first")],
         lambda w: [F.min("_first").over(w.whole).alias("_origin")],
     )
-    pts = clock(started, time) - clock(started, "_origin")
-    frames = started.withColumn("pts", pts).withColumn("t", pts_to_seconds("pts", *tb))
-    return frames.drop("_origin") if keep_cells else frames.drop("_origin", CELL)
+    frames = started.withColumn("pts", F.col("_tick") - F.col("_origin")).withColumn(
+        "t", pts_to_seconds("pts", *tb)
+    )
+    return frames.select(*named.columns, "pts", "t", *([CELL] if keep_cells else []))
 
 
 def stream_durations(frames: DataFrame, stream: str = "stream_id") -> DataFrame:
