@@ -27,16 +27,19 @@ TARGET_CELL_ROWS = 2_000_000
 
 def clock(df: DataFrame, name: str) -> Column:
     """A column as a BIGINT clock: microseconds, days or plain ticks by its type."""
-    kind = df.schema[name].dataType
+    return clock_of(df.schema[name].dataType, F.col(name))
+
+
+def clock_of(kind: T.DataType, value: Column) -> Column:
     if isinstance(kind, T.TimestampNTZType):
-        return micros(name)
+        return micros(value)
     if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name))
+        return F.unix_micros(value)
     if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("bigint")
+        return F.unix_date(value).cast("bigint")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.floor(F.col(name) * F.lit(1_000_000.0))
-    return F.col(name).cast("bigint")
+        return F.floor(value * F.lit(1_000_000.0))
+    return value.cast("bigint")
 
 
 def ticks_per_second(df: DataFrame, name: str) -> int:
@@ -56,11 +59,13 @@ def with_cell_width(df: DataFrame, name: str, width: int) -> DataFrame:
 
     Rows that kept the cells of an earlier operator are still partitioned by them
     and need no further shuffle. Any clock that orders a stream in the same way
-    makes the same use of them.
+    makes the same use of them. Rows without a time are in no cell and left out,
+    which is said here so that rows and summaries have one plan to share.
     """
     if CELL in df.columns:
         return df
-    return df.withColumn(CELL, F.call_function("div", clock(df, name), F.lit(width)))
+    cell = F.call_function("div", clock(df, name), F.lit(width))
+    return df.withColumn(CELL, cell).filter(F.col(CELL).isNotNull())
 
 
 def measure_cell_seconds(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from streamlens.operators.cells import (
     CELL,
@@ -11,8 +14,10 @@ from streamlens.operators.cells import (
     CellWindows,
     carry,
     clock,
+    clock_of,
     in_cell,
     ticks_per_second,
+    with_cell,
     with_cell_width,
 )
 
@@ -20,17 +25,6 @@ from streamlens.operators.cells import (
 READ_TIMEOUT_SECONDS = 3
 
 
-def _ticked(df: DataFrame, time: str, cell_seconds: int) -> DataFrame:
-    ticks = df.withColumn("_tick", clock(df, time))
-    return with_cell_width(ticks, "_tick", cell_seconds * ticks_per_second(df, time))
-
-
-def _flag_gaps(ticked: DataFrame, limit: int) -> DataFrame:
-    """Add ``_gap``: the row follows an earlier one *of its cell* by more than ``limit``."""
-    before = F.lag("_tick").over(in_cell(["stream_id"], "_tick"))
-    return ticked.withColumn("_gap", F.coalesce(F.col("_tick") - before > limit, F.lit(False)))
-
-
 def gap_sessions(
     df: DataFrame,
     gap: float = READ_TIMEOUT_SECONDS,
@@ -44,34 +38,41 @@ def gap_sessions(
     cell summaries decide that and give each cell the number its runs start at.
     """
     limit = int(gap * ticks_per_second(df, time))
-    flagged = _flag_gaps(_ticked(df.select("stream_id", time), time, cell_seconds), limit)
-    run = F.sum(F.col("_gap").cast("int")).over(
-        in_cell(["stream_id"], "_tick").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    kind = df.schema[time].dataType
+
+    def apart(later: Column, earlier: Column) -> Column:
+        if isinstance(kind, TimestampNTZType):
+            return later - earlier > F.lit(timedelta(microseconds=limit))
+        return clock_of(kind, later) - clock_of(kind, earlier) > limit
+
+    order = in_cell(["stream_id"], time)
+    # Only the time itself goes through the shuffle, so both uses of the runs share it.
+    celled = with_cell(df.select("stream_id", time), time, cell_seconds)
+    marked = celled.withColumn("_before", F.lag(time).over(order))
+    begins = F.coalesce(apart(F.col(time), F.col("_before")), F.lit(False)).cast("int")
     runs = (
-        flagged.withColumn("_run", run)
+        marked.withColumn("_begins", begins)
+        .withColumn("_run", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("stream_id", CELL, "_run")
         .agg(
             F.min(time).alias("_start"),
             F.max(time).alias("_last"),
-            F.min("_tick").alias("_from"),
-            F.max("_tick").alias("_to"),
             F.count(F.lit(1)).alias("_n"),
         )
     )
 
-    def numbering(w):
-        joins = F.col("_first") - F.lag("_final").over(w.order) <= limit
+    def numbering(w: CellWindows) -> list[Column]:
         # One less where the first run carries on the session of the cell before.
+        joins = ~apart(F.col("_first"), F.lag("_final").over(w.order))
         new = F.col("_runs") - F.coalesce(joins, F.lit(False)).cast("int")
-        return [F.sum(new).over(w.up_to).alias("_upto"), "_runs"]
+        return [F.sum(new).over(w.up_to).alias("_upto"), F.col("_runs")]
 
     numbered = carry(
         runs,
         ["stream_id"],
         [
-            F.min("_from").alias("_first"),
-            F.max("_to").alias("_final"),
+            F.min("_start").alias("_first"),
+            F.max("_last").alias("_final"),
             F.count(F.lit(1)).alias("_runs"),
         ],
         numbering,
@@ -91,12 +92,18 @@ def until_timeout(
 ) -> DataFrame:
     """The rows of each stream before its first gap longer than ``gap`` seconds."""
     limit = int(gap * ticks_per_second(df, time))
-    ticked = _ticked(df, time, cell_seconds)
-    flagged = _flag_gaps(ticked.select("stream_id", CELL, "_tick"), limit)
-    summary = flagged.groupBy("stream_id", CELL).agg(
-        F.min("_tick").alias("_first"),
-        F.max("_tick").alias("_final"),
-        F.min(F.when(F.col("_gap"), F.col("_tick"))).alias("_inner"),
+    ticks = df.withColumn("_tick", clock(df, time))
+    ticked = with_cell_width(ticks, "_tick", cell_seconds * ticks_per_second(df, time))
+    before = F.lag("_tick").over(in_cell(["stream_id"], "_tick"))
+    summary = (
+        ticked.select("stream_id", CELL, "_tick")
+        .withColumn("_before", before)
+        .groupBy("stream_id", CELL)
+        .agg(
+            F.min("_tick").alias("_first"),
+            F.max("_tick").alias("_final"),
+            F.min(F.when(F.col("_tick") - F.col("_before") > limit, F.col("_tick"))).alias("_inner"),
+        )
     )
     w = CellWindows.over(["stream_id"])
     late = F.col("_first") - F.lag("_final").over(w.order) > limit

@@ -47,6 +47,11 @@ def test_windows_over_rows_stay_in_cells(large, name):
     assert all("_cell" in w for w in windows if "NULLS" in w)
 
 
+def test_runs_and_their_summary_share_one_shuffle(large):
+    plan = plan_of(all_queries()["gap_sessions"](large, SF))
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
 def test_kept_cells_save_shuffles(large):
     """Rows are shuffled once for their origin, their routing and their numbers."""
     plan = plan_of(all_queries()["interleave"](large, SF))
