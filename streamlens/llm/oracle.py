@@ -33,7 +33,7 @@ f AS (
     + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END)::BIGINT AS failed
   FROM m
 )
-SELECT *, failed % 4 <> 0 AS base_failed, failed = 0 AS kept FROM f
+SELECT *, failed % 4 <> 0 AS base_failed, failed % 8 = 0 AS kept FROM f
 """
 
 OP3 = rf"""
