@@ -1,8 +1,9 @@
 """Toxicity scores from a learned lexicon, fuzzy matching and the context of each match.
 
 ``fit`` learns from a bounded sample of labelled rows: whole words and beginnings of words that
-stand in toxic texts far more often than chance allows, weighted by their log-odds; how
-much a misspelling of each term is worth; and how much a quoted match is worth. ``score`` walks
+stand in toxic texts far more often than chance allows, once or repeatedly, weighted by the
+log-odds of each count; how much a misspelling of each term is worth; and how much a quoted
+match is worth. ``score`` walks
 every word of a text through the lexicon's trie intersected with Levenshtein automata of
 distance one: states are sets of (trie node, edits), determinised as they are met, so that a
 word costs one step for each letter and most words die after two. A match is worth less inside
@@ -27,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamlens.llm.common import stored
+
 #: Labelled rows that are learned from, chosen by a hash of their id.
 FIT_ROWS = 12_000
 MAX_TERMS = 2_000
-PREFIXES = (4, 5, 6)
+PREFIXES = range(3, 9)
+#: Counts of a term in a text that are told apart; the last is "or more".
+LEVELS = 3
 #: Least length of a term that may be misspelled.
 FUZZY = 5
 #: Characters before and after a match that are searched for quotation marks.
@@ -128,7 +133,8 @@ def quoted(text: str, start: int, end: int) -> bool:
 @dataclass
 class Model:
     terms: list[tuple[str, bool]] = field(default_factory=list)
-    exact: list[float] = field(default_factory=list)
+    #: For each term what one, two, and three or more matches are worth.
+    exact: list[list[float]] = field(default_factory=list)
     fuzzy: list[float] = field(default_factory=list)
     quote: float = 1 / 3
     prior: float = -3.0
@@ -190,8 +196,16 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def _features(text: str | None) -> set[str]:
-    words = {folded(t) for t in set(_TOKEN.findall(text or ""))}
-    return {w for w in words if len(w) > 2} | {w[:n] + "*" for w in words for n in PREFIXES if len(w) > n}
+    """Words and beginnings of words (with a star), after the count that they reach in the text."""
+    counts: Counter = Counter()
+    for token, n in Counter(_TOKEN.findall(text or "")).items():
+        word = folded(token)
+        if len(word) > 2:
+            counts[word] += n
+        for size in PREFIXES:
+            if len(word) > size:
+                counts[word[:size] + "*"] += n
+    return {f"{k}{term}" for term, n in counts.items() for k in range(1, min(n, LEVELS) + 1)}
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +235,42 @@ def _evidence(toxic: int, other: int, share: float) -> float:
     return part(toxic, share) + part(other, 1 - share)
 
 
+def _stem(feature: str) -> str:
+    return feature[1:].rstrip("*")
+
+
+def _chosen(rows: list[tuple[int, list[str]]], strong: dict[str, float], need: float, share: float) -> list[tuple[str, bool]]:
+    """Terms whose evidence does not rest on texts that a related, stronger term has explained.
+
+    Terms are related if one begins with the other.
+    """
+    having: dict[str, set[int]] = {}
+    for k, (_, features) in enumerate(rows):
+        for feature in features:
+            having.setdefault(feature, set()).add(k)
+    terms: list[tuple[str, bool]] = []
+    explained: list[tuple[str, set[int]]] = []
+    by_strength = sorted(strong, key=lambda f: (-strong[f], f.endswith("*"), -len(f), f))
+    for feature in by_strength:
+        stem, left = _stem(feature), having.get(feature, set())
+        for other, texts in explained:
+            if stem.startswith(other) or other.startswith(stem):
+                left = left - texts
+        toxic = sum(rows[k][0] for k in left)
+        if toxic * 2 > len(left) and _evidence(toxic, len(left) - toxic, share) >= need:
+            explained.append((stem, having[feature]))
+            term = (stem, feature.endswith("*"))
+            if term not in terms:
+                terms.append(term)
+    return terms
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Model:
-    """Learn terms and weights from at most ``rows`` labelled rows that are not held out."""
-    from streamlens.llm.common import stored
+    """Learn terms and weights from at most ``rows`` labelled rows that are not held out.
 
+    What reaches the driver are at most ``max_terms`` features and, for each row of the sample, which of
+    them it has.
+    """
     sample = stored(_sample(docs, labels, rows), "toxicity-sample")
     counts = sample.mapInArrow(_count_features, "feature string, toxic long, other long")
     summed = stored(counts.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")), "toxicity-counts")
@@ -235,53 +281,68 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     n_toxic, n_other = total["t"], total["o"]
     share = n_toxic / (n_toxic + n_other)
     model.prior = math.log(share / (1 - share))
-    need = math.log(max(2, summed.count())) + 3
-    strong = (
-        summed.filter((F.col("feature") != "") & (F.col("t") >= 3) & (F.col("t") > F.col("o")))
+    need = math.log(max(2, summed.count())) + 1
+    strong = {
+        feature: evidence
+        for feature, t, o in summed.filter((F.col("feature") != "") & (F.col("t") >= 3) & (F.col("t") > F.col("o")))
         .orderBy(F.desc(F.col("t") - F.col("o")), "feature")
         .limit(max_terms)
         .collect()
-    )
-    for feature, t, o in strong:
-        if _evidence(t, o, share) >= need:
-            model.terms.append((feature.rstrip("*"), feature.endswith("*")))
-            model.exact.append(math.log((t + 0.5) / (n_toxic + 1)) - math.log((o + 0.5) / (n_other + 1)))
-    terms = model.terms
+        if (evidence := _evidence(t, o, share)) >= need
+    }
+
+    def find_strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(f for f in _features(t) if f in strong) for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "found"])
+
+    having = sample.mapInArrow(find_strong, "toxic int, found array<string>").filter(F.size("found") > 0).collect()
+    terms = model.terms = _chosen([(int(r[0] == 1), r[1]) for r in having], strong, need, share)
 
     def count_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by term for misspelled matches, at -1 for quoted and at -2 for no matches."""
+        """Rows by term and count of matches; misspelled ones have count 0, quoted ones term -1, none at all term -2."""
         matcher, seen = Matcher(terms), (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
                 found = matcher.matches(text)
-                exact = {k for k, e, _ in found if e == 0}
-                which = {k for k, e, _ in found if e} if not exact else set()
-                which |= {-1} if any(q for *_, q in found) else set()
-                seen[toxic == 1].update(which or ({-2} if not found else ()))
+                exact = Counter(k for k, e, _ in found if e == 0)
+                which = {(k, min(n, LEVELS)) for k, n in exact.items()}
+                if not exact:
+                    which |= {(k, 0) for k, e, _ in found if e}
+                if any(q for *_, q in found):
+                    which.add((-1, 0))
+                seen[toxic == 1].update(which or {(-2, 0)})
         keys = list(seen[0].keys() | seen[1].keys())
-        columns = [pa.array(keys, pa.int64()), *(pa.array([c[k] for k in keys], pa.int64()) for c in reversed(seen))]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "other"])
-
-    found = sample.mapInArrow(count_matches, "term long, toxic long, other long")
-    by_term = {r["term"]: (r["t"], r["o"]) for r in found.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).collect()}
-    for k, weight in enumerate(model.exact):
-        t, o = by_term.get(k, (0, 0))
-        # without evidence a misspelling is worth half the term; other texts that have it count against it
-        seen = math.log((t + 0.5) / (o + 0.5)) - model.prior
-        model.fuzzy.append(weight / 2 if t + o == 0 else min(weight, seen))
-    t, o = by_term.get(-1, (0, 0))
+        columns = [pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)]
+        columns += [pa.array([c[k] for k in keys], pa.int64()) for c in reversed(seen)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "toxic", "other"])
+
+    found = sample.mapInArrow(count_matches, "term long, n long, toxic long, other long")
+    summed_by = found.groupBy("term", "n").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).collect()
+    by_term = {(r["term"], r["n"]): (r["t"], r["o"]) for r in summed_by}
+    odds = lambda t, o: math.log((t + 0.5) / (n_toxic + 1)) - math.log((o + 0.5) / (n_other + 1))
+    for k in range(len(terms)):
+        weights = [odds(*by_term.get((k, n), (0, 0))) for n in range(1, LEVELS + 1)]
+        # more matches are never worth less
+        model.exact.append([max(weights[: n + 1]) for n in range(LEVELS)])
+        t, o = by_term.get((k, 0), (0, 0))
+        # without evidence a misspelling is worth half the term; texts that have it count against it
+        model.fuzzy.append(weights[0] / 2 if t + o == 0 else min(weights[0], odds(t, o)))
+    t, o = by_term.get((-1, 0), (0, 0))
     model.quote = (t + 1) / (t + o + 3)
-    t, o = by_term.get(-2, (0, 0))
+    t, o = by_term.get((-2, 0), (0, 0))
     model.none = min(model.prior, math.log((t + 0.5) / (o + 1)))
     return model
 
 
 def score_of(model: Model, found: list[tuple[int, int, bool]]) -> float:
-    worth: dict[int, float] = {}
+    plain = Counter(k for k, edits, inside in found if not edits and not inside)
+    worth = {k: model.exact[k][min(n, LEVELS) - 1] for k, n in plain.items()}
     for k, edits, inside in found:
-        weight = model.fuzzy[k] if edits else model.exact[k]
-        weight *= model.quote if inside and weight > 0 else 1
-        worth[k] = max(weight, worth.get(k, -math.inf))
+        if edits or inside:
+            weight = model.fuzzy[k] if edits else model.exact[k][0]
+            weight *= model.quote if inside and weight > 0 else 1
+            worth[k] = max(weight, worth.get(k, -math.inf))
     best = sorted((w for w in worth.values() if w > 0), reverse=True)[:3]
     logit = model.prior + sum(w / (1 << k) for k, w in enumerate(best)) if best else model.none
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
