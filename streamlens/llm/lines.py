@@ -68,7 +68,7 @@ class LineRuns:
     def _compact(self) -> None:
         for k, level in enumerate(self.levels):
             if len(level) < self.fanout:
-                break
+                continue
             merged = self._write(self.spark.read.schema(OWNER_SCHEMA).parquet(*level))
             if k + 1 == len(self.levels):
                 self.levels.append([])
