@@ -10,6 +10,7 @@ from llm_tables import TEXTS, edge_documents, no_documents, tokenizer
 
 import corpus_pipeline
 import plain
+from pyspark.sql import functions as F
 from streamlens.checkpoints import fresh_path
 from streamlens.llm import (
     chat, components, decontaminate, html_text, lines, neardup, packing, quality, shingles, tokens, toxicity, warc,
@@ -210,6 +211,10 @@ def test_deep_and_broken_pages(spark):
 # 5 token ids
 
 
+def expected_sizes(rows):
+    return {i: len(plain.encoded(tokenizer(), t, 0)) for i, t in rows}
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, encoding):
     df, rows = docs
@@ -224,8 +229,10 @@ def test_token_files(spark, docs, encoding):
         expected.append((None if i < 0 else i, start, len(ids), plain.crc(ids)))
         start += len(ids)
     assert [tuple(r) for r in found] == expected
-    some = tokens.read_tokens(spark, path, ("doc_id", "n_tokens"), df.doc_id.isNull() | (df.doc_id == 4)).schema
-    assert some.names == ["doc_id", "n_tokens"]
+    some = tokens.read_tokens(spark, path, ("doc_id", "n_tokens"), F.col("doc_id") == 8)
+    assert [tuple(r) for r in some.collect()] == [(8, expected_sizes(rows)[8])]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,8)" in plan and "ids" not in plan.split("ReadSchema")[1]
     empty = fresh_path(spark, "ids")
     tokens.write_tokens(no_documents(spark), empty)
     assert tokens.token_index(spark, empty).count() == 0

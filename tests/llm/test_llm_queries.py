@@ -1,5 +1,7 @@
 """The registered queries beside their SQL, or beside plain loops where SQL cannot express them."""
 
+from html import unescape
+
 import pytest
 from llm_tables import load, tokenizer
 
@@ -73,7 +75,7 @@ def test_every_page_is_rendered(spark):
     assert set(rows) == set(pages)
     for page_id, html in pages.items():
         assert "track(" not in rows[page_id] and "margin:0" not in rows[page_id]
-        title = html.split("<h1>")[1].split("</h1>")[0]
+        title = unescape(html.split("<h1>")[1].split("</h1>")[0])
         assert " ".join(title.split()) in rows[page_id]
 
 
