@@ -8,8 +8,8 @@ region of more than ``CAP`` classes is taken as overlapping stretches of ``CAP``
 sorted order, so depth adapts to how crowded a region is: each class meets the neighbours
 with the longest common prefixes, on both sides.
 
-Regions are gathered into bins of bounded size, the full sets of their classes are attached, and a
-task computes all intersections in a region as products of an incidence matrix; it returns a
+Of regions with the same classes, which trees give again and again, only the first stays. Regions
+are gathered into bins of bounded size, the full sets of their classes are attached, and a task computes all intersections in a region as products of an incidence matrix; it returns a
 star for each group that is linked within the region, never its pairs. Trees come in two
 waves: regions of the second wave whose classes the first has all put into one component
 are left out.
@@ -25,6 +25,7 @@ table gives an empty table. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +42,9 @@ SHARE = 85
 #: Values of a signature; trees; values in a tree's order; values that a region shares.
 HASHES, TREES, ORDER, DEPTH = 128, 16, 10, 4
 #: The trees of the first wave.
-FIRST = 4
-#: Classes in a region, and shingles in a bin.
-CAP, BIN_SHINGLES = 1024, 2_000_000
+FIRST = 3
+#: Classes and shingles in a region, and shingles in a bin.
+CAP, REGION_SHINGLES, BIN_SHINGLES = 1024, 2_000_000, 500_000
 
 
 def prepare(docs: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def forest_rows(classes: DataFrame) -> DataFrame:
 
 
 def regions(rows: DataFrame) -> DataFrame:
-    """Regions of at least two classes: tree, bin, region in the bin, node.
+    """Regions of at least two classes: tree, region, a digest of its classes, node, n.
 
     Sorted rows of a partition are read as a stream; what is held is a region at most ``CAP`` long.
     """
@@ -105,26 +106,25 @@ def regions(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        out: list[tuple[int, int, int, int]] = []
-        bin_no = region_no = size = 0
+        out: list[tuple[int, int, bytes, int, int]] = []
+        region_no = 0
         held: list[tuple[int, int]] = []
         prefix, fresh, total = b"", 0, 0
 
         def close() -> None:
-            nonlocal bin_no, region_no, size
+            nonlocal region_no
             if len(held) < 2 or fresh == 0:
                 return
-            tree = prefix[0]
-            if size and size + total > BIN_SHINGLES:
-                bin_no, region_no, size = bin_no + 1, 0, 0
-            out.extend((tree, part + bin_no, region_no, node) for node, _ in held)
-            region_no, size = region_no + 1, size + total
+            nodes = np.sort(np.array([node for node, _ in held], np.int64))
+            same = hashlib.blake2b(nodes.tobytes(), digest_size=16).digest()
+            out.extend((prefix[0], part + region_no, same, node, n) for node, n in held)
+            region_no += 1
 
         def batch_of() -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["tree", "bin", "region", "node"])
+            return pa.RecordBatch.from_arrays(columns, names=["tree", "region", "same", "node", "n"])
 
         for batch in batches:
             keys = batch.column("key").to_pylist()
@@ -132,7 +132,7 @@ def regions(rows: DataFrame) -> DataFrame:
                 if key[:share] != prefix:
                     close()
                     held, prefix, fresh, total = [], key[:share], 0, 0
-                elif len(held) >= CAP or total + n > BIN_SHINGLES and len(held) > 1:
+                elif len(held) >= CAP or total + n > REGION_SHINGLES and len(held) > 1:
                     close()
                     held, fresh = held[-(len(held) // 2) :], 0
                     total = sum(x for _, x in held)
@@ -145,7 +145,16 @@ def regions(rows: DataFrame) -> DataFrame:
             yield batch_of()
 
     ordered = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(read, "tree int, bin long, region long, node long")
+    return ordered.mapInArrow(read, "tree int, region long, same binary, node long, n long")
+
+
+def binned(members: DataFrame) -> DataFrame:
+    """The first of the regions with the same classes, each in one of so many bins as are needed."""
+    first = members.groupBy("same").agg(F.min("region").alias("region")).select("region")
+    kept = members.join(first, "region", "left_semi")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    bins = 1 + total // BIN_SHINGLES
+    return kept.select("tree", "region", "node", F.pmod(F.xxhash64("region"), F.lit(bins)).alias("bin"))
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -228,18 +237,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signed.groupBy("set").agg(F.min("_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature")),
         "classes",
     )
-    members = stored(regions(forest_rows(classes)), "regions")
+    members = stored(binned(stored(regions(forest_rows(classes)), "regions")), "binned")
     sets = stored(full_sets(docs, members.select("node").distinct()), "sets")
     first = stored(region_links(members.filter(F.col("tree") < FIRST), sets), "links")
     found = stored(components(first), "found")
     later = members.filter(F.col("tree") >= FIRST).join(found, "node", "left")
     open_regions = (
-        later.groupBy("bin", "region")
+        later.groupBy("region")
         .agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high"))
         .filter("low < high")
-        .select("bin", "region")
+        .select("region")
     )
-    rest = members.filter(F.col("tree") >= FIRST).join(open_regions, ["bin", "region"])
+    rest = members.filter(F.col("tree") >= FIRST).join(open_regions, "region", "left_semi")
     second = region_links(rest, sets)
     links = second.unionByName(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = stored(components(links), "roots")
