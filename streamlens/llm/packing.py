@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamlens.llm.tokens import Encoder, id_lists, slices, vocabulary_path
+from streamlens.llm.tokens import encoder_of, id_lists, slices, vocabulary_path
 
 LENGTH = 2048
 GRAIN = 512
@@ -37,27 +38,37 @@ PIECE_SCHEMA = (
 )
 
 
+_sum = itemgetter(0)
+
+
 def divide(sizes: list[int], windows: int) -> list[list[int]]:
-    """Karmarkar-Karp: the items of each window, with near-equal sums."""
-    heap = []
-    for k, size in enumerate(sizes):
-        # sums in descending order, less the smallest; the items of each window beside them
-        heap.append((-size, k, [size, *[0] * (windows - 1)], [[k], *[[] for _ in range(windows - 1)]]))
-    if windows == 1 or not sizes:
-        return [list(range(len(sizes)))] + [[] for _ in range(windows - 1)]
+    """Karmarkar-Karp: the items of each window, with near-equal sums.
+
+    A partial partition is its windows that are not empty, as (sum, items), the fullest first.
+    """
+
+    def merged(a: list, b: list) -> list:
+        shared = len(a) + len(b) - windows
+        if shared > 0:
+            # the emptiest windows of one meet the emptiest of the other, crosswise
+            alone_a, alone_b = len(a) - shared, len(b) - shared
+            both = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[alone_a:], reversed(b[alone_b:]), strict=True)]
+            a, b = a[:alone_a] + both, b[:alone_b]
+        out = a + b
+        out.sort(key=_sum, reverse=True)
+        return out
+
+    def spread(part: list) -> int:
+        return part[0][0] - (part[-1][0] if len(part) == windows else 0)
+
+    heap = [(-size, k, [(size, [k])]) for k, size in enumerate(sizes)]
     heapq.heapify(heap)
     turn = len(sizes)
     while len(heap) > 1:
-        _, _, a, of_a = heapq.heappop(heap)
-        _, _, b, of_b = heapq.heappop(heap)
-        sums = [x + y for x, y in zip(a, reversed(b), strict=True)]
-        sets = [x + y if x and y else x or y for x, y in zip(of_a, reversed(of_b), strict=True)]
-        order = sorted(range(windows), key=sums.__getitem__, reverse=True)
-        least = sums[order[-1]]
-        merged = [sums[k] - least for k in order]
-        heapq.heappush(heap, (-merged[0], turn, merged, [sets[k] for k in order]))
+        part = merged(heapq.heappop(heap)[2], heap[0][2])
+        heapq.heapreplace(heap, (-spread(part), turn, part))
         turn += 1
-    return heap[0][3]
+    return [items for _, items in heap[0][2]] if heap else []
 
 
 def windows_of(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
@@ -66,7 +77,7 @@ def windows_of(sizes: list[int], length: int = LENGTH) -> list[list[int]]:
     while True:
         made = divide(sizes, count)
         if all(sum(sizes[k] for k in window) <= length for window in made):
-            return [window for window in made if window]
+            return made
         count += 1
 
 
@@ -91,7 +102,7 @@ def pack(
     room = int(windows * length * fill)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, group, held = Encoder(vocabulary), [], 0
+        encoder, group, held = encoder_of(vocabulary), [], 0
         sequence = TaskContext.get().partitionId() << 32
 
         def rows(pieces: list[tuple], windows_made: list[list[int]]) -> pa.RecordBatch:

@@ -2,12 +2,12 @@
 
 ``Encoder`` encodes whole texts with the tokenizers library. Byte-level BPE never joins a
 character with white space after it, so a text is encoded as units of white space and
-what follows up to the next white space, and each distinct unit only once per task and store.
+what follows up to the next white space, and each distinct unit only once for all texts of a worker.
 
 ``write_tokens`` writes documents in ascending doc_id order as Parquet with a list column of
 ids: dictionary encoding (or delta encoding, without a dictionary), row groups of a given size,
-pages of a given number of rows with page indexes, and no compression of the sorted metadata's
-order: each file holds one range of doc_ids, and each row its place in the file. ``read_tokens``
+pages of a given number of rows with page indexes; each file holds one range of doc_ids, and
+each row its place in the file. ``read_tokens``
 reads chosen columns and doc_ids; the filter goes to the page indexes. The start of a
 document is its place in its file plus the sizes of the files before, which are one
 number per file.
@@ -30,9 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct units that a task remembers before it starts anew.
-REMEMBERED = 500_000
+#: Distinct units that a worker remembers, twice, before it forgets those it has not met again.
+REMEMBERED = 400_000
 _UNIT = re.compile(r"\s*\S+|\s+")
+_BREAKS = frozenset(" \n\t\r\f\v")
+_LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha() and c not in "ªµº")
+#: White space to Python, so no word of ``split`` holds it.
+_BARE = "\x1f"
 #: White space to Python but not to the tokenizer: texts with these are encoded in one piece.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -48,7 +52,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: What units are encoded to: those met lately, and those met before.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.mark = dict(zip(".,", self._encode([".", ","]), strict=True))
         vocabulary = self.tokenizer.get_vocab(True)
         #: Bytes of each id; a byte-level vocabulary has one character for each byte.
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -59,34 +66,77 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in made]
 
-    def _learn(self, units: list[str]) -> None:
-        """Encode new units: all that begin with white space and end without it in one text."""
-        joined = [u for u in units if u[0].isspace() and not u[-1].isspace()]
-        single = [u for u in units if not u[0].isspace() or u[-1].isspace()]
-        self.known.update(zip(single, self._encode(single), strict=True))
+    def _learn(self, keys: set[str]) -> None:
+        """Encode new units: all that begin with white space and end without it in one text.
+
+        A full stop or comma after a letter, at the end of a unit, is a pre-token of its own, so
+        words with and without it are encoded once.
+        """
+        known = self.known
+        ending = [k for k in keys if k[-1] in ".," and k[-2:-1] in _LETTERS]
+        joined, single, units = [], [], []
+        for key in keys.difference(ending).union(k[:-1] for k in ending).difference(known):
+            mark = key[0]
+            unit = key[1:] if mark == _BARE else key if mark == "\n" else " " + key
+            if unit[0] in _BREAKS and not unit[-1].isspace():
+                joined.append(key)
+                units.append(unit)
+            else:
+                single.append(key)
+        known.update(zip(single, self._encode([k[1:] for k in single]), strict=True))
         if joined:
-            ids = np.frombuffer(self._encode(["".join(joined)])[0], "<u4")
-            ends = np.cumsum([len(u.encode()) for u in joined])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, "right").tolist()
-            for unit, a, b in zip(joined, [0, *cuts], cuts):
-                self.known[unit] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str | None], end: int) -> Iterator[bytes]:
+            raw = self._encode(["".join(units)])[0]
+            widths = np.cumsum(self.width[np.frombuffer(raw, "<u4")])
+            ends = np.cumsum([len(u) for u in map(str.encode, units)])
+            cuts = (4 * np.searchsorted(widths, ends, "right")).tolist()
+            known.update(zip(joined, [raw[a:b] for a, b in zip([0, *cuts], cuts)], strict=False))
+        known.update((k, known[k[:-1]] + self.mark[k[-1]]) for k in ending)
+
+    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text, with the end id, as bytes."""
-        last, known = np.array([end], "<u4").tobytes(), self.known
-        for text in texts:
-            if not text:
-                yield last
-            elif _ODD.search(text):
-                yield self._encode([text])[0] + last
-            else:
-                units = _UNIT.findall(text)
-                if new := list({u for u in units if u not in known}):
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                        new = list(set(units))
-                    self._learn(new)
-                yield b"".join(map(known.__getitem__, units)) + last
+        last = np.array([end], "<u4").tobytes()
+        units = [units_of(t) if t else [] for t in texts]
+        new = set().union(*units).difference(self.known)
+        again = new.intersection(self.before)
+        self.known.update((u, self.before[u]) for u in again)
+        self._learn(new - again)
+        out = [b"".join(map(self.known.__getitem__, own)) + last for own in units]
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        return out
+
+
+def units_of(text: str) -> list[str]:
+    """Keys of the units that a text is cut into before white space, where no pre-token goes on.
+
+    A unit with one space before it has the key without that space, one with a line end its own
+    text, and any other its text after ``_BARE``, which no other key holds.
+    """
+    words = text.split()
+    if words and " ".join(words) == text.replace("\n", " "):
+        keys = []
+        for line in text.split("\n"):
+            own = line.split(" ")
+            own[0] = "\n" + own[0]
+            keys += own
+        keys[0] = _BARE + keys[0][1:]
+        return keys
+    if _ODD.search(text):
+        return [_BARE + text]
+    return [_BARE + unit for unit in _UNIT.findall(text)]
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process, with what it has learnt in earlier tasks.
+
+    Functions sent by value bring new globals with every task, so it is kept on the library's module.
+    """
+    import tokenizers
+
+    made = tokenizers.__dict__.setdefault("_streamlens_encoders", {})
+    if path not in made:
+        made[path] = Encoder(path)
+    return made[path]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -122,10 +172,10 @@ def write_tokens(
     vocabulary = vocabulary or vocabulary_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file, place = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, file, place = encoder_of(vocabulary), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole):
-                parts = list(encoder.encode(batch.column("text").to_pylist(), end))
+                parts = encoder.encode(batch.column("text").to_pylist(), end)
                 sizes = np.array([len(p) // 4 for p in parts], np.int64)
                 ends = place + np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
@@ -142,7 +192,7 @@ def write_tokens(
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange("doc_id", F.xxhash64("text"))
+        .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
     delta = encoding == "delta"
@@ -153,7 +203,7 @@ def write_tokens(
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.row.count.limit", page_rows)
         .option("parquet.dictionary.page.size", 4 << 20)
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .parquet(path)
     )
 
@@ -180,7 +230,7 @@ def crc_of_lists(lists: pa.ListArray) -> pa.Array:
     """The unsigned CRC-32 of each list of ids as little-endian unsigned 32-bit integers."""
     values = np.asarray(lists.values, dtype="<i4")
     at = np.asarray(lists.offsets)
-    return pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+    return pa.array([zlib.crc32(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
 
 
 def with_crc(tokens: DataFrame, keep_ids: bool = False) -> DataFrame:
