@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 100_000
 #: Bytes that words are made of stay, A-Z become a-z, all others become spaces.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -93,19 +93,17 @@ class ItemAutomaton:
     def _gather(self, items: list[list[bytes]], whole: list[tuple[int, int]]) -> None:
         """Items of the windows and short items that a state's strings end with."""
         where: dict[int, set[int]] = {}
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
+        long = [s for s in range(1, len(self.length)) if self.length[s] >= self.window]
+        for state in sorted(long, key=self.length.__getitem__, reverse=True):
             found = where.setdefault(state, set())
             found.update(self.ends.get(state, ()))
-            if self.link[state] > 0:
+            if self.length[self.link[state]] >= self.window:
                 where.setdefault(self.link[state], set()).update(found)
         #: For each state the state of its strings' last ``window`` words, if they are as long.
         self.full: dict[int, int] = {}
-        for state in range(1, len(self.length)):
-            at = state
-            while self.length[self.link[at]] >= self.window:
-                at = self.link[at]
-            if self.length[at] >= self.window:
-                self.full[state] = at
+        for state in sorted(long, key=self.length.__getitem__):
+            above = self.link[state]
+            self.full[state] = self.full[above] if self.length[above] >= self.window else state
         self.at_window = {s: frozenset(k for k in where[s] if len(items[k]) >= self.window) for s in set(self.full.values())}
         self.short: dict[int, list[tuple[int, int]]] = {}
         for k, n in whole:
@@ -206,9 +204,11 @@ def find_overlaps(
 
         return rows.mapInArrow(scan, rows.schema)
 
-    for block in [*_blocks(benchmark, block_words)] or [[]]:
+    passes = 0
+    for block in _blocks(benchmark, block_words):
         found = one_pass(found, block)
-    return found
+        passes += 1
+    return found if passes else one_pass(found, [])
 
 
 def n_hit(spans: Column | str) -> Column:
