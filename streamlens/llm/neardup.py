@@ -172,7 +172,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 at += len(sets)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("node"), "text")
-    return rows.join(nodes, "node", "left_semi").mapInArrow(compute, "node long, shingles binary")
+    # merged at every size: which side is small changes with the data
+    return rows.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(compute, "node long, shingles binary")
 
 
 def linked_groups(sets: list[np.ndarray], share: int = SHARE) -> list[int]:
@@ -226,7 +227,7 @@ def region_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = sorted(out)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    joined = members.select("bin", "region", "node").join(sets, "node")
+    joined = members.select("bin", "region", "node").join(sets.hint("merge"), "node")
     return joined.groupBy("bin").applyInArrow(compare, "a long, b long")
 
 
