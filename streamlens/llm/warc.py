@@ -38,6 +38,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT = 1000
 SALTS = 64
 ARCHIVE_BYTES = 64 << 20
+#: Tasks that read archives; each reads its archives one after the other.
+MOST_READERS = 10_000
 #: Records that a dictionary is made from, and its size.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 100, 8192, 16 << 10
 RECORD_SCHEMA = (
@@ -265,4 +267,6 @@ def read_warc(manifest: DataFrame, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
-    return manifest.repartition("file").mapInArrow(read, RECORD_SCHEMA)
+    # so many tasks by number: by size, a manifest is one task's
+    tasks = max(1, min(manifest.count(), MOST_READERS))
+    return manifest.repartition(tasks, "file").mapInArrow(read, RECORD_SCHEMA)
