@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct units that a worker remembers, twice, before it forgets those it has not met again.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _UNIT = re.compile(r"\s*\S+|\s+")
 _BREAKS = frozenset(" \n\t\r\f\v")
 _LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha() and c not in "ªµº")
