@@ -10,8 +10,10 @@ joined back on ``(stream, cell)``, the partitioning the row-level windows use.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -49,6 +51,15 @@ def ticks_per_second(df: DataFrame, name: str) -> int:
     return 1_000_000 if isinstance(kind, micro) else 1
 
 
+def ticks_in(df: DataFrame, name: str, seconds: float, tb: tuple[int, int] | None) -> int:
+    """How many whole units of a clock ``seconds`` hold; counted ticks need their time base."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        if tb is None:
+            raise ValueError(f"{name} counts ticks: give their time base as tb.")
+        return math.floor(Fraction(str(seconds)) * tb[1] / tb[0])
+    return math.floor(Fraction(str(seconds)) * ticks_per_second(df, name))
+
+
 def with_cell(df: DataFrame, time: str, seconds: int) -> DataFrame:
     width = seconds * ticks_per_second(df, time)
     return with_cell_width(df, time, width)
@@ -60,7 +71,8 @@ def with_cell_width(df: DataFrame, name: str, width: int) -> DataFrame:
     Rows that kept the cells of an earlier operator are still partitioned by them
     and need no further shuffle. Any clock that orders a stream in the same way
     makes the same use of them. Rows without a time are in no cell and left out,
-    which is said here so that rows and summaries have one plan to share.
+    which is said here so that rows and summaries have one plan to share; ``unplaced``
+    gives the rows that are left out, to be repaired or counted.
     """
     if CELL in df.columns:
         return df
@@ -68,6 +80,11 @@ def with_cell_width(df: DataFrame, name: str, width: int) -> DataFrame:
     return df.withColumn(CELL, cell).filter(F.col(CELL).isNotNull())
 
 
+def unplaced(df: DataFrame, stream: str = "stream_id", time: str = "ts") -> DataFrame:
+    """The rows without a stream or a time, which no order has a place for."""
+    return df.filter(F.col(stream).isNull() | F.col(time).isNull())
+
+
 def measure_cell_seconds(
     df: DataFrame,
     stream: str | None = "stream_id",
@@ -85,7 +102,7 @@ def measure_cell_seconds(
     keys = [stream] if stream else []
     for span in (3600, 60, 1):
         fullest = (
-            with_cell(df.select(*keys, time), time, span)
+            with_cell(df.select(*keys, time).dropna(), time, span)
             .groupBy(*keys, CELL)
             .count()
             .agg(F.max("count").alias("n"))

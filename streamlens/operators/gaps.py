@@ -16,8 +16,7 @@ from streamlens.operators.cells import (
     clock,
     clock_of,
     in_cell,
-    ticks_per_second,
-    with_cell,
+    ticks_in,
     with_cell_width,
 )
 
@@ -30,14 +29,17 @@ def gap_sessions(
     gap: float = READ_TIMEOUT_SECONDS,
     time: str = "ts",
     cell_seconds: int = DEFAULT_CELL_SECONDS,
+    tb: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Runs of rows no more than ``gap`` seconds apart, numbered from 0 per stream.
 
+    A ``time`` that counts ticks needs their time base ``tb``.
+
     Runs are formed inside cells. The last run of a cell and the first run of the
     next are the same session if the rows across the border are close enough; the
     cell summaries decide that and give each cell the number its runs start at.
     """
-    limit = int(gap * ticks_per_second(df, time))
+    limit = ticks_in(df, time, gap, tb)
     kind = df.schema[time].dataType
 
     def apart(later: Column, earlier: Column) -> Column:
@@ -47,7 +49,8 @@ def gap_sessions(
 
     order = in_cell(["stream_id"], time)
     # Only the time itself goes through the shuffle, so both uses of the runs share it.
-    celled = with_cell(df.select("stream_id", time), time, cell_seconds)
+    width = max(1, ticks_in(df, time, cell_seconds, tb))
+    celled = with_cell_width(df.select("stream_id", time), time, width)
     marked = celled.withColumn("_before", F.lag(time).over(order))
     begins = F.coalesce(apart(F.col(time), F.col("_before")), F.lit(False)).cast("int")
     runs = (
@@ -89,11 +92,15 @@ def until_timeout(
     gap: float = READ_TIMEOUT_SECONDS,
     time: str = "ts",
     cell_seconds: int = DEFAULT_CELL_SECONDS,
+    tb: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """The rows of each stream before its first gap longer than ``gap`` seconds."""
-    limit = int(gap * ticks_per_second(df, time))
+    """The rows of each stream before its first gap longer than ``gap`` seconds.
+
+    A ``time`` that counts ticks needs their time base ``tb``.
+    """
+    limit = ticks_in(df, time, gap, tb)
     ticks = df.withColumn("_tick", clock(df, time))
-    ticked = with_cell_width(ticks, "_tick", cell_seconds * ticks_per_second(df, time))
+    ticked = with_cell_width(ticks, "_tick", max(1, ticks_in(df, time, cell_seconds, tb)))
     before = F.lag("_tick").over(in_cell(["stream_id"], "_tick"))
     summary = (
         ticked.select("stream_id", CELL, "_tick")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamlens.functions.media import is_live
+from streamlens.functions.media import MICROS, is_live
 from streamlens.operators.cells import (
     CELL,
     carry,
@@ -184,23 +186,42 @@ def paint_order(layout: DataFrame) -> DataFrame:
     return layout.select("task_id", "ver", "id", "z", layer.cast("bigint").alias("layer"))
 
 
+def first_tick(pts: Column | str, tb: tuple[int, int], step: tuple[int, int]) -> Column:
+    """Number of the first tick of ``step`` seconds not before ``pts`` ticks of ``tb``; exact."""
+    up, down = tb[0] * step[1], tb[1] * step[0]
+    whole = F.col(pts) if isinstance(pts, str) else pts
+    number = whole.cast("decimal(20,0)") * F.lit(Decimal(up))
+    # div cuts towards zero; nothing is before tick 0
+    above = F.call_function("div", number + F.lit(Decimal(down - 1)), F.lit(Decimal(down)))
+    return F.greatest(above, F.lit(0)).cast("bigint")
+
+
 def mix_on_clock(
-    frames: DataFrame, step: float, until: float, cell_ticks: int = CELL_TICKS
+    frames: DataFrame,
+    step: tuple[int, int],
+    until: tuple[int, int] | None = None,
+    tb: tuple[int, int] = MICROS,
+    cell_ticks: int = CELL_TICKS,
 ) -> DataFrame:
-    """The frame each input shows at every output tick 0, step, 2*step, ... up to ``until``.
-
-    An input shows its latest frame not after the tick, and nothing before its
-    first. Only the last frame before a tick can be shown at it, so frames are
-    first cut down to one per tick and input; each then fills the ticks up to the
-    next one.
+    """The frame each input shows at the output ticks 0, step, 2*step, ...
+
+    ``step`` and ``until`` are fractions of a second, so (1, 25) is an exact clock; frames count
+    ``pts`` in ticks of ``tb``. An input shows its latest frame not after the tick, and nothing
+    before its first. It ends with the first tick not before its last frame; given ``until``, all
+    inputs hold their last frame up to the last tick not after it. Only the last frame before a
+    tick can be shown at it, so frames are first cut down to one per tick and input; each
+    then fills the ticks up to the next one.
     """
     keys = ["stream_id", "media"]
-    last_tick = int(until // step)
+    numbered = frames.withColumn("tick_no", first_tick("pts", tb, step))
+    end = F.col("tick_no") + 1
+    if until is not None:
+        last_tick = until[0] * step[1] // (until[1] * step[0])
+        numbered = numbered.filter(F.col("tick_no") <= last_tick)
+        end = F.lit(last_tick + 1)
     shown = (
-        frames.withColumn("tick_no", F.greatest(F.ceil(F.col("t") / step), F.lit(0)).cast("bigint"))
-        .filter(F.col("tick_no") <= last_tick)
-        .groupBy(*keys, "tick_no")
-        .agg(F.max(F.struct("t", "frame_id")).alias("_f"))
+        numbered.groupBy(*keys, "tick_no")
+        .agg(F.max(F.struct("pts", "frame_id")).alias("_f"))
         .select(*keys, "tick_no", "_f.frame_id")
     )
     carried = carry(
@@ -210,7 +231,7 @@ def mix_on_clock(
         lambda w: [F.min("_head").over(w.after).alias("_later")],
     )
     following = F.coalesce(
-        F.lead("tick_no").over(in_cell(keys, "tick_no")), F.col("_later"), F.lit(last_tick + 1)
+        F.lead("tick_no").over(in_cell(keys, "tick_no")), F.col("_later"), end
     )
     # A frame may stand for long; it fills one cell of ticks at a time.
     width = F.lit(cell_ticks)
@@ -225,6 +246,5 @@ def mix_on_clock(
     first = F.greatest(F.col("tick_no"), F.col("_in") * width)
     last = F.least(F.col("_next"), (F.col("_in") + 1) * width) - 1
     filled = stretches.select(*keys, "frame_id", F.explode(F.sequence(first, last)).alias("tick_no"))
-    return filled.select(
-        *keys, (F.col("tick_no") * F.lit(float(step))).alias("tick"), "frame_id"
-    )
+    tick = (F.col("tick_no") * F.lit(step[0])).cast("double") / F.lit(float(step[1]))
+    return filled.select(*keys, tick.alias("tick"), "frame_id")

@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamlens.functions.media import (
     FILE_ONLY_METHODS,
-    LIVE_ONLY_METHODS,
     RECORDING_METHODS,
     SCREENSHOT_METHODS,
     has_recording_suffix,
     is_live,
+    method_allowed,
     task_key,
 )
 from streamlens.operators.cells import DEFAULT_CELL_SECONDS
@@ -130,14 +131,14 @@ def _judge(df: DataFrame, checks: Sequence[tuple[Column, int, Column | str]]) ->
 
 def _judge_screenshot(df: DataFrame, body: str) -> DataFrame:
     parsed = _parsed(df, body, _TASK_FIELDS)
-    method, live = _b("method"), is_live(_b("stream_url"))
+    method, suits = _b("method"), method_allowed(_b("method"), _b("stream_url"))
     interval, percentage, second = map(
         _number, (_b("interval"), _b("percentage"), _b("time_second"))
     )
     checks = _common(("stream_url", "method", "action"), ("start", "stop")) + [
         (_b("action") != "start", SUCCESS, SCREENSHOT_STOPPED),
-        (method.isin(*FILE_ONLY_METHODS) & live, INVALID_REQUEST, FILE_ONLY),
-        (method.isin(*LIVE_ONLY_METHODS) & ~live, INVALID_REQUEST, LIVE_ONLY),
+        (~suits & method.isin(*FILE_ONLY_METHODS), INVALID_REQUEST, FILE_ONLY),
+        (~suits, INVALID_REQUEST, LIVE_ONLY),
         _refuse(~method.isin(*SCREENSHOT_METHODS), UNKNOWN_SCREENSHOT),
         _refuse((method == "interval") & (interval <= 0), BAD_INTERVAL),
         _refuse((method == "percentage") & ~percentage.between(1, 100), BAD_PERCENTAGE),
@@ -206,6 +207,17 @@ _RESPONSES = {
 }
 
 
+def _earliest(kind: T.DataType) -> Column:
+    if isinstance(kind, T.NumericType):
+        return F.lit(0).cast(kind)
+    return F.lit("0001-01-01").cast(kind)
+
+
+def _known(part: Column) -> Column:
+    """A part of a task key that is null differs from every text, and equals itself."""
+    return F.coalesce(F.concat(F.lit("="), part), F.lit(""))
+
+
 def respond(
     df: DataFrame,
     job: str,
@@ -213,7 +225,7 @@ def respond(
     time: str = "ts",
     cell_seconds: int = DEFAULT_CELL_SECONDS,
 ) -> DataFrame:
-    """Code and message of each request, given the accepted ones before it.
+    """Code and message of each request, given the accepted ones before it: one answer each.
 
     Requests that pass the checks become commands on their task key; a start of a
     running task, or a stop or update of one that is not running, is refused.
@@ -224,8 +236,9 @@ def respond(
     )
     verdicts = judge(df.select("req_id", time, body), body).select(
         "req_id",
-        time,
-        task_key(url, method).alias("_task"),
+        # a request without a time comes before all others of its task
+        F.coalesce(F.col(time), _earliest(df.schema[time].dataType)).alias(time),
+        task_key(_known(url), _known(method)).alias("_task"),
         _b("action").alias("action"),
         "code",
         "message",

@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructType
 
 from streamlens.checkpoints import shared_dir
+from streamlens.functions.media import progress_percent
 from streamlens.operators.cells import (
     DEFAULT_CELL_SECONDS,
     carry,
@@ -114,7 +115,7 @@ def _share_by_rounds(rows, pct, totals, stream, t, tiebreak) -> DataFrame:
     """
     usable = totals.filter(F.col("duration") >= 0)
     share = F.when(F.col("duration") == 0, F.when(F.col(t) > 0, F.lit(float("inf")))).otherwise(
-        F.try_divide(F.col(t), F.col("duration").cast("double")) * 100.0
+        progress_percent(t, "duration")
     )
     shared = (
         rows.join(F.broadcast(usable), stream)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamlens.functions.media import micros
 from streamlens.operators.cells import measure_cell_seconds
 from streamlens.sources.frames import to_frames
 
@@ -16,6 +17,8 @@ EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
     " value double, props string"
 )
+#: Cells of events are no wider than this, however few rows they have.
+MAX_CELL_SECONDS = 7 * 86_400
 _measured: dict[tuple[str, str], int] = {}
 
 
@@ -24,21 +27,47 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        spark.readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
+    """The table as a stream of its one file, or of the files of its folder.
+
+    A path that is no pattern would have to be a folder.
+    """
+    return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def cell_seconds(spark: SparkSession, sf_dir: str) -> int:
-    """Cell width for these events, measured once per session."""
+    """Cell width for these events, measured once per session; results do not depend on it."""
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _measured:
-        _measured[place] = measure_cell_seconds(read_events(spark, sf_dir), "user_id")
+        measured = measure_cell_seconds(read_events(spark, sf_dir), "user_id")
+        _measured[place] = min(measured, MAX_CELL_SECONDS)
     return _measured[place]
 
 
+def forget() -> None:
+    """Measure widths of cells anew when they are next asked for."""
+    _measured.clear()
+
+
+def packets(events: DataFrame) -> DataFrame:
+    """Events as packets in ticks of 1/90,000 second."""
+    raw = raw_frames(events)
+    ticks = F.call_function("div", micros("ts") * 9, F.lit(100))
+    index = F.when(F.col("media") == "video", 0).when(F.col("media") == "audio", 1).otherwise(2)
+    none = F.lit(None).cast("int")
+    return raw.select(
+        "stream_id",
+        "frame_id",
+        index.alias("stream_index"),
+        "media",
+        "is_key",
+        ticks.alias("pts"),
+        ticks.alias("dts"),
+        none.alias("width"),
+        none.alias("height"),
+        F.col("size").cast("string").cast("binary").alias("data"),
+    )
+
+
 def raw_frames(events: DataFrame, *extra: Column | str) -> DataFrame:
     kind = F.col("event_type")
     media = (

@@ -199,16 +199,32 @@ mix_message AS (
     ELSE 'Mixing task started.' END AS message
   FROM mix)"""
 
-ASKED_LAYOUT = LAYOUT.replace("layout AS", "all_entries AS") + """,
-layout AS (SELECT * FROM all_entries WHERE k % 9 <> 0 AND k % 7 <> 0)"""
+# A start is refused while its task runs, an update while it does not; nothing ends a mix.
+MIX_ANSWERS = MIX + """,
+mix_asked AS (
+  SELECT *, message LIKE 'Mixing task %' AS valid, h <> 9 AND h % 3 <> 2 AS starts FROM mix_message),
+mix_standing AS (
+  SELECT *, coalesce(bool_or(valid AND starts) OVER (
+    PARTITION BY task_id ORDER BY ver ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS active
+  FROM mix_asked),
+mix_answers AS (
+  SELECT *, valid AND starts <> active AS accepted,
+         CASE WHEN NOT valid THEN message
+              WHEN starts AND active THEN 'A mixing task with the same RTMP URL is already running.'
+              WHEN NOT starts AND NOT active THEN 'No running task found for the given URL.'
+              ELSE message END AS answer
+  FROM mix_standing)"""
+
+ASKED_LAYOUT = MIX_ANSWERS.replace("layout AS", "all_entries AS").replace("FROM layout", "FROM all_entries") + """,
+layout AS (
+  SELECT e.* FROM all_entries e JOIN mix_answers a ON a.task_id = e.task_id AND a.ver = e.ver AND a.accepted
+  WHERE k % 9 <> 0 AND k % 7 <> 0)"""
 
 MEDIA_KIND = """
 SELECT CASE WHEN starts_with(url, 'rtmp://') THEN 'live' ELSE 'file' END AS kind,
-       CASE WHEN suffix(name, '.mp4') THEN '.mp4' WHEN suffix(name, '.m3u8') THEN '.m3u8'
-            WHEN suffix(name, '.ts') THEN '.ts' WHEN suffix(name, '.png') THEN '.png'
-            WHEN suffix(name, '.html') THEN '.html' ELSE 'other' END AS suffix,
+       lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$'), '\\.[^.]*$')) AS suffix,
        count(*) AS n
-FROM (SELECT url, regexp_extract(url, '[^/]*$') AS name FROM urls) GROUP BY ALL"""
+FROM urls GROUP BY ALL"""
 
 FIRST = "SELECT stream_id, frame_id, t FROM video WHERE rn <= {n}"
 AT_TIME = f"""
@@ -217,6 +233,22 @@ FROM video WHERE t >= {10 * DAY} GROUP BY stream_id"""
 
 ORACLE: dict[str, str] = {
     "frames_base": f"WITH {FRAMES} SELECT * FROM frames",
+    "packet_frames": """
+SELECT user_id AS stream_id, event_id AS frame_id,
+       (CASE WHEN event_type IN ('view', 'click') THEN 0 WHEN event_type = 'error' THEN 2 ELSE 1 END)::INT AS stream_index,
+       CASE WHEN event_type IN ('view', 'click') THEN 'video' WHEN event_type = 'error' THEN 'data' ELSE 'audio' END AS media,
+       epoch_us(ts) * 9 // 100 AS pts, (epoch_us(ts) * 9 // 100)::DOUBLE * (1::DOUBLE / 90000) AS t
+FROM events""",
+    "packet_gap_sessions": f"""
+WITH ticked AS (SELECT user_id AS stream_id, epoch_us(ts) * 9 // 100 AS pts FROM events),
+marked AS (
+  SELECT *, coalesce(pts - lag(pts) OVER (PARTITION BY stream_id ORDER BY pts) > {HALF_DAY_MICROS * 9 // 100}, false)::INT AS gap
+  FROM ticked),
+numbered AS (SELECT *, (sum(gap) OVER (PARTITION BY stream_id ORDER BY pts))::BIGINT AS session_no FROM marked)
+SELECT stream_id, session_no, min(pts) AS start_ts, max(pts) AS last_ts, count(*) AS n
+FROM numbered GROUP BY stream_id, session_no""",
+    "written_frames": f"""WITH RECURSIVE {INTERVAL}
+SELECT p.stream_id, p.frame_id, p.t, e.value AS size FROM picks p JOIN events e ON e.event_id = p.frame_id""",
     "probe_streams": f"""WITH {FRAMES}
 SELECT stream_id, min(frame_id) FILTER (WHERE media = 'video') AS video_index,
        min(frame_id) FILTER (WHERE media = 'audio') AS audio_index
@@ -326,10 +358,12 @@ SELECT task_id * 100000 + date_diff('day', DATE '1970-01-01', ver) AS req_id,
 FROM layout WHERE k % 9 <> 0 AND k % 7 <> 0""",
     "mix_task": f"WITH {ASKED_LAYOUT}, {DIFF} SELECT * FROM changes",
     "mix_on_clock": f"""WITH {FRAMES},
-ticks AS (SELECT stream_id, media, (unnest(range(30)) * {DAY})::DOUBLE AS tick
-          FROM (SELECT DISTINCT stream_id, media FROM frames))
-SELECT k.stream_id, k.media, k.tick, f.frame_id
-FROM ticks k ASOF JOIN frames f ON k.stream_id = f.stream_id AND k.media = f.media AND f.t <= k.tick""",
+ends AS (SELECT stream_id, media, (max(pts) * 3 + 99999999999) // 100000000000 AS last
+         FROM frames GROUP BY stream_id, media),
+ticks AS (SELECT stream_id, media, unnest(range(last + 1)) AS n FROM ends)
+SELECT k.stream_id, k.media, (k.n * 100000)::DOUBLE / 3 AS tick, f.frame_id
+FROM ticks k ASOF JOIN (SELECT *, pts * 3 AS thirds FROM frames) f
+  ON k.stream_id = f.stream_id AND k.media = f.media AND f.thirds <= k.n * 100000000000""",
     "validate_screenshot": f"WITH {REQUESTS} SELECT req_id, code, message FROM screenshot_verdict",
     "validate_recording": f"WITH {REQUESTS} SELECT req_id, code, message FROM recording_verdict",
     "validate_mix": f"""WITH {MIX}
@@ -337,6 +371,8 @@ SELECT req_id, CASE WHEN message LIKE 'Mixing task %' THEN 1000 ELSE 2001 END AS
 FROM mix_message""",
     "request_outcomes": f"""WITH {REQUESTS}
 SELECT code, message, count(*) AS n FROM screenshot_verdict GROUP BY code, message""",
+    "mix_responses": f"""WITH {MIX_ANSWERS}
+SELECT req_id, CASE WHEN accepted THEN 1000 ELSE 2001 END AS code, answer AS message FROM mix_answers""",
     "screenshot_responses": _responses("screenshot", "Screenshot"),
     "recording_responses": _responses("recording", "Recording"),
     "stream_sample_interval": f"WITH RECURSIVE {INTERVAL} SELECT stream_id, frame_id, t FROM picks",
@@ -351,3 +387,6 @@ FROM events GROUP BY ALL""",
     "stream_commands": f"WITH {COMMANDS} {OUTCOME}",
     "stream_layout": f"WITH {LAYOUT}, {DIFF} SELECT * FROM changes",
 }
+
+# What is written is what the job gives.
+ORACLE |= {"written_recording": ORACLE["recording_task"], "written_segments": ORACLE["segment_manifest"]}

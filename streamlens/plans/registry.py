@@ -13,13 +13,15 @@ from streamlens.operators import control, gaps, layout, recording, requests, sam
 from streamlens.operators.cells import measure_cell_seconds
 from streamlens.plans import event_tables as ev
 from streamlens.plans import mixer, recorder, screenshot
-from streamlens.sinks.frames import name_frames, push_stream
-from streamlens.sources.frames import stream_durations
-from streamlens.sources.packets import media_inventory, probe_streams
+from streamlens.sinks.frames import attach_payload, name_frames, push_stream, write_frames
+from streamlens.sinks.recorders import record
+from streamlens.sources.frames import stream_durations, to_frames
+from streamlens.sources.packets import media_inventory, probe_streams, read_packets
 from streamlens.streaming import operators as live
 
 DAY = 86_400
 HALF_DAY = 43_200
+MIX_STEP = (100_000, 3)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -34,6 +36,61 @@ def frames_base(spark, sf):
     return ev.frames(spark, sf)
 
 
+PACKET_TB = (1, 90_000)
+
+
+def _packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Events written as packets, by the packets' own schema, and read again."""
+    path = fresh_path(spark, "packets")
+    ev.packets(ev.read_events(spark, sf)).write.parquet(path)
+    return read_packets(spark, path)
+
+
+@query
+def packet_frames(spark, sf):
+    """Packets count ticks already, which become seconds without moving their origin."""
+    timed = to_frames(_packets(spark, sf), time="pts", tb=PACKET_TB)
+    return timed.select("stream_id", "frame_id", "stream_index", "media", "pts", "t")
+
+
+@query
+def packet_gap_sessions(spark, sf):
+    return gaps.gap_sessions(
+        _packets(spark, sf), HALF_DAY, "pts", ev.cell_seconds(spark, sf), tb=PACKET_TB
+    )
+
+
+@query
+def written_frames(spark, sf):
+    """Sampled frames written with their payload, and read back."""
+    path = fresh_path(spark, "frames")
+    kept = sampling.sample_interval(ev.video(spark, sf), DAY)
+    frames = ev.raw_frames(ev.read_events(spark, sf))
+    write_frames(attach_payload(kept, frames, "size"), path)
+    return spark.read.parquet(path).select(
+        F.col("stream_id").cast("bigint").alias("stream_id"), "frame_id", "t", "size"
+    )
+
+
+@query
+def written_recording(spark, sf):
+    """Recordings written whole, and read back."""
+    path = fresh_path(spark, "recording")
+    record(recording_task(spark, sf), "mp4", path)
+    return spark.read.parquet(path).select(
+        F.col("stream_id").cast("bigint").alias("stream_id"),
+        "session_id", "frame_id", "out_index", "pts", "dts",
+    )
+
+
+@query
+def written_segments(spark, sf):
+    """Recordings written in segments; the playlist that lies beside them."""
+    path = fresh_path(spark, "segments")
+    record(_routed(spark, sf), "hls", path, seconds=DAY)
+    return spark.read.parquet(f"{path}/manifest")
+
+
 @query
 def probe_streams_(spark, sf):
     raw = ev.raw_frames(ev.read_events(spark, sf))
@@ -275,14 +332,16 @@ def explode_streams(spark, sf):
 
 @query
 def mix_task(spark, sf):
-    """What each mix request changes against the one before, from the request bodies."""
-    asked = mixer.layouts_of_requests(ev.mix_requests(ev.read_events(spark, sf)))
-    return layout.layout_diff(asked)
+    """What each accepted mix request changes against the one before."""
+    bodies = ev.mix_requests(ev.read_events(spark, sf))
+    accepted = mixer.accepted_requests(bodies, cell_seconds=ev.cell_seconds(spark, sf))
+    return layout.layout_diff(mixer.layouts_of_requests(accepted))
 
 
 @query
 def mix_on_clock(spark, sf):
-    return layout.mix_on_clock(ev.frames(spark, sf), DAY, 29 * DAY)
+    """A tick every 33,333 1/3 seconds, a step that no binary fraction holds."""
+    return layout.mix_on_clock(ev.frames(spark, sf), MIX_STEP)
 
 
 @query
@@ -311,6 +370,12 @@ def screenshot_responses(spark, sf):
     return requests.respond(bodies, "screenshot", cell_seconds=ev.cell_seconds(spark, sf))
 
 
+@query
+def mix_responses(spark, sf):
+    bodies = ev.mix_requests(ev.read_events(spark, sf))
+    return requests.respond(bodies, "mix", cell_seconds=ev.cell_seconds(spark, sf))
+
+
 @query
 def recording_responses(spark, sf):
     bodies = ev.recording_requests(ev.read_events(spark, sf))
@@ -330,17 +395,26 @@ def _live(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(table.schema).parquet(path)
 
 
-def _with_end(spark: SparkSession, sf: str) -> DataFrame:
-    """Live events followed by one far later row without a stream, which ends all spans."""
+def _run_out(spark: SparkSession, sf: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a live job over all events, in as many batches as they come, and then end the input.
+
+    The end is one far later row without a stream. It arrives when the job has read all events
+    and goes on from its checkpoint, so no event can be late for it.
+    """
     end = (
         ev.read_events(spark, sf)
         .agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
         .select(F.lit(None).cast("bigint").alias("stream_id"), "ts")
     )
-    events = ev.read_event_stream(spark, sf)
-    return events.select(F.col("user_id").alias("stream_id"), "ts").unionByName(
-        _live(spark, end, "end")
-    )
+    ends = fresh_path(spark, "end")
+    end.limit(0).write.parquet(ends)
+    events = ev.read_event_stream(spark, sf).select(F.col("user_id").alias("stream_id"), "ts")
+    sdf = job(events.unionByName(spark.readStream.schema(end.schema).parquet(ends)))
+    out, state = fresh_path(spark, "drained"), fresh_path(spark, "state")
+    push_stream(sdf, out, state, drain=True).awaitTermination()
+    end.write.mode("append").parquet(ends)
+    push_stream(sdf, out, state, drain=True).awaitTermination()
+    return spark.read.schema(sdf.schema).parquet(out)
 
 
 @query
@@ -360,12 +434,12 @@ def stream_sample_first(spark, sf):
 @query
 def stream_gap_sessions(spark, sf):
     live.merge_sessions_before_shuffle(spark)
-    return _drained(spark, live.stream_gap_sessions(_with_end(spark, sf), HALF_DAY))
+    return _run_out(spark, sf, lambda events: live.stream_gap_sessions(events, HALF_DAY))
 
 
 @query
 def stream_segments(spark, sf):
-    return _drained(spark, live.stream_segments(_with_end(spark, sf), DAY))
+    return _run_out(spark, sf, lambda events: live.stream_segments(events, DAY))
 
 
 @query

@@ -54,11 +54,14 @@ def push_stream(
     """Publish a stream to a folder or topic (``fmt``) or to a function of each batch.
 
     ``drain`` handles everything that is there already and then ends, emitting
-    what is still buffered; otherwise the query runs until it is stopped.
+    what is still buffered; otherwise the query runs until it is stopped, and needs a
+    ``checkpoint`` folder to go on from when it is started again.
     """
-    writer = sdf.writeStream.outputMode(mode).option(
-        "checkpointLocation", checkpoint or fresh_path(sdf.sparkSession, "push")
-    )
+    if checkpoint is None:
+        if not drain:
+            raise ValueError("A query that goes on needs a checkpoint folder.")
+        checkpoint = fresh_path(sdf.sparkSession, "push")
+    writer = sdf.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if drain:
         writer = writer.trigger(availableNow=True)
     if callable(sink):

@@ -1,4 +1,4 @@
-"""Writing recordings: one ordered output per input, or one per segment with a manifest."""
+"""Writing recordings: one ordered output per input, whole or in segments with a manifest."""
 
 from __future__ import annotations
 
@@ -34,18 +34,19 @@ def write_segments(
     base: str = "out",
     mode: str = "errorifexists",
 ) -> None:
-    """One output folder per segment, and the playlist of all segments beside them.
+    """One output folder per input, sorted by segment, and the playlist of all segments beside it.
 
-    A segment is short, so one task writes it. The playlist is made from what was
-    written, not by cutting the packets again.
+    Packets are range-partitioned by input, segment and time, so many short segments share a
+    file, a long one is spread over several tasks, and readers of a segment skip the row groups
+    of others. The playlist is made from what was written, not by cutting the packets again.
     """
-    place = ["stream_id", "segment_no"]
+    place = ["stream_id", "segment_no", "t", "out_index"]
     cut = assign_segments(df, seconds)
     (
-        cut.repartition(*place)
-        .sortWithinPartitions(*place, "t", "out_index")
+        cut.repartitionByRange(*place)
+        .sortWithinPartitions(*place)
         .write.mode(mode)
-        .partitionBy(*place)
+        .partitionBy("stream_id")
         .parquet(f"{path}/segments")
     )
     written = df.sparkSession.read.schema(cut.schema).parquet(f"{path}/segments")

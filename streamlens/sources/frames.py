@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from streamlens.functions.media import MICROS, pts_to_seconds
 from streamlens.operators.cells import (
@@ -14,6 +15,8 @@ from streamlens.operators.cells import (
     with_cell_width,
 )
 
+ORIGIN_SALTS = 16
+
 
 def to_frames(
     df: DataFrame,
@@ -24,25 +27,42 @@ def to_frames(
     cell_seconds: int = DEFAULT_CELL_SECONDS,
     keep_cells: bool = False,
 ) -> DataFrame:
-    """Add ``pts`` (ticks since the stream's first row) and ``t`` (seconds).
+    """Add ``pts`` (ticks of ``tb``) and ``t`` (seconds).
 
-    ``time`` is a timestamp, or a BIGINT already counting ticks of ``tb``. The
-    first row is taken over all rows of the stream, whatever their media. With
-    ``keep_cells`` the operators that follow reuse the partitioning made here.
+    A BIGINT ``time`` counts ticks of ``tb`` already and is taken as it is, as in packets. A
+    timestamp counts from the stream's first row, whatever its media; ``tb`` is then
+    microseconds. With ``keep_cells`` the operators that follow reuse the partitioning made here;
+    without, rows meet their stream's origin by stream and salt, which Spark broadcasts where
+    it is small, and which spreads the rows of a large stream where it is not.
     """
     named = df.withColumnsRenamed({stream: "stream_id", order: "frame_id"})
-    ticked = named.withColumn("_tick", clock(named, time))
+    rest = [c for c in named.columns if c not in ("pts", "t")]
     width = max(1, cell_seconds * tb[1] // tb[0])
-    started = carry(
-        with_cell_width(ticked, "_tick", width),
-        ["stream_id"],
-        [F.min("_tick").alias("_first")],
-        lambda w: [F.min("_first").over(w.whole).alias("_origin")],
-    )
-    frames = started.withColumn("pts", F.col("_tick") - F.col("_origin")).withColumn(
-        "t", pts_to_seconds("pts", *tb)
-    )
-    return frames.select(*named.columns, "pts", "t", *([CELL] if keep_cells else []))
+    if isinstance(named.schema[time].dataType, IntegralType):
+        ticked = named.withColumn("pts", F.col(time).cast("bigint"))
+        frames = with_cell_width(ticked, "pts", width) if keep_cells else ticked
+    elif keep_cells:
+        started = carry(
+            with_cell_width(named.withColumn("_tick", clock(named, time)), "_tick", width),
+            ["stream_id"],
+            [F.min("_tick").alias("_first")],
+            lambda w: [F.min("_first").over(w.whole).alias("_origin")],
+        )
+        frames = started.withColumn("pts", F.col("_tick") - F.col("_origin"))
+    else:
+        ticked = named.withColumns(
+            {"_tick": clock(named, time), "_salt": F.pmod(F.xxhash64("frame_id"), F.lit(ORIGIN_SALTS))}
+        )
+        firsts = ticked.groupBy("stream_id", "_salt").agg(F.min("_tick").alias("_first"))
+        whole = Window.partitionBy("stream_id")
+        origins = firsts.select("stream_id", "_salt", F.min("_first").over(whole).alias("_origin"))
+        here = ticked.alias("rows").join(
+            origins.withColumnsRenamed({"stream_id": "_stream", "_salt": "_its_salt"}),
+            F.col("stream_id").eqNullSafe(F.col("_stream")) & (F.col("_salt") == F.col("_its_salt")),
+        )
+        frames = here.withColumn("pts", F.col("_tick") - F.col("_origin"))
+    timed = frames.withColumn("t", pts_to_seconds("pts", *tb))
+    return timed.select(*rest, "pts", "t", *([CELL] if keep_cells else []))
 
 
 def stream_durations(frames: DataFrame, stream: str = "stream_id") -> DataFrame:

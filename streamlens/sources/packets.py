@@ -61,16 +61,14 @@ def probe_streams(
     )
 
 
-def media_inventory(
-    df: DataFrame,
-    url: str = "url",
-    suffixes: tuple[str, ...] = (".mp4", ".m3u8", ".ts", ".png", ".html"),
-) -> DataFrame:
-    """How many inputs are live or files, by the suffix of their name."""
-    name = url_basename(url)
-    suffix = F.coalesce(
-        *[F.when(F.endswith(name, F.lit(s)), F.lit(s)) for s in suffixes], F.lit("other")
-    )
+def media_inventory(df: DataFrame, url: str = "url") -> DataFrame:
+    """How many inputs are live or files, by the extension of their name.
+
+    An extension is what follows the last dot of the name, in lower case and without query or
+    fragment; a name without one has the empty extension.
+    """
+    path = F.regexp_replace(F.col(url), "[?#].*$", "")
+    suffix = F.lower(F.regexp_extract(url_basename(path), r"\.[^.]*$", 0))
     return (
         df.select(
             F.when(is_live(url), "live").otherwise("file").alias("kind"), suffix.alias("suffix")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import naive
 from streamlens.functions.media import micros
 from streamlens.operators import control, gaps
-from streamlens.operators.cells import measure_cell_seconds
+from streamlens.operators.cells import measure_cell_seconds, unplaced
 from streamlens.streaming import operators as live
 
 START = datetime(2024, 1, 1)
@@ -114,6 +114,24 @@ def test_gaps(spark, cell_seconds):
     assert all(r["ts"] <= ends[r["stream_id"]] for r in kept)
 
 
+def test_gaps_of_ticks_need_a_time_base(spark):
+    df = spark.createDataFrame([(1, n, n * 90_000) for n in range(5)], "stream_id bigint, frame_id bigint, dts bigint")
+    assert gaps.gap_sessions(df, time="dts", tb=(1, 90_000)).collect()[0][1:] == (0, 0, 360_000, 5)
+    assert gaps.gap_sessions(df, 0.5, "dts", tb=(1, 90_000)).count() == 5
+    assert gaps.until_timeout(df, time="dts", tb=(1, 90_000)).count() == 5
+    assert gaps.until_timeout(df, 0.5, "dts", tb=(1, 90_000)).count() == 1
+    with pytest.raises(ValueError, match="time base"):
+        gaps.gap_sessions(df, time="dts")
+
+
+def test_rows_without_a_place_can_be_found(spark):
+    rows = [(None, 1, at(0), "start"), (1, 1, None, "start"), (1, 2, at(1), "stop")]
+    df = spark.createDataFrame(rows, "stream_id bigint, event_id bigint, ts timestamp_ntz, action string")
+    assert unplaced(df).count() == 2
+    for fn in (control.command_outcome, gaps.gap_sessions, gaps.until_timeout):
+        assert fn(df).count() + unplaced(df).count() == df.count()
+
+
 def test_cell_width_follows_the_fullest_cell(spark):
     rows = [(1, at(i)) for i in range(3600)] + [(2, at(0))]
     df = spark.createDataFrame(rows, "stream_id bigint, ts timestamp_ntz")

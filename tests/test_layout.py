@@ -1,7 +1,9 @@
 import json
 import random
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 import naive
 from streamlens.operators import layout
@@ -100,13 +102,27 @@ def test_clock(spark, cell):
             for n in range(rng.choice([1, 5, 40])):
                 rows.append((stream, media, len(rows), t))
                 t += rng.choice([0.0, 0.1, 0.5, 6.0])
-    df = spark.createDataFrame(rows, "stream_id bigint, media string, frame_id bigint, t double")
-    got = layout.mix_on_clock(df, 0.5, 30, cell).collect()
-    want = set()
-    for key in {(s, m) for s, m, _, _ in rows}:
-        mine = sorted((t, f) for s, m, f, t in rows if (s, m) == key)
-        for k in range(61):
-            seen = [f for t, f in mine if t <= k * 0.5]
-            if seen:
-                want.add((*key, k * 0.5, seen[-1]))
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    rows = [(s, m, f, round(t * 1_000_000)) for s, m, f, t in rows]
+    df = spark.createDataFrame(rows, "stream_id bigint, media string, frame_id bigint, pts bigint")
+    for step, until in (((1, 2), (30, 1)), ((1, 2), None), ((1001, 3000), (30, 1)), ((1001, 3000), None)):
+        got = layout.mix_on_clock(df, step, until, cell_ticks=cell).collect()
+        size, want = Fraction(*step), set()
+        for key in {(s, m) for s, m, _, _ in rows}:
+            mine = sorted((Fraction(t, 1_000_000), f) for s, m, f, t in rows if (s, m) == key)
+            end = Fraction(*until) // size if until else -(-mine[-1][0] // size)
+            for k in range(end + 1):
+                seen = [f for t, f in mine if t <= k * size]
+                if seen:
+                    want.add((*key, k * step[0] / step[1], seen[-1]))
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_clock_is_exact(spark):
+    """Frames on the grid of 25 and 30 frames a second show on their own ticks, the last included."""
+    for den, tb in ((25, (1, 90_000)), (30, (1, 90_000)), (10, (1, 1_000_000))):
+        per = tb[1] // den
+        df = spark.range(40_000).selectExpr("1L stream_id", "'video' media", "id frame_id", f"id * {per} pts")
+        got = layout.mix_on_clock(df, (1, den), tb=tb)
+        assert got.filter(F.col("tick") != F.col("frame_id") / float(den)).count() == 0
+        assert got.count() == 40_000
+        assert layout.mix_on_clock(df, (1, den), (1, 1), tb).count() == den + 1

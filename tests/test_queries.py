@@ -3,6 +3,7 @@
 import pytest
 
 from compare import compare
+from streamlens.functions.media import MICROS
 from streamlens.operators import layout
 from streamlens.plans import event_tables
 from streamlens.plans.oracle import ORACLE
@@ -16,6 +17,7 @@ CELLED = [
     "command_outcome", "sessions", "record_sessions", "recording_task", "gap_sessions",
     "until_timeout", "interleave", "screenshot_responses", "recording_responses",
     "active_task_profile", "layout_diff", "layout_replay", "mix_task", "mix_on_clock",
+    "mix_responses",
 ]
 
 
@@ -34,5 +36,5 @@ def test_query_equals_sql_over_many_cells(spark, name, monkeypatch):
     monkeypatch.setattr("streamlens.plans.registry.measure_cell_seconds", lambda *a: 7_200)
     for fn, width in ((layout.layout_diff, 2), (layout.layout_replay, 2)):
         monkeypatch.setattr(fn, "__defaults__", (width,))
-    monkeypatch.setattr(layout.mix_on_clock, "__defaults__", (2,))
+    monkeypatch.setattr(layout.mix_on_clock, "__defaults__", (None, MICROS, 2))
     compare(all_queries()[name](spark, SF), ORACLE[name], SF)

@@ -130,3 +130,22 @@ def test_mix_answers(spark):
     ).selectExpr("req_id", "cast(at as timestamp_ntz) as ts", "body")
     got = rq.respond(df, "mix").orderBy("req_id").collect()
     assert [(r["code"], r["message"]) for r in got] == [w for _, w in steps]
+
+
+def test_every_request_is_answered(spark):
+    """Also one without a method or a time, which comes before all others of its task."""
+    rows = [
+        (1, "2024-01-01 00:00:01", json.dumps(shot(interval=1))),
+        (2, None, json.dumps(shot(interval=1))),
+        (3, "2024-01-01 00:00:02", json.dumps(shot(None, action="stop"))),
+        (4, None, "oops"),
+        (5, "2024-01-01 00:00:03", None),
+    ]
+    df = spark.createDataFrame(rows, "req_id bigint, at string, body string").selectExpr(
+        "req_id", "cast(at as timestamp_ntz) as ts", "body"
+    )
+    got = {r["req_id"]: r["message"] for r in rq.respond(df, "screenshot").collect()}
+    assert got == {
+        1: rq.SCREENSHOT_RUNNING, 2: rq.SCREENSHOT_STARTED, 3: rq.SCREENSHOT_NOT_RUNNING,
+        4: rq.INVALID_JSON_TEXT, 5: rq.INVALID_JSON_TEXT,
+    }

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from datetime import datetime
 
 import pyarrow as pa
 import pytest
@@ -10,6 +11,7 @@ from streamlens.operators import sampling
 from streamlens.operators.greedy import walk_in_order
 from streamlens.sinks.frames import name_frames
 from streamlens.sources.frames import stream_durations, to_frames
+from streamlens.sources.packets import PACKET_SCHEMA, read_packets
 
 FRAME = "stream_id bigint, frame_id bigint, t double"
 
@@ -169,10 +171,33 @@ def test_frames_from_ticks(spark, cell_seconds):
     )
     got = to_frames(df, "user", "event", "ticks", (1, 90_000), cell_seconds)
     rows = {r["frame_id"]: (r["stream_id"], r["pts"], r["t"]) for r in got.collect()}
-    assert rows[1] == (1, 0, 0.0)
-    assert rows[2] == (1, 90_000, 90_000 * (1 / 90_000))
-    assert rows[3] == (1, 89_100_000, 89_100_000 * (1 / 90_000))
-    assert rows[9] == (2, 0, 0.0)
+    assert rows[1] == (1, 900_000, 900_000 * (1 / 90_000))
+    assert rows[2] == (1, 990_000, 990_000 * (1 / 90_000))
+    assert rows[9] == (2, 5, 5 * (1 / 90_000))
+
+
+def test_frames_from_raw_packets(spark, tmp_path):
+    """Packets are written and read by their own schema; their ticks are taken as they are."""
+    rows = [(1, n, 0, "video", n % 2 == 0, 900_000 + 3_000 * n, 900_000 + 3_000 * n, 4, 2, b"x") for n in range(9)]
+    spark.createDataFrame(rows, PACKET_SCHEMA).write.parquet(str(tmp_path / "packets"))
+    packets = read_packets(spark, str(tmp_path / "packets"))
+    for keep in (False, True):
+        frames = to_frames(packets, time="pts", tb=(1, 90_000), keep_cells=keep)
+        assert frames.columns.count("pts") == 1
+        frames.write.parquet(str(tmp_path / f"frames{keep}"))
+        got = spark.read.parquet(str(tmp_path / f"frames{keep}"))
+        assert got.agg(F.min("t"), F.max("pts")).first()[:] == (900_000 * (1 / 90_000), 924_000)
+    assert sampling.sample_at_time(frames, 10).first()["frame_id"] == 0
+
+
+@pytest.mark.parametrize("salts", [1, 16])
+def test_origin_is_the_first_row_of_any_media(spark, salts, monkeypatch):
+    monkeypatch.setattr("streamlens.sources.frames.ORIGIN_SALTS", salts)
+    rows = [(s, n, datetime(2024, 1, 1 + s, 0, 0, n)) for s in range(3) for n in range(5, 25)]
+    df = spark.createDataFrame(rows, "stream_id bigint, frame_id bigint, ts timestamp_ntz")
+    for keep in (False, True):
+        got = to_frames(df, keep_cells=keep).select("frame_id", "pts").distinct().collect()
+        assert sorted(tuple(r) for r in got) == [(n, (n - 5) * 1_000_000) for n in range(5, 25)]
 
 
 def test_callback_per_stream(spark, frames, streams):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamlens.operators import control, gaps, layout, sampling
+from streamlens.plans.registry import all_queries
 from streamlens.sinks.frames import push_stream
 from streamlens.sources.packets import read_packet_stream
 from streamlens.streaming import operators as live
@@ -83,6 +84,15 @@ def test_commands(spark, table, folder, tmp_path):
     same(got, control.command_outcome(table))
 
 
+@pytest.mark.parametrize("name", ["stream_commands", "stream_segments", "stream_gap_sessions"])
+def test_live_queries_read_a_folder_of_files(spark, tmp_path, name):
+    """A table that is a folder gives the rows of the one that is a file."""
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    same(all_queries()[name](spark, str(tmp_path)), all_queries()[name](spark, sf))
+
+
 def late_end(spark, sdf, tmp_path):
     """Live rows and then one far later, so that everything before it is over."""
     end = spark.createDataFrame([(None, START + timedelta(days=9))], "stream_id bigint, ts timestamp_ntz")
