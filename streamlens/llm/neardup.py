@@ -3,10 +3,13 @@
 A text's set is its distinct five-word shingles. Texts of equal sets are one class, represented
 by its smallest doc_id. Each class has a MinHash signature, and each tree of the forest sorts all
 classes by its own order of the signature's values. Classes with the longest common prefix stand
-together there: a region is a stretch of classes that share at least ``DEPTH`` values. A
-region of more than ``CAP`` classes is taken as overlapping stretches of ``CAP`` neighbours in the
+together there: a region is all classes that share at least ``DEPTH`` values. A
+region of more than ``CAP`` classes is first taken as overlapping stretches of ``CAP`` neighbours in the
 sorted order, so depth adapts to how crowded a region is: each class meets the neighbours
-with the longest common prefixes, on both sides.
+with the longest common prefixes, on both sides. What the links of all trees leave in different
+components is then finished exactly: the classes of a cut region are dealt into blocks, a large component in
+blocks of its own, and every two blocks that a region holds are compared, unless both are of one component. The work for a
+region grows with the product of a few outliers and the rest, and with the square only of what stays unlinked.
 
 Of regions with the same classes, which trees give again and again, only the first stays. Regions
 are gathered into bins of bounded size, the full sets of their classes are attached, and a task computes all intersections in a region as products of an incidence matrix; it returns a
@@ -16,7 +19,7 @@ are left out.
 
 Links hold exactly (100 * intersection >= share * union, of full sets); which pairs meet is left to
 the signatures: a pair of similarity s is in one region of a tree with probability s^4, so of 16
-trees all miss a pair of 0.85 once in 130,000 times, if its regions are not over ``CAP``.
+trees all miss a pair of 0.85 once in 130,000 times, however crowded its regions are.
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing,
 and are kept. Rows that share a doc_id are one document. A null doc_id counts as the smallest. An empty
@@ -98,7 +101,7 @@ def forest_rows(classes: DataFrame) -> DataFrame:
 
 
 def regions(rows: DataFrame) -> DataFrame:
-    """Regions of at least two classes: tree, region, a digest of its classes, node, n.
+    """Regions of at least two classes: tree, prefix, region, whether it is a stretch of a larger one, a digest of its classes, node, n.
 
     Sorted rows of a partition are read as a stream; what is held is a region at most ``CAP`` long.
     """
@@ -106,10 +109,10 @@ def regions(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        out: list[tuple[int, int, bytes, int, int]] = []
+        out: list[tuple[int, bytes, int, bool, bytes, int, int]] = []
         region_no = 0
         held: list[tuple[int, int]] = []
-        prefix, fresh, total = b"", 0, 0
+        prefix, fresh, total, cut = b"", 0, 0, False
 
         def close() -> None:
             nonlocal region_no
@@ -117,22 +120,23 @@ def regions(rows: DataFrame) -> DataFrame:
                 return
             nodes = np.sort(np.array([node for node, _ in held], np.int64))
             same = hashlib.blake2b(nodes.tobytes(), digest_size=16).digest()
-            out.extend((prefix[0], part + region_no, same, node, n) for node, n in held)
+            out.extend((prefix[0], prefix, part + region_no, cut, same, node, n) for node, n in held)
             region_no += 1
 
         def batch_of() -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64())
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["tree", "region", "same", "node", "n"])
+            return pa.RecordBatch.from_arrays(columns, names=["tree", "prefix", "region", "cut", "same", "node", "n"])
 
         for batch in batches:
             keys = batch.column("key").to_pylist()
             for key, node, n in zip(keys, batch.column("node").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 if key[:share] != prefix:
                     close()
-                    held, prefix, fresh, total = [], key[:share], 0, 0
+                    held, prefix, fresh, total, cut = [], key[:share], 0, 0, False
                 elif len(held) >= CAP or total + n > REGION_SHINGLES and len(held) > 1:
+                    cut = True
                     close()
                     held, fresh = held[-(len(held) // 2) :], 0
                     total = sum(x for _, x in held)
@@ -145,7 +149,7 @@ def regions(rows: DataFrame) -> DataFrame:
             yield batch_of()
 
     ordered = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(read, "tree int, region long, same binary, node long, n long")
+    return ordered.mapInArrow(read, "tree int, prefix binary, region long, cut boolean, same binary, node long, n long")
 
 
 def binned(members: DataFrame) -> DataFrame:
@@ -231,6 +235,45 @@ def region_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.groupBy("bin").applyInArrow(compare, "a long, b long")
 
 
+def unmet(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes of cut regions that hold several components: prefix, node, n, root."""
+    members = found.filter("cut").select("prefix", "node", "n").distinct().join(roots, "node", "left")
+    placed = stored(members.select("prefix", "node", "n", F.coalesce("root", "node").alias("root")), "cut")
+    several = placed.groupBy("prefix").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return stored(placed.join(several.select("prefix"), "prefix", "left_semi"), "unmet")
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Two blocks of classes for every two that a cut region holds: bin, region, node.
+
+    A class stands in a block of its least region. A component of at least ``CAP / 2`` classes there
+    has blocks of its own, the others share theirs, and blocks have about ``CAP`` classes.
+    """
+    nodes = stored(
+        members.groupBy("node").agg(
+            F.min("prefix").alias("home"), F.first("root").alias("root"), F.first("n").alias("n"), F.collect_set("prefix").alias("prefixes")
+        ),
+        "homes",
+    )
+    sizes = nodes.groupBy("home", "root").agg(F.count("*").alias("n"))
+    large = F.col("n") >= CAP / 2
+    sizes = stored(sizes.withColumns({"large": large, "own": F.when(large, F.col("root")).otherwise(0)}), "sizes")
+    parts = sizes.groupBy("home", "large", "own").agg(F.ceil(F.sum("n") / CAP).alias("parts"))
+    dealt = nodes.join(sizes.select("home", "root", "large", "own"), ["home", "root"]).join(parts, ["home", "large", "own"])
+    block = F.xxhash64("home", "large", "own", F.pmod(F.xxhash64("node"), "parts"))
+    blocks = stored(dealt.select("node", "prefixes", "large", "own", block.alias("block")), "blocks")
+    held = stored(blocks.select(F.explode("prefixes").alias("prefix"), "block", "large", "own").distinct(), "held")
+    other = held.select("prefix", F.col("block").alias("b"), F.col("large").alias("large_b"), F.col("own").alias("own_b"))
+    pairs = (
+        held.join(other, "prefix")
+        .filter("block <= b and not (large and large_b and own = own_b)")
+        .select(F.col("block").alias("a"), "b")
+        .distinct()
+        .select(F.xxhash64("a", "b").alias("region"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    )
+    return pairs.join(blocks.select("block", "node"), "block").select(F.col("region").alias("bin"), "region", "node").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     signed = stored(prepare(docs), "signed")
@@ -238,7 +281,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         signed.groupBy("set").agg(F.min("_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature")),
         "classes",
     )
-    members = stored(binned(stored(regions(forest_rows(classes)), "regions")), "binned")
+    stretches = stored(regions(forest_rows(classes)), "regions")
+    members = stored(binned(stretches), "binned")
     sets = stored(full_sets(docs, members.select("node").distinct()), "sets")
     first = stored(region_links(members.filter(F.col("tree") < FIRST), sets), "links")
     found = stored(components(first), "found")
@@ -253,6 +297,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = region_links(rest, sets)
     links = second.unionByName(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = stored(components(links), "roots")
+    apart = unmet(stretches, roots)
+    if not apart.isEmpty():
+        last = region_links(block_pairs(apart), sets)
+        links = last.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = stored(components(links), "roots")
     places = stored(
         classes.select("set", "node").join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root")),
         "places",

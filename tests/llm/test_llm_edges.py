@@ -333,6 +333,29 @@ def test_crowded_groups_equal_all_pairs(spark, cap, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == expected
 
 
+def outliers_of_a_group():
+    """A hundred texts that are alike and, far away in doc_id, forty that are linked with one of them only."""
+    base = [f"w{k}" for k in range(400)]
+
+    def edited(text, places, mark):
+        return [f"{mark}x{k}" if k in places else word for k, word in enumerate(text)]
+
+    group = [edited(base, {10 + 3 * i}, f"m{i}") for i in range(100)]
+    rows = [(i, " ".join(text)) for i, text in enumerate(group)]
+    for i in range(40):
+        rows.append((10_000 + i, " ".join(edited(group[2 * i], set(range(330, 390, 10)), f"o{i}"))))
+    return rows
+
+
+def test_outliers_of_a_crowded_group_are_linked(spark, monkeypatch):
+    rows = outliers_of_a_group()
+    expected = plain.near_components(rows)
+    assert {root for _, root in expected.values()} == {0}
+    monkeypatch.setattr(neardup, "CAP", 4)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == expected
+
+
 def test_links_within_a_region_are_exact():
     import numpy as np
 
