@@ -4,7 +4,7 @@ A text's set is its distinct five-word shingles. Texts of equal sets are one cla
 by its smallest doc_id. Each class has a MinHash signature, and each tree of the forest sorts all
 classes by its own order of the signature's values. Classes with the longest common prefix stand
 together there: a region is all classes that share at least ``DEPTH`` values. A
-region of more than ``CAP`` classes is first taken as overlapping stretches of ``CAP`` neighbours in the
+region of more than ``CAP`` classes or ``REGION_SHINGLES`` shingles is first taken as overlapping stretches of ``CAP`` neighbours in the
 sorted order, so depth adapts to how crowded a region is: each class meets the neighbours
 with the longest common prefixes, on both sides. What the links of all trees leave in different
 components is then finished exactly: the classes of a cut region are dealt into blocks, a large component in
@@ -201,7 +201,7 @@ def linked_groups(sets: list[np.ndarray], share: int = SHARE) -> list[int]:
         part = np.zeros((n, min(width, len(names) - low)), np.float32)
         part[owner[a:b], columns[a:b] - low] = 1
         both += part @ part.T
-    linked = 100 * both >= share * (sizes[:, None] + sizes[None, :] - both)
+    linked = 100 * both.astype(np.int64) >= share * (sizes[:, None] + sizes[None, :] - both)
     group = np.full(n, -1)
     for k in range(n):
         if group[k] < 0:
@@ -246,19 +246,22 @@ def unmet(found: DataFrame, roots: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame) -> DataFrame:
     """Two blocks of classes for every two that a cut region holds: bin, region, node.
 
-    A class stands in a block of its least region. A component of at least ``CAP / 2`` classes there
-    has blocks of its own, the others share theirs, and blocks have about ``CAP`` classes.
+    A class stands in a block of its least region. A component of at least half a block there has
+    blocks of its own, the others share theirs. Blocks have about ``CAP`` classes or half of
+    ``REGION_SHINGLES`` at most, so two of them are no more than a stretch, and long texts get more blocks, not fewer partners.
     """
+    room = REGION_SHINGLES // 2
     nodes = stored(
         members.groupBy("node").agg(
             F.min("prefix").alias("home"), F.first("root").alias("root"), F.first("n").alias("n"), F.collect_set("prefix").alias("prefixes")
         ),
         "homes",
     )
-    sizes = nodes.groupBy("home", "root").agg(F.count("*").alias("n"))
-    large = F.col("n") >= CAP / 2
+    sizes = nodes.groupBy("home", "root").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
+    large = (F.col("n") >= CAP / 2) | (F.col("shingles") >= room / 2)
     sizes = stored(sizes.withColumns({"large": large, "own": F.when(large, F.col("root")).otherwise(0)}), "sizes")
-    parts = sizes.groupBy("home", "large", "own").agg(F.ceil(F.sum("n") / CAP).alias("parts"))
+    needed = F.greatest(F.ceil(F.sum("n") / CAP), F.ceil(F.sum("shingles") / room))
+    parts = sizes.groupBy("home", "large", "own").agg(needed.alias("parts"))
     dealt = nodes.join(sizes.select("home", "root", "large", "own"), ["home", "root"]).join(parts, ["home", "large", "own"])
     block = F.xxhash64("home", "large", "own", F.pmod(F.xxhash64("node"), "parts"))
     blocks = stored(dealt.select("node", "prefixes", "large", "own", block.alias("block")), "blocks")

@@ -347,15 +347,37 @@ def outliers_of_a_group():
     return rows
 
 
-def test_outliers_of_a_crowded_group_are_linked(spark, monkeypatch):
+@pytest.mark.parametrize(("bound", "value"), [("CAP", 4), ("REGION_SHINGLES", 1600)])
+def test_outliers_of_a_crowded_group_are_linked(spark, bound, value, monkeypatch):
     rows = outliers_of_a_group()
     expected = plain.near_components(rows)
     assert {root for _, root in expected.values()} == {0}
-    monkeypatch.setattr(neardup, "CAP", 4)
+    monkeypatch.setattr(neardup, bound, value)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == expected
 
 
+def test_blocks_of_long_texts_hold_few_and_meet_all(spark):
+    """300 unlinked classes of 100,000 shingles in one cut region."""
+    rows = [(b"p", k, 100_000, k) for k in range(300)]
+    members = spark.createDataFrame(rows, "prefix binary, node long, n long, root long")
+    units = {}
+    for row in neardup.block_pairs(members).collect():
+        units.setdefault(row.region, set()).add(row.node)
+    met = {(a, b) for unit in units.values() for a in unit for b in unit}
+    assert len(met) == 300 * 300
+    assert max(map(len, units.values())) <= 60
+
+
+def test_links_of_long_sets_are_exact():
+    import numpy as np
+
+    both, union = 1_360_062, 1_600_073
+    sets = [np.arange(both, dtype=np.uint64), np.arange(union, dtype=np.uint64), np.arange(union + 9, union + 11, dtype=np.uint64)]
+    assert 100 * both < 85 * union
+    assert neardup.linked_groups(sets) == [0, 1, 2]
+
+
 def test_links_within_a_region_are_exact():
     import numpy as np
 
