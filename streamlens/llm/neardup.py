@@ -101,7 +101,7 @@ def forest_rows(classes: DataFrame) -> DataFrame:
 
 
 def regions(rows: DataFrame) -> DataFrame:
-    """Regions of at least two classes: tree, prefix, region, whether it is a stretch of a larger one, a digest of its classes, node, n.
+    """Regions of at least two classes, and what stands at a border of a partition: tree, prefix, region, whether it is a stretch of a larger one, a digest of its classes, node, n.
 
     Sorted rows of a partition are read as a stream; what is held is a region at most ``CAP`` long.
     """
@@ -112,11 +112,12 @@ def regions(rows: DataFrame) -> DataFrame:
         out: list[tuple[int, bytes, int, bool, bytes, int, int]] = []
         region_no = 0
         held: list[tuple[int, int]] = []
-        prefix, fresh, total, cut = b"", 0, 0, False
+        # a region at either end of a partition may go on in another
+        prefix, fresh, total, cut = b"", 0, 0, True
 
         def close() -> None:
             nonlocal region_no
-            if len(held) < 2 or fresh == 0:
+            if len(held) < 2 and not cut or fresh == 0:
                 return
             nodes = np.sort(np.array([node for node, _ in held], np.int64))
             same = hashlib.blake2b(nodes.tobytes(), digest_size=16).digest()
@@ -134,7 +135,7 @@ def regions(rows: DataFrame) -> DataFrame:
             for key, node, n in zip(keys, batch.column("node").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 if key[:share] != prefix:
                     close()
-                    held, prefix, fresh, total, cut = [], key[:share], 0, 0, False
+                    held, prefix, fresh, total, cut = [], key[:share], 0, 0, not prefix
                 elif len(held) >= CAP or total + n > REGION_SHINGLES and len(held) > 1:
                     cut = True
                     close()
@@ -144,6 +145,7 @@ def regions(rows: DataFrame) -> DataFrame:
                 fresh, total = fresh + 1, total + n
             if len(out) > 20_000:
                 yield batch_of()
+        cut = True
         close()
         if out:
             yield batch_of()

@@ -369,6 +369,19 @@ def test_blocks_of_long_texts_hold_few_and_meet_all(spark):
     assert max(map(len, units.values())) <= 60
 
 
+def test_regions_on_both_sides_of_a_border_are_one(spark):
+    key = bytes(1 + 2 * neardup.ORDER)
+    rows = spark.createDataFrame([(key, node, 5) for node in range(40)], "key binary, node long, n long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = neardup.stored(neardup.regions(rows), "regions")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.select("region").distinct().count() > 1
+    units = neardup.block_pairs(neardup.unmet(found, spark.createDataFrame([], "node long, root long")))
+    assert {r.node for r in units.collect()} == set(range(40))
+
+
 def test_links_of_long_sets_are_exact():
     import numpy as np
 
