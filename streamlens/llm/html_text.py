@@ -1,7 +1,8 @@
 """Visible text of HTML pages, laid out.
 
 ``TreeBuilder`` turns tags into a tree of open elements with the end tags that HTML implies (a
-``li`` ends the ``li`` before it, a block ends an open ``p``, a cell ends a cell) and ignores end
+``li`` ends the ``li`` before it, a block ends an open ``p``, a cell ends a cell, what may not stand in a
+head ends it) and ignores end
 tags of what is not open. Elements that are not rendered, or are hidden by attribute or
 style, hide all they hold. What is visible goes to a stack of boxes: blocks begin on a new
 line, paragraphs, headings, lists and tables have an empty line around them, list items have a
@@ -53,6 +54,8 @@ ENDS = {
     "tfoot": (("thead", "tbody", "tfoot", "caption"), ("table",)),
     "option": (("option",), ("select", "datalist")),
 }
+#: What may stand in a head; any other tag, or text, ends it.
+IN_HEAD = frozenset("head title script style template noscript base link meta noframes".split())
 #: An end tag does not close what is outside of these.
 SCOPES = frozenset("table td th caption html".split())
 _GAP = re.compile(r"[ \t\n\r\f]+")
@@ -162,6 +165,8 @@ class TreeBuilder(HTMLParser):
         self.lists: list[list] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.open and self.open[-1] == "head" and tag not in IN_HEAD:
+            self._close_at(len(self.open) - 1)
         if tag in ENDS_P and self._within("p"):
             self._close_to("p")
         ended, bounds = ENDS.get(tag, ((), ()))
@@ -203,6 +208,8 @@ class TreeBuilder(HTMLParser):
             self._close_to(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1] == "head" and data.strip(" \t\n\r\f"):
+            self._close_at(len(self.open) - 1)
         if self.hidden:
             return
         if self.open and self.open[-1] in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol") and not data.strip():

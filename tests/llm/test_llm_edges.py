@@ -196,6 +196,21 @@ def test_rendering(html, text):
         assert got == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>t</title><body><p>text", "text"),
+        ("<!doctype html><html>\n<head>\n<meta charset=utf-8><title>t</title>\n<p>text", "text"),
+        ("<head><title>t</title> bare <b>text</b>", "bare text"),
+        ("<head><style>p{}</style><script>x</script><link href=a></head>text", "text"),
+        ("<head><title>t</title><noscript><img src=a></noscript><meta name=a><div>text</div>", "text"),
+        ("<title>t</title><p>text", "text"),
+    ],
+)
+def test_heads_end_where_html_ends_them(html, text):
+    assert html_text.visible_text(html) == text
+
+
 def test_deep_and_broken_pages(spark):
     deep = "<div><table><tr><td><ul><li>" * 3000 + "x"
     assert html_text.visible_text(deep).strip(" -") == "x"
