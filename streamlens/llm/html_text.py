@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -29,9 +30,13 @@ from pyspark.sql import functions as F
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset(
-    "head title script style template noscript iframe object svg math canvas audio video"
-    " datalist textarea select noframes".split()
+    "head title script style template noscript iframe object canvas audio video datalist noframes".split()
 )
+#: Elements with rules of their own, and what in them is not rendered.
+FOREIGN = frozenset("svg math".split())
+FOREIGN_UNSEEN = frozenset("desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split())
+#: Their white space is kept.
+KEPT = frozenset("pre textarea".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset(
     "html body address article aside center dd details dialog div dt fieldset figcaption footer form header"
@@ -154,12 +159,16 @@ class Table:
 
 
 class TreeBuilder(HTMLParser):
+    #: No tags inside; entities of a textarea are read in ``handle_data``.
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "textarea")
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
         self.hides: list[bool] = []
         self.hidden = 0
         self.pre = 0
+        self.foreign = 0
         self.boxes = [Box()]
         self.tables: list[Table] = []
         self.lists: list[list] = []
@@ -181,6 +190,7 @@ class TreeBuilder(HTMLParser):
         given = {name: value or "" for name, value in attrs}
         hides = (
             tag in UNSEEN
+            or (tag in FOREIGN_UNSEEN and self._foreign())
             or "hidden" in given
             or bool(_HIDDEN.search(given.get("style", "")))
             or (tag == "input" and given.get("type", "").lower() == "hidden")
@@ -195,11 +205,14 @@ class TreeBuilder(HTMLParser):
         self.open.append(tag)
         self.hides.append(hides)
         self.hidden += hides
+        self.foreign += tag in FOREIGN
         if not self.hidden:
             self._begin(tag, given)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and self._foreign():
+            self._close_at(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -214,8 +227,17 @@ class TreeBuilder(HTMLParser):
             return
         if self.open and self.open[-1] in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol") and not data.strip():
             return
+        if self.open and self.open[-1] == "textarea":
+            data = unescape(data)
         self.boxes[-1].text(data, self.pre > 0)
 
+    def _foreign(self) -> bool:
+        if self.foreign:
+            for name in reversed(self.open):
+                if name in FOREIGN or name == "foreignobject":
+                    return name in FOREIGN
+        return False
+
     def _within(self, tag: str, bounds: tuple[str, ...] | frozenset = SCOPES) -> bool:
         for name in reversed(self.open):
             if name == tag:
@@ -239,6 +261,7 @@ class TreeBuilder(HTMLParser):
             if not self.hidden:
                 self._end(tag)
             self.hidden -= hides
+            self.foreign -= tag in FOREIGN
 
     def _begin(self, tag: str, given: dict[str, str]) -> None:
         box = self.boxes[-1]
@@ -269,11 +292,16 @@ class TreeBuilder(HTMLParser):
             box.end_line()
             if tag == "dd":
                 box.prefix.append(INDENT)
-        self.pre += tag == "pre"
+        elif tag == "text" and self.foreign:
+            box.text(" ", False)
+        elif tag == "textarea" and box.space:
+            box.parts.append(" ")
+            box.space = False
+        self.pre += tag in KEPT
 
     def _end(self, tag: str) -> None:
         box = self.boxes[-1]
-        self.pre -= tag == "pre"
+        self.pre -= tag in KEPT
         if tag in ("td", "th") and self.tables and len(self.boxes) > 1:
             lines = self.boxes.pop().result()
             row = self.tables[-1].rows[-1]
@@ -302,9 +330,15 @@ class TreeBuilder(HTMLParser):
             box.gap()
         elif tag in BLOCKS:
             box.end_line()
+        elif tag == "text" and self.foreign:
+            box.text(" ", False)
 
     def rendered(self, html: str) -> str:
         self.feed(html)
+        if self.cdata_elem == "textarea":
+            # never closed: the rest of the page is its text
+            rest, self.rawdata = self.rawdata, ""
+            self.handle_data(rest)
         self.close()
         self._close_at(0)
         return "\n".join(self.boxes[0].result())

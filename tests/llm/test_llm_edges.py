@@ -211,6 +211,26 @@ def test_heads_end_where_html_ends_them(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>a <svg class=i /> b</p>", "a b"),
+        ("<body><svg/><math/><p>rest", "rest"),
+        ("<p>a <svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d=x /><text>Jan</text><text>Feb</text></svg> b", "a Jan Feb b"),
+        ("<p>a <svg><defs/><g/><text>x</text><metadata/></svg> b", "a x b"),
+        ("<p><math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math> is", "x+1 is"),
+        ("<p>pick <select><option>one<option>two</select> now", "pick\none\ntwo\nnow"),
+        ("<p>say <textarea>one\n  two</textarea>", "say one\n  two"),
+        ("<textarea><b>x</b> &lt;</textarea>y", "<b>x</b> <y"),
+        ("a <textarea>x &amp; </b>y", "a x & </b>y"),
+        ("<p>a<datalist><option>no</datalist> b", "a b"),
+        ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"),
+    ],
+)
+def test_drawings_formulas_and_fields_are_rendered(html, text):
+    assert html_text.visible_text(html) == text
+
+
 def test_deep_and_broken_pages(spark):
     deep = "<div><table><tr><td><ul><li>" * 3000 + "x"
     assert html_text.visible_text(deep).strip(" -") == "x"
