@@ -56,28 +56,37 @@ def folded(token: str) -> str:
 
 
 class Lexicon:
-    """Terms in a trie, walked by a lazily determinised automaton of at most one edit."""
+    """Terms in a trie, walked by a lazily determinised automaton of at most one edit.
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    ``behind`` has whole words with the number of the beginning that stands for them: a misspelt one
+    counts as that beginning misspelt.
+    """
+
+    def __init__(self, terms: list[tuple[str, bool]], behind: list[tuple[str, int]] = ()):
         self.terms = terms
         self.child: list[dict[str, int]] = [{}]
         self.whole: dict[int, int] = {}
         self.begin: dict[int, int] = {}
         for k, (term, prefix) in enumerate(terms):
-            node = 0
-            for letter in term:
-                if letter not in self.child[node]:
-                    self.child[node][letter] = len(self.child)
-                    self.child.append({})
-                node = self.child[node][letter]
-            (self.begin if prefix else self.whole)[node] = k
+            (self.begin if prefix else self.whole)[self._planted(term)] = k
+        self.behind = {self._planted(word): k for word, k in behind if len(word) >= FUZZY}
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.accepts: list[tuple[tuple[int, int], ...]] = []
+        self.misspelt: list[tuple[tuple[int, int], ...]] = []
         self.begins: list[tuple[tuple[int, int], ...]] = []
         self.start = self._state({(0, 0)})
 
+    def _planted(self, term: str) -> int:
+        node = 0
+        for letter in term:
+            if letter not in self.child[node]:
+                self.child[node][letter] = len(self.child)
+                self.child.append({})
+            node = self.child[node][letter]
+        return node
+
     def _state(self, pairs: set[tuple[int, int]]) -> int:
         """The number of a set of (node, edits), closed under skipping a letter of the term."""
         closed = set(pairs)
@@ -94,6 +103,7 @@ class Lexicon:
             self.next.append({})
             ends = [(self.whole[n], e) for n, e in key if n in self.whole]
             self.accepts.append(tuple(sorted((k, e) for k, e in ends if e == 0 or len(self.terms[k][0]) >= FUZZY)))
+            self.misspelt.append(tuple(sorted({(self.behind[n], 1) for n, e in key if e == 1 and n in self.behind})))
             self.begins.append(tuple(sorted((self.begin[n], 0) for n, e in key if e == 0 and n in self.begin)))
         return self.states[key]
 
@@ -118,6 +128,8 @@ class Lexicon:
                 return found
             if self.begins[state]:
                 found += self.begins[state]
+        if self.misspelt[state]:
+            found += tuple(m for m in self.misspelt[state] if (m[0], 0) not in found)
         return found + self.accepts[state]
 
 
@@ -139,13 +151,15 @@ class Model:
     quote: float = 1 / 3
     prior: float = -3.0
     none: float = -6.0
+    #: Whole words that a chosen beginning explains, with the number of that beginning.
+    behind: list[tuple[str, int]] = field(default_factory=list)
 
 
 class Matcher:
     """Matches of texts; remembers what each distinct token matches."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.lexicon, self.known = Lexicon(terms), {}
+    def __init__(self, terms: list[tuple[str, bool]], behind: list[tuple[str, int]] = ()):
+        self.lexicon, self.known = Lexicon(terms, behind), {}
 
     def matches(self, text: str | None) -> list[tuple[int, int, bool]]:
         """(term, edits, quoted) of each match."""
@@ -265,6 +279,17 @@ def _chosen(rows: list[tuple[int, list[str]]], strong: dict[str, float], need: f
     return terms
 
 
+def _behind(terms: list[tuple[str, bool]], strong: dict[str, float]) -> list[tuple[str, int]]:
+    """Strong whole words that are no terms because a beginning has explained them, with its number."""
+    begins = sorted(((stem, k) for k, (stem, prefix) in enumerate(terms) if prefix), key=lambda b: -len(b[0]))
+    out = []
+    for word in sorted(_stem(f) for f in strong if f[0] == "1" and not f.endswith("*")):
+        number = next((k for stem, k in begins if word.startswith(stem)), None)
+        if number is not None and (word, False) not in terms:
+            out.append((word, number))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Model:
     """Learn terms and weights from at most ``rows`` labelled rows that are not held out.
 
@@ -298,10 +323,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
 
     having = sample.mapInArrow(find_strong, "toxic int, found array<string>").filter(F.size("found") > 0).collect()
     terms = model.terms = _chosen([(int(r[0] == 1), r[1]) for r in having], strong, need, share)
+    behind = model.behind = _behind(terms, strong)
 
     def count_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by term and count of matches; misspelled ones have count 0, quoted ones term -1, none at all term -2."""
-        matcher, seen = Matcher(terms), (Counter(), Counter())
+        matcher, seen = Matcher(terms, behind), (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
                 found = matcher.matches(text)
@@ -352,7 +378,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score and predicted of every row."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms)
+        matcher = Matcher(model.terms, model.behind)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -104,6 +104,28 @@ def test_misspelled_terms_count_and_quoted_ones_do_not(spark, model):
     assert [r.predicted for r in toxicity.score(docs, model).orderBy("doc_id").collect()] == [1, 1, 1, 0, 0]
 
 
+def test_misspelled_words_behind_a_beginning_are_found(spark):
+    """Inflected and misspelled forms make a beginning stronger than the whole word."""
+    pick = random.Random(8)
+    plain_words = ["".join(pick.choice("aeoulmnrst") for _ in range(6)) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(900):
+        own = pick.choices(plain_words, k=40)
+        if i % 6 == 0:
+            own[7] = "idiot" if i % 30 else pick.choice(["idiots", "idioot", "idioten"])
+        texts.append((i, " ".join(own)))
+        labels.append((i, int(i % 6 == 0)))
+    made = toxicity.fit(
+        spark.createDataFrame(texts, "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, toxic int"),
+    )
+    assert any(prefix and "idiot".startswith(term) for term, prefix in made.terms)
+    assert ("idiot", False) not in made.terms
+    others = ["you idiot there", "you idiots there", "you ediot there", "you 1diot there", "you idot there", "a kind thing"]
+    docs = spark.createDataFrame(list(enumerate(others)), "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(docs, made).orderBy("doc_id").collect()] == [1, 1, 1, 1, 1, 0]
+
+
 def test_toxicity_edges(spark, docs, model):
     df, rows = docs
     scored = toxicity.score(df, model).collect()
