@@ -148,6 +148,98 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP11 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+),
+g AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(x, lambda c: c <> 0)) > 0
+),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+),
+reach(r, s) AS (
+  SELECT r, r FROM v
+  UNION
+  SELECT links.b, reach.s FROM reach JOIN links ON links.a = reach.r
+),
+c AS (SELECT reach.r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.s GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+#: One round of op12: assignment of all vectors to the centroids of ``c{k}``, and the next centroids.
+_ASSIGNED = """
+d{k} AS (
+  SELECT w.r, c.c, sum((w.v - c.v) * (w.v - c.v))::BIGINT AS d FROM w JOIN c{k} c USING (i) GROUP BY w.r, c.c
+),
+a{k} AS (SELECT r, c, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+"""
+_MOVED = """
+m{k} AS (
+  SELECT a{k}.c, w.i, floor_div(sum(w.v)::BIGINT, count(*)) AS v FROM w JOIN a{k} USING (r) GROUP BY a{k}.c, w.i
+),
+c{n} AS (SELECT o.c, o.i, coalesce(m.v, o.v) AS v FROM c{k} o LEFT JOIN m{k} m ON m.c = o.c AND m.i = o.i),
+"""
+
+OP12 = (
+    """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+g AS (
+  SELECT * FROM e WHERE len(x) = 64 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+w AS (
+  SELECT r, i, floor(64 * x[i])::BIGINT AS v FROM (SELECT r, x, unnest(range(1, 65)) AS i FROM g)
+),
+f AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS c FROM g
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) <= 16
+),
+c0 AS (SELECT f.c, w.i, w.v FROM f JOIN w USING (r)),
+"""
+    + "".join(_ASSIGNED.format(k=k) + _MOVED.format(k=k, n=k + 1) for k in range(3))
+    + _ASSIGNED.format(k=3)
+    + """
+s AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, a3.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a3.c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM g JOIN a3 USING (r) JOIN s ON s.c = a3.c
+"""
+).replace("floor_div(sum(w.v)::BIGINT, count(*))", "(sum(w.v)::BIGINT - ((sum(w.v)::BIGINT % count(*)) + count(*)) % count(*)) // count(*)")
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all({FOLDED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+),
+b AS (
+  SELECT row_number() OVER () AS k, item_id,
+    regexp_extract_all({FOLDED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+),
+t AS (SELECT count(*)::BIGINT AS total, sum(len(ws))::BIGINT AS length FROM d WHERE len(ws) > 0),
+q AS (SELECT k, term, count(*) AS often FROM (SELECT k, unnest(ws) AS term FROM b) GROUP BY k, term),
+p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY r, term
+),
+w AS (
+  SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term), t
+),
+m AS (SELECT r, doc_id, 75 + (25 * len(ws)::BIGINT * total) // length AS m FROM d, t WHERE len(ws) > 0),
+s AS (
+  SELECT q.k, m.r, m.doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM p JOIN m USING (r) JOIN w USING (term) JOIN q USING (term) GROUP BY q.k, m.r, m.doc_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked JOIN b USING (k) WHERE rank <= 20
+"""
+
 LLM_ORACLE: dict[str, str] = {
     "op1_quality_rules": OP1,
     "op3_decontamination": OP3,
@@ -155,4 +247,7 @@ LLM_ORACLE: dict[str, str] = {
     "op7_minhash": OP7,
     "op8_line_dedup": OP8,
     "op9_chat": OP9,
+    "op11_embedding_dedup": OP11,
+    "op12_centroids": OP12,
+    "op13_lexical_search": OP13,
 }

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from streamlens.checkpoints import fresh_path
 from streamlens.llm import (
+    centroids,
     chat,
     decontaminate,
     html_text,
+    lattice,
+    lexical,
     lines,
     neardup,
     packing,
@@ -74,10 +77,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_crc(packing.pack(table(spark, sf_dir, "documents"), end=1))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_toxicity, op3_decontamination, op4_html_text, op5_token_ids,
         op6_warc, op7_minhash, op8_line_dedup, op9_chat, op10_packing,
+        op11_embedding_dedup, op12_centroids, op13_lexical_search,
     )
 }
