@@ -96,7 +96,7 @@ def kept_vectors(rows: DataFrame, size: int = SIZE) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            whole = np.floor(values * float(SCALE)).clip(-MOST, MOST).astype("<i4")
+            whole = np.floor(values.clip(-MOST / SCALE, MOST / SCALE) * SCALE).astype("<i4")
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * size), len(whole), [None, pa.py_buffer(whole.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), flat.cast(pa.binary())], names=["vec_id", "ints"])
 
