@@ -96,13 +96,14 @@ def pack(
     grain: int = GRAIN,
     windows: int = WINDOWS,
     fill: float = FILL,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """A row for each piece: its document and place there, its sequence and place there, its ids."""
     vocabulary = vocabulary or vocabulary_path()
     room = int(windows * length * fill)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, group, held = encoder_of(vocabulary), [], 0
+        encoder, group, held = encoder_of(vocabulary, special_as_text), [], 0
         sequence = TaskContext.get().partitionId() << 32
 
         def rows(pieces: list[tuple], windows_made: list[list[int]]) -> pa.RecordBatch:
@@ -112,37 +113,38 @@ def pack(
                 offset = 0
                 for k in sorted(window):
                     doc, start, ids, n = pieces[k]
-                    row = (doc, start, len(ids) // 4, n, sequence, offset, ids)
+                    row = (doc, start, len(ids), n, sequence, offset, ids)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-                    offset += len(ids) // 4
+                    offset += len(ids)
                 sequence += 1
             columns = [pa.array(c, pa.int64()) for c in out[:6]]
             names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-            return pa.RecordBatch.from_arrays([*columns, id_lists(out[6])], names=names)
+            lists = id_lists(np.concatenate(out[6]), np.concatenate(([0], np.cumsum(out[2]))))
+            return pa.RecordBatch.from_arrays([*columns, lists], names=names)
 
         for whole in batches:
             for batch in slices(whole):
                 full = []
-                texts = encoder.encode(batch.column("text").to_pylist(), end)
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    n = len(ids) // 4
+                ids, begins = encoder.flat(batch.column("text").to_pylist(), end)
+                for doc, a, b in zip(batch.column("doc_id").to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                    n = b - a
                     for at, size in cut(n, length, grain):
-                        piece = ids[4 * at : 4 * (at + size)]
+                        piece = ids[a + at : a + at + size]
                         if size == length:
                             full.append((doc, at, piece, n))
                             continue
                         first = min(size, room - held)
-                        group.append((doc, at, piece[: 4 * first], n))
+                        group.append((doc, at, piece[:first], n))
                         held += first
                         if held == room:
-                            yield rows(group, windows_of([len(p[2]) // 4 for p in group], length))
+                            yield rows(group, windows_of([len(p[2]) for p in group], length))
                             group, held = [], 0
                             if first < size:
-                                group, held = [(doc, at + first, piece[4 * first :], n)], size - first
+                                group, held = [(doc, at + first, piece[first:], n)], size - first
                 if full:
                     yield rows(full, [[k] for k in range(len(full))])
         if group:
-            yield rows(group, windows_of([len(p[2]) // 4 for p in group], length))
+            yield rows(group, windows_of([len(p[2]) for p in group], length))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(place, PIECE_SCHEMA)

@@ -1,8 +1,9 @@
 """Token ids of texts: encoding with a public tokenizer, and a Parquet format for the ids.
 
 ``Encoder`` encodes whole texts with the tokenizers library. Byte-level BPE never joins a
-character with white space after it, so a text is encoded as units of white space and
-what follows up to the next white space, and each distinct unit only once for all texts of a worker.
+character with white space after it, nor a letter with a mark after it, so texts are cut there
+into units by array operations on their bytes, the units are dictionary-encoded by Arrow, and only
+distinct units that a worker does not know yet go to the tokenizer; ids are gathered from one array.
 
 ``write_tokens`` writes documents in ascending doc_id order as Parquet with a list column of
 ids: dictionary encoding (or delta encoding, without a dictionary), row groups of a given size,
@@ -21,10 +22,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,101 +36,178 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct units that a worker remembers, twice, before it forgets those it has not met again.
 REMEMBERED = 300_000
-_UNIT = re.compile(r"\s*\S+|\s+")
-_BREAKS = frozenset(" \n\t\r\f\v")
-_LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha() and c not in "ªµº")
-#: White space to Python, so no word of ``split`` holds it.
-_BARE = "\x1f"
-#: White space to Python but not to the tokenizer: texts with these are encoded in one piece.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Bytes of text that are cut and looked up at a time.
+CHUNK = 2 << 20
+_SPACE, _LETTER, _MARK = (np.isin(np.arange(256), list(c)) for c in (b" \t\n\x0b\x0c\r", ascii_letters.encode(), b".,;:!?"))
+#: The last bytes of white space outside ASCII, and what stands before them.
+_WIDE_SPACE = {
+    (0xC2,): b"\x85\xa0",
+    (0xE1, 0x9A): b"\x80",
+    (0xE2, 0x80): bytes([*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]),
+    (0xE2, 0x81): b"\x9f",
+    (0xE3, 0x80): b"\x80",
+}
+#: A place where any text may be cut.
+_SAFE = re.compile(rb"(?<=[!-~])(?=[ \n])")
+
+
+def unit_starts(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where the units of texts begin, which follow each other in ``data``.
+
+    A unit begins with each text, before white space that follows something else, and before a mark that
+    follows an ASCII letter: no pre-token goes on there.
+    """
+    space = _SPACE[data]
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+    odd = np.flatnonzero(cut[1:] & (data[:-1] >= 0x80)) + 1
+    for before, last in _WIDE_SPACE.items():
+        here = odd[np.isin(data[odd - 1], list(last)) & (odd > len(before))]
+        for back, byte in enumerate(reversed(before), 2):
+            here = here[data[here - back] == byte]
+        cut[here] = False
+    cut[text_starts] = True
+    return np.flatnonzero(cut)
+
+
+class _Known:
+    """Ids of units, one unit after the other in one array."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.ids, self.starts = np.empty(1 << 16, "<u4"), np.zeros(1 << 14, np.int64)
+
+    def add(self, units: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.number)
+        low = int(self.starts[n])
+        while low + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        while n + len(units) >= len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+        self.ids[low : low + len(ids)] = ids
+        self.starts[n + 1 : n + len(units) + 1] = low + np.cumsum(sizes)
+        self.number.update(zip(units, range(n, n + len(units)), strict=True))
+
+    def find(self, units: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units one after the other, and how many each has."""
+        starts = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - starts
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], sizes
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids."""
+    """Texts to ids. Special tokens in texts are what the tokenizer file makes of them, or ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        #: What units are encoded to: those met lately, and those met before.
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.mark = dict(zip(".,", self._encode([".", ","]), strict=True))
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Whether an added token may lie across two units, so that texts are not cut.
+        self.uncut = any(re.search(r"[\s.,;:!?]", t.content) or t.lstrip or t.rstrip for t in added)
+        #: What was met lately, and what was met before.
+        self.known, self.before = _Known(), _Known()
         vocabulary = self.tokenizer.get_vocab(True)
         #: Bytes of each id; a byte-level vocabulary has one character for each byte.
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.width[number] = len(token)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
-
-    def _learn(self, keys: set[str]) -> None:
-        """Encode new units: all that begin with white space and end without it in one text.
-
-        A full stop or comma after a letter, at the end of a unit, is a pre-token of its own, so
-        words with and without it are encoded once.
-        """
-        known = self.known
-        ending = [k for k in keys if k[-1] in ".," and k[-2:-1] in _LETTERS]
-        joined, single, units = [], [], []
-        for key in keys.difference(ending).union(k[:-1] for k in ending).difference(known):
-            mark = key[0]
-            unit = key[1:] if mark == _BARE else key if mark == "\n" else " " + key
-            if unit[0] in _BREAKS and not unit[-1].isspace():
-                joined.append(key)
-                units.append(unit)
-            else:
-                single.append(key)
-        known.update(zip(single, self._encode([k[1:] for k in single]), strict=True))
-        if joined:
-            raw = self._encode(["".join(units)])[0]
-            widths = np.cumsum(self.width[np.frombuffer(raw, "<u4")])
-            ends = np.cumsum([len(u) for u in map(str.encode, units)])
-            cuts = (4 * np.searchsorted(widths, ends, "right")).tolist()
-            known.update(zip(joined, [raw[a:b] for a, b in zip([0, *cuts], cuts)], strict=False))
-        known.update((k, known[k[:-1]] + self.mark[k[-1]]) for k in ending)
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
+        made = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
+        return [e.ids for e in made]
+
+    def _learn(self, units: list[bytes]) -> None:
+        """Encode new units: all that begin with white space and end without it in one text."""
+        chained = [u[0] in b" \n" and (32 < u[-1] < 127 or u[-1] > 127 and not u.decode("utf-8")[-1].isspace()) for u in units]
+        own = list(compress(units, chained))
+        if own:
+            ids = np.array(self._encode([b"".join(own)])[0], "<u4")
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, "right")
+            self.known.add(own, ids, np.diff(cuts, prepend=0))
+        alone = [u for u, c in zip(units, chained, strict=True) if not c]
+        if alone:
+            parts = self._encode(alone)
+            self.known.add(alone, np.concatenate([np.array(p, "<u4") for p in parts]), np.array([len(p) for p in parts]))
+
+    def _numbers(self, units: list[bytes]) -> np.ndarray:
+        """The places of units among those known, learnt where they are new."""
+        if len(self.known.number) > REMEMBERED:
+            self.before, self.known = self.known, _Known()
+        found = self.known.find(units)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            asked = [units[k] for k in new.tolist()]
+            old = self.before.find(asked)
+            again = np.flatnonzero(old >= 0)
+            if len(again):
+                self.known.add([asked[k] for k in again.tolist()], *self.before.gather(old[again]))
+            self._learn([asked[k] for k in np.flatnonzero(old < 0).tolist()])
+            found[new] = self.known.find(asked)
+        return found
+
+    def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = b"".join(texts)
+        if not joined:
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        starts = bounds[:-1][sizes > 0]
+        if not self.uncut:
+            starts = unit_starts(np.frombuffer(joined, np.uint8), starts)
+        offsets = np.append(starts, len(joined))
+        units = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]
+        ).dictionary_encode()
+        numbers = self._numbers(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        ids, each = self.known.gather(numbers)
+        before = np.concatenate(([0], np.cumsum(each)))[np.searchsorted(starts, bounds)]
+        return ids, np.diff(before)
+
+    def flat(self, texts: Iterable[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the end id, and where each text begins."""
+        owner, held, size, n = [], [], 0, 0
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for n, text in enumerate(texts, 1):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            while len(raw) > CHUNK and not self.uncut:
+                safe = _SAFE.search(raw, CHUNK)
+                if safe is None:
+                    break
+                done.append(self._chunk([*held, raw[: safe.start()]]))
+                owner.append(n - 1)
+                raw, held, size = raw[safe.start() :], [], 0
+            held.append(raw)
+            owner.append(n - 1)
+            size += len(raw)
+            if size > CHUNK:
+                done.append(self._chunk(held))
+                held, size = [], 0
+        done.append(self._chunk(held))
+        ids = np.concatenate([d[0] for d in done])
+        counts = np.bincount(owner, np.concatenate([d[1] for d in done]), n).astype(np.int64)
+        ends = np.cumsum(counts)
+        return np.insert(ids, ends, np.uint32(end)), np.concatenate(([0], ends + np.arange(1, n + 1)))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """The ids of each text, with the end id, as bytes."""
-        last = np.array([end], "<u4").tobytes()
-        units = [units_of(t) if t else [] for t in texts]
-        new = set().union(*units).difference(self.known)
-        again = new.intersection(self.before)
-        self.known.update((u, self.before[u]) for u in again)
-        self._learn(new - again)
-        out = [b"".join(map(self.known.__getitem__, own)) + last for own in units]
-        if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
-        return out
-
-
-def units_of(text: str) -> list[str]:
-    """Keys of the units that a text is cut into before white space, where no pre-token goes on.
-
-    A unit with one space before it has the key without that space, one with a line end its own
-    text, and any other its text after ``_BARE``, which no other key holds.
-    """
-    words = text.split()
-    if words and " ".join(words) == text.replace("\n", " "):
-        keys = []
-        for line in text.split("\n"):
-            own = line.split(" ")
-            own[0] = "\n" + own[0]
-            keys += own
-        keys[0] = _BARE + keys[0][1:]
-        return keys
-    if _ODD.search(text):
-        return [_BARE + text]
-    return [_BARE + unit for unit in _UNIT.findall(text)]
-
-
-def encoder_of(path: str) -> Encoder:
+        """The ids of each text, with the end id, as little-endian unsigned 32-bit bytes."""
+        ids, at = self.flat(texts, end)
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def encoder_of(path: str, special_as_text: bool = False) -> Encoder:
     """The encoder of this worker process, with what it has learnt in earlier tasks.
 
     Functions sent by value bring new globals with every task, so it is kept on the library's module.
@@ -134,9 +215,10 @@ def encoder_of(path: str) -> Encoder:
     import tokenizers
 
     made = tokenizers.__dict__.setdefault("_streamlens_encoders", {})
-    if path not in made:
-        made[path] = Encoder(path)
-    return made[path]
+    key = (path, special_as_text)
+    if key not in made:
+        made[key] = Encoder(path, special_as_text)
+    return made[key]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -145,15 +227,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def id_lists(parts: list[bytes]) -> pa.ListArray:
-    """An Arrow list of ids for each part."""
-    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+def id_lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """An Arrow list of ids for each two neighbours in ``at``."""
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view("<i4")))
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``CHUNK`` bytes of text or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right"))
+        to = min(max(at + 1, most), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 TOKEN_SCHEMA = "doc_id long, file int, place long, n_tokens long, ids array<int>"
@@ -167,28 +255,27 @@ def write_tokens(
     encoding: str = "dictionary",
     row_group_bytes: int = 32 << 20,
     page_rows: int = 1000,
+    special_as_text: bool = False,
 ) -> None:
     """Write doc_id, file, place in the file, n_tokens and ids in ascending doc_id order."""
     vocabulary = vocabulary or vocabulary_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file, place = encoder_of(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, file, place = encoder_of(vocabulary, special_as_text), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole):
-                parts = encoder.encode(batch.column("text").to_pylist(), end)
-                sizes = np.array([len(p) // 4 for p in parts], np.int64)
-                ends = place + np.cumsum(sizes)
+                ids, at = encoder.flat(batch.column("text").to_pylist(), end)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.array(np.full(len(parts), file, np.int32)),
-                        pa.array(ends - sizes),
-                        pa.array(sizes),
-                        id_lists(parts),
+                        pa.array(np.full(batch.num_rows, file, np.int32)),
+                        pa.array(place + at[:-1]),
+                        pa.array(np.diff(at)),
+                        id_lists(ids, at),
                     ],
                     names=["doc_id", "file", "place", "n_tokens", "ids"],
                 )
-                place = int(ends[-1])
+                place += len(ids)
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")

@@ -11,9 +11,10 @@ def load(spark, sf, name, *columns):
 
 
 @functools.cache
-def tokenizer():
+def tokenizer(special_as_text=False):
+    """The tokenizer as its file has it; its special tokens may be taken as ordinary text."""
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
+    made.encode_special_tokens = special_as_text
     return made
 
 

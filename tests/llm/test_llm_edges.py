@@ -295,13 +295,29 @@ def test_token_files(spark, docs, encoding):
     assert tokens.token_index(spark, empty).count() == 0
 
 
-def test_units_equal_whole_texts():
-    encoder = tokens.Encoder(tokens.vocabulary_path())
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_units_equal_whole_texts(monkeypatch, special_as_text):
+    encoder = tokens.Encoder(tokens.vocabulary_path(), special_as_text)
     pick = random.Random(2)
-    parts = ["a", "B1", "the", "'s", "!", "\n", "\t", " ", "  ", "\x1c", " ", "　", "日本", "é", "́", "<|endoftext|>", "_", "٣"]
-    texts = ["".join(pick.choices(parts, k=pick.randint(0, 20))) for _ in range(3000)]
-    for text, got in zip(texts, encoder.encode(texts, 7), strict=True):
-        assert got == b"".join(i.to_bytes(4, "little") for i in plain.encoded(tokenizer(), text, 7))
+    parts = ["a", "B1", "the", "'s", "'S", "!", ".", ",", "?!", ":", "\n", "\t", "\r\n", " ", "  ", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028",
+             "\u202f", "\u205f", "\u3000", "\u200b", "日本", "é", "à", "\u0301", "…", "<|endoftext|>", "_", "٣", "\x00", "👍🏽"]
+    texts = ["".join(pick.choices(parts, k=pick.randint(0, 20))) for _ in range(6000)]
+    texts += [None, "", " ", ".", "a.", "a<|endoftext|>b", " <|endoftext|>  <|endoftext|>\n"]
+    for chunk in (4 << 20, 50):
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        for text, got in zip(texts, encoder.encode(texts, 7), strict=True):
+            assert got == b"".join(i.to_bytes(4, "little") for i in plain.encoded(tokenizer(special_as_text), text, 7)), text
+    assert encoder.encode(["a<|endoftext|>b"], 7)[0][4:8] == (50256).to_bytes(4, "little") or special_as_text
+
+
+def test_forgotten_units_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    pick = random.Random(3)
+    for _ in range(60):
+        texts = [" ".join(f"w{pick.randint(0, 120)}" for _ in range(15)) for _ in range(3)]
+        for text, got in zip(texts, encoder.encode(texts, 0), strict=True):
+            assert got == b"".join(i.to_bytes(4, "little") for i in plain.encoded(tokenizer(), text, 0))
 
 
 # 6 WARC
