@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,26 +23,33 @@ SEGMENT_SECONDS = 5
 
 
 def route_media(
-    df: DataFrame, time: str = "t", cell_seconds: int = DEFAULT_CELL_SECONDS
+    df: DataFrame,
+    time: str = "t",
+    cell_seconds: int = DEFAULT_CELL_SECONDS,
+    keys: Sequence[str] = ("stream_id",),
+    by_time: bool = False,
 ) -> DataFrame:
     """Keep the chosen video and audio rows of each input, with their output index.
 
     With a ``stream_index`` column the first video and the first audio stream of
-    an input are chosen; without one each medium is a single stream. Inputs that
-    have no video are left out, audio is optional.
+    an input are chosen: those of the lowest index, or ``by_time`` those of the first packets.
+    Without one each medium is a single stream. Inputs that
+    have no video are left out, audio is optional. With a recording's id among the ``keys``, each
+    recording chooses for itself.
     """
     video, audio = F.col("media") == "video", F.col("media") == "audio"
     index = F.col("stream_index") if "stream_index" in df.columns else F.lit(0)
+    rank = F.struct(*([time, "frame_id"] if by_time else []), index.alias("i"))
     routed = carry(
         with_cell(df.filter(video | audio), time, cell_seconds),
-        ["stream_id"],
+        keys,
         [
-            F.min(F.when(video, index)).alias("_video"),
-            F.min(F.when(audio, index)).alias("_audio"),
+            F.min(F.when(video, rank)).alias("_video"),
+            F.min(F.when(audio, rank)).alias("_audio"),
         ],
         lambda w: [
-            F.min("_video").over(w.whole).alias("_video_index"),
-            F.min("_audio").over(w.whole).alias("_audio_index"),
+            F.min("_video").over(w.whole)["i"].alias("_video_index"),
+            F.min("_audio").over(w.whole)["i"].alias("_audio_index"),
         ],
     )
     chosen = F.when(video, index == F.col("_video_index")).otherwise(

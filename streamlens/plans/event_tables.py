@@ -26,14 +26,6 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
-def read_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table as a stream of its one file, or of the files of its folder.
-
-    A path that is no pattern would have to be a folder.
-    """
-    return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parque[t]")
-
-
 def cell_seconds(spark: SparkSession, sf_dir: str) -> int:
     """Cell width for these events, measured once per session; results do not depend on it."""
     place = (spark.sparkContext.applicationId, sf_dir)
@@ -89,11 +81,11 @@ def raw_frames(events: DataFrame, *extra: Column | str) -> DataFrame:
 def frames(
     spark: SparkSession, sf_dir: str, *extra: Column | str, keep_cells: bool = False
 ) -> DataFrame:
-    return to_frames(
-        raw_frames(read_events(spark, sf_dir), *extra),
-        cell_seconds=cell_seconds(spark, sf_dir),
-        keep_cells=keep_cells,
-    )
+    """All events as frames; cells are measured only where they are kept."""
+    raw = raw_frames(read_events(spark, sf_dir), *extra)
+    if not keep_cells:
+        return to_frames(raw)
+    return to_frames(raw, cell_seconds=cell_seconds(spark, sf_dir), keep_cells=True)
 
 
 def video(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,35 @@ grid AS (
 cut AS (
   SELECT *, dense_rank() OVER (PARTITION BY stream_id ORDER BY g) - 1 AS segment_no FROM grid)"""
 
+#: Commands by the lives of their task, which end when none comes for three days.
+ENDED = COMMANDS + f""",
+gaps AS (
+  SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY stream_id ORDER BY ts, event_id)
+                     > {3 * DAY * 1_000_000}, false)::INT AS gap
+  FROM commands),
+numbered AS (
+  SELECT stream_id, event_id, ts, action, sum(gap) OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS life FROM gaps),
+lives AS (
+  SELECT *, coalesce(last_value(CASE WHEN action <> 'update' THEN action END IGNORE NULLS) OVER (
+    PARTITION BY stream_id, life ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'start', false) AS active
+  FROM numbered)"""
+
+BY_FIRST = f"""WITH {SESSIONS}, {FRAMES},
+inside AS (
+  SELECT f.stream_id, s.session_id, f.frame_id, f.media, f.ts, ((f.pts::HUGEINT * 2 * 90000 + 1000000) // 2000000)::BIGINT AS ticks,
+         CASE e.event_type WHEN 'click' THEN 2 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS i
+  FROM frames f JOIN events e ON e.event_id = f.frame_id
+  JOIN sessions s ON f.stream_id = s.stream_id AND f.ts >= s.start_ts AND (s.stop_ts IS NULL OR f.ts < s.stop_ts)
+  WHERE f.media <> 'data'),
+chosen AS (
+  SELECT stream_id, session_id, arg_min(i, (ts, frame_id)) FILTER (WHERE media = 'video') AS v,
+         arg_min(i, (ts, frame_id)) FILTER (WHERE media = 'audio') AS a
+  FROM inside GROUP BY stream_id, session_id)
+SELECT stream_id, session_id, frame_id, CASE media WHEN 'video' THEN 0 ELSE 1 END AS out_index, ticks AS pts, ticks AS dts
+FROM inside JOIN chosen USING (stream_id, session_id)
+WHERE v IS NOT NULL AND i = CASE media WHEN 'video' THEN v ELSE a END"""
+
 LAYOUT = """
 entries AS (
   SELECT user_id, ts::DATE AS ver, event_type, event_id,
@@ -386,7 +415,22 @@ SELECT user_id AS stream_id, date_trunc('day', ts)::TIMESTAMP AS window_start,
 FROM events GROUP BY ALL""",
     "stream_commands": f"WITH {COMMANDS} {OUTCOME}",
     "stream_layout": f"WITH {LAYOUT}, {DIFF} SELECT * FROM changes",
+    "stream_layout_ended": f"""WITH {LAYOUT}, {DIFF}
+SELECT * FROM changes UNION ALL
+SELECT task_id, NULL::DATE, id, 'removed' FROM layout l
+WHERE ver = (SELECT max(ver) FROM layout m WHERE m.task_id = l.task_id)""",
+    "stream_commands_ended": f"""WITH {ENDED}
+SELECT stream_id, event_id, action,
+       CASE action WHEN 'start' THEN CASE WHEN active THEN 'already_running' ELSE 'started' END
+                   WHEN 'stop' THEN CASE WHEN active THEN 'stopped' ELSE 'not_running' END
+                   ELSE CASE WHEN active THEN 'updated' ELSE 'not_found' END END AS outcome
+FROM lives UNION ALL
+SELECT stream_id, NULL, 'end', 'stopped' FROM lives
+WHERE action <> 'update' GROUP BY stream_id, life HAVING arg_max(action, (ts, event_id)) = 'start'""",
+    "recording_by_first_packets": BY_FIRST,
+    "stream_recording": BY_FIRST,
 }
 
 # What is written is what the job gives.
 ORACLE |= {"written_recording": ORACLE["recording_task"], "written_segments": ORACLE["segment_manifest"]}
+ORACLE["stream_manifest"] = ORACLE["segment_manifest"]

@@ -19,12 +19,20 @@ def recorded_packets(
     out_video_tb: tuple[int, int] = (1, 90_000),
     out_audio_tb: tuple[int, int] = (1, 90_000),
     cell_seconds: int = DEFAULT_CELL_SECONDS,
+    per_recording: bool = False,
 ) -> DataFrame:
-    """Packets of each recording, ready to be written, with the session they belong to."""
+    """Packets of each recording, ready to be written, with the session they belong to.
+
+    ``per_recording`` lets each recording choose its elementary streams by its own first packets,
+    as live recordings do; otherwise an input's choice holds for all its recordings.
+    """
     sessions = sessions_from_commands(commands, cell_seconds=cell_seconds)
     rest = [c for c in frames.columns if c not in ("stream_id", "frame_id", "ts")]
     packets = record_sessions(frames, sessions, rest, cell_seconds, keep_cells=True)
-    routed = route_media(packets).drop(CELL)
+    if per_recording:
+        routed = route_media(packets, "ts", keys=("stream_id", "session_id"), by_time=True).drop(CELL)
+    else:
+        routed = route_media(packets).drop(CELL)
     return rescale_packets(routed, video_tb, audio_tb, out_video_tb, out_audio_tb)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from streamlens.checkpoints import fresh_path
 from streamlens.functions.media import json_field_or_default, rescale_ts, url_basename
@@ -13,6 +14,7 @@ from streamlens.operators import control, gaps, layout, recording, requests, sam
 from streamlens.operators.cells import measure_cell_seconds
 from streamlens.plans import event_tables as ev
 from streamlens.plans import mixer, recorder, screenshot
+from streamlens.sinks.commits import commit_batches, read_committed
 from streamlens.sinks.frames import attach_payload, name_frames, push_stream, write_frames
 from streamlens.sinks.recorders import record
 from streamlens.sources.frames import stream_durations, to_frames
@@ -382,80 +384,174 @@ def recording_responses(spark, sf):
     return requests.respond(bodies, "recording", cell_seconds=ev.cell_seconds(spark, sf))
 
 
-def _drained(spark: SparkSession, sdf: DataFrame) -> DataFrame:
-    """Run a live query over all the input there is and read what it wrote."""
-    out = fresh_path(spark, "drained")
-    push_stream(sdf, out, drain=True).awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(out)
+#: Parts in which a table comes to a live query, and the share of its time by which rows may be late.
+PARTS, LATE = 4, 10
+#: A time after which no stream goes on, in seconds.
+OVER = 60 * DAY
 
 
-def _live(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
-    path = fresh_path(spark, name)
-    table.write.parquet(path)
-    return spark.readStream.schema(table.schema).parquet(path)
+def _in_parts(
+    spark: SparkSession,
+    table: DataFrame,
+    time: str,
+    job: Callable[[DataFrame, str], DataFrame],
+    sink: Callable[[DataFrame], Callable[[DataFrame, int], None]] | None = None,
+) -> DataFrame | None:
+    """Run a live job over a table that comes in parts, with late rows, and then ends.
 
-
-def _run_out(spark: SparkSession, sf: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a live job over all events, in as many batches as they come, and then end the input.
-
-    The end is one far later row without a stream. It arrives when the job has read all events
-    and goes on from its checkpoint, so no event can be late for it.
+    Rows come by their time and a delay of up to a tenth of the whole, so each part has rows that belong
+    before others of the part before; the watermark given to the job allows for that. The job is started
+    anew for each part and goes on from its checkpoint. The end is one far later row without a stream.
     """
-    end = (
-        ev.read_events(spark, sf)
-        .agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
-        .select(F.lit(None).cast("bigint").alias("stream_id"), "ts")
-    )
-    ends = fresh_path(spark, "end")
-    end.limit(0).write.parquet(ends)
-    events = ev.read_event_stream(spark, sf).select(F.col("user_id").alias("stream_id"), "ts")
-    sdf = job(events.unionByName(spark.readStream.schema(end.schema).parquet(ends)))
-    out, state = fresh_path(spark, "drained"), fresh_path(spark, "state")
-    push_stream(sdf, out, state, drain=True).awaitTermination()
-    end.write.mode("append").parquet(ends)
-    push_stream(sdf, out, state, drain=True).awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(out)
+    at = live.event_micros(table, time)
+    low, high = table.agg(F.min(at), F.max(at)).first()
+    late = (high - low) // LATE + 1
+    comes = at - low + F.pmod(F.xxhash64(*table.columns), F.lit(late))
+    part = F.call_function("div", comes * PARTS, F.lit(high - low + late))
+    staged = fresh_path(spark, "staged")
+    table.withColumn("_part", part).write.partitionBy("_part").parquet(staged)
+    rows = spark.read.schema(StructType([*table.schema.fields, StructField("_part", LongType())])).parquet(staged)
+    kind = table.schema[time].dataType
+    years = F.max(F.col(time)) + (400 * DAY if kind.simpleString() == "double" else F.expr("INTERVAL 400 DAYS"))
+    end = table.agg(years.cast(kind).alias(time))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != time]
+    path, out, state = (fresh_path(spark, n) for n in ("live", "drained", "state"))
+    table.limit(0).write.parquet(path)
+    source = spark.readStream.schema(table.schema).parquet(path)
+    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with live.live_settings(spark, cores):
+        sdf = job(source, f"{late // 1000 + 1} milliseconds")
+        for k in range(PARTS + 1):
+            new = rows.filter(F.col("_part") == k).drop("_part") if k < PARTS else end.select(time, *none)
+            new.select(*table.columns).write.mode("append").parquet(path)
+            push_stream(sdf, out if sink is None else sink(sdf), state, drain=True).awaitTermination()
+    return spark.read.schema(sdf.schema).parquet(out) if sink is None else None
+
+
+def _times(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.read_events(spark, sf).select(F.col("user_id").alias("stream_id"), "ts")
 
 
 @query
 def stream_sample_interval(spark, sf):
-    live.use_rocksdb(spark)
-    frames = _live(spark, ev.video(spark, sf).select("stream_id", "frame_id", "t"), "frames")
-    return _drained(spark, live.stream_sample_interval(frames, DAY))
+    frames = ev.video(spark, sf).select("stream_id", "frame_id", "t")
+    return _in_parts(
+        spark, frames, "t", lambda rows, late: live.stream_sample_interval(rows, DAY, late, bucket_seconds=DAY)
+    )
 
 
 @query
 def stream_sample_first(spark, sf):
-    live.use_rocksdb(spark)
-    frames = _live(spark, ev.video(spark, sf).select("stream_id", "frame_id", "t"), "frames")
-    return _drained(spark, live.stream_sample_first(frames))
+    frames = ev.video(spark, sf).select("stream_id", "frame_id", "t")
+    return _in_parts(spark, frames, "t", lambda rows, late: live.stream_sample_first(rows, 0, late, bucket_seconds=DAY))
 
 
 @query
 def stream_gap_sessions(spark, sf):
-    live.merge_sessions_before_shuffle(spark)
-    return _run_out(spark, sf, lambda events: live.stream_gap_sessions(events, HALF_DAY))
+    return _in_parts(spark, _times(spark, sf), "ts", lambda rows, late: live.stream_gap_sessions(rows, HALF_DAY, late))
 
 
 @query
 def stream_segments(spark, sf):
-    return _run_out(spark, sf, lambda events: live.stream_segments(events, DAY))
+    return _in_parts(spark, _times(spark, sf), "ts", lambda rows, late: live.stream_segments(rows, DAY, late))
 
 
 @query
 def stream_commands(spark, sf):
-    live.use_rocksdb(spark)
-    return _drained(spark, live.stream_commands(ev.commands(ev.read_event_stream(spark, sf))))
+    commands = ev.commands(ev.read_events(spark, sf))
+    return _in_parts(spark, commands, "ts", lambda rows, late: live.stream_commands(rows, late, bucket_seconds=DAY))
+
+
+@query
+def stream_commands_ended(spark, sf):
+    """A task whose commands stop coming for three days is stopped and forgotten."""
+    commands = ev.commands(ev.read_events(spark, sf))
+    return _in_parts(
+        spark, commands, "ts",
+        lambda rows, late: live.stream_commands(rows, late, bucket_seconds=DAY, idle_seconds=3 * DAY),
+    )
 
 
 @query
 def stream_layout(spark, sf):
-    live.use_rocksdb(spark)
     entries = ev.layout(ev.read_events(spark, sf))
     updates = entries.groupBy("task_id", "ver").agg(
-        F.collect_list(F.struct("id", "url", *layout.GEOMETRY)).alias("streams")
+        F.array_sort(F.collect_list(F.struct("id", "url", *layout.GEOMETRY))).alias("streams")
     )
-    return _drained(spark, live.stream_layout(_live(spark, updates, "updates")))
+    return _in_parts(spark, updates, "ver", lambda rows, late: live.stream_layout(rows, late, bucket_seconds=DAY))
+
+
+@query
+def stream_layout_ended(spark, sf):
+    """When the updates of a mix end, what it still shows is removed."""
+    entries = ev.layout(ev.read_events(spark, sf))
+    updates = entries.groupBy("task_id", "ver").agg(
+        F.array_sort(F.collect_list(F.struct("id", "url", *layout.GEOMETRY))).alias("streams")
+    )
+    return _in_parts(
+        spark, updates, "ver",
+        lambda rows, late: live.stream_layout(rows, late, bucket_seconds=DAY, idle_seconds=OVER),
+    )
+
+
+@query
+def stream_manifest(spark, sf):
+    """The playlist of live packets, cut at key frames; the last segment closes with its stream."""
+    packets = _routed(spark, sf).select("stream_id", "frame_id", "t", "is_key")
+    return _in_parts(
+        spark, packets, "t",
+        lambda rows, late: live.stream_manifest(rows, DAY, "out", late, bucket_seconds=DAY, idle_seconds=OVER),
+    )
+
+
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames with each event type as an elementary stream of its own."""
+    kinds = F.array(*[F.lit(x) for x in ("error", "click", "view", "signup", "purchase")])
+    frames = ev.frames(spark, sf, "event_type")
+    index = F.array_position(kinds, F.col("event_type")).cast("int")
+    return frames.withColumns({"stream_index": index, "dts": F.col("pts")}).drop("event_type")
+
+
+@query
+def recording_by_first_packets(spark, sf):
+    """Recordings that each choose their elementary streams by their own first packets."""
+    packets = recorder.recorded_packets(
+        _indexed(spark, sf),
+        ev.commands(ev.read_events(spark, sf)),
+        cell_seconds=ev.cell_seconds(spark, sf),
+        per_recording=True,
+    )
+    return packets.select("stream_id", "session_id", "frame_id", "out_index", "pts", "dts")
+
+
+@query
+def stream_recording(spark, sf):
+    """Live packets and commands; every batch is given to the sink twice, as after a failure."""
+    path = fresh_path(spark, "recording")
+    frames = _indexed(spark, sf).select("stream_id", "ts", "frame_id", "media", "stream_index", "pts", "dts")
+    commands = ev.commands(ev.read_events(spark, sf))
+    both = frames.unionByName(commands, allowMissingColumns=True)
+    schemas = []
+
+    def job(rows: DataFrame, late: str) -> DataFrame:
+        packets = rows.filter("media is not null")
+        # the row that ends the input has neither
+        switches = rows.filter("media is null")
+        made = live.stream_recording(packets, switches, watermark=late, bucket_seconds=DAY)
+        schemas.append(made.schema)
+        return made
+
+    def sink(sdf: DataFrame) -> Callable[[DataFrame, int], None]:
+        write = commit_batches(spark, path, sdf.schema)
+
+        def twice(batch: DataFrame, number: int) -> None:
+            write(batch, number)
+            write(batch, number)
+
+        return twice
+
+    _in_parts(spark, both, "ts", job, sink)
+    return read_committed(spark, path, schemas[0])
 
 
 def all_queries() -> dict[str, Query]:

@@ -1,41 +1,77 @@
-"""The operators on live input. On ordered bounded input each gives its batch operator's rows.
+"""The operators on live input. Each gives its batch operator's rows, in whatever batches rows come.
 
+Rows may come out of order by as much as the watermark allows; stateful operators let them wait for
+their turn (``ordered.py``), and rows later than that are dropped by the engine. With ``idle_seconds`` a
+stream without rows for that long in event time is over: its close is emitted and its state goes.
 Stateful operators use the RocksDB state store; ``use_rocksdb`` selects it. How
 much a key may bring at once is set at the source (``maxFilesPerTrigger``,
 ``maxOffsetsPerTrigger``); samplers are cut down before the shuffle in any case.
-Rows later than the watermark are dropped by the engine, and inactivity is
-measured in event time.
+Rows without a stream or a time have no place in any order and are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from streamlens.functions.media import micros
+from streamlens.functions.media import MICROS, micros, segment_file_name
 from streamlens.operators.gaps import READ_TIMEOUT_SECONDS
-from streamlens.operators.recording import SEGMENT_SECONDS
+from streamlens.operators.recording import SEGMENT_SECONDS, rescale_packets
+from streamlens.streaming.ordered import MICROS_COLUMN, OrderedProcessor
 from streamlens.streaming.processors import (
     FirstSampler,
     IntervalSampler,
     LayoutState,
+    Recorder,
+    SegmentCutter,
     TaskState,
 )
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_EVENT = "_event_time"
+_EVENT = "event_time_"
+WATERMARK = "10 seconds"
+#: Where clocks that count from 0 begin, in microseconds.
+CLOCK_BEGINS = 365 * 86_400_000_000
+#: Seconds of event time that wait together in state.
+BUCKET = 10
+
+
+@contextmanager
+def live_settings(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Settings that live queries need while they are started; the session's own come back after.
+
+    The number of ``partitions`` of a query's state is fixed when it first starts.
+    """
+    wanted = {_PROVIDER: _ROCKSDB, _MERGE: "true"}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
 
 
 def merge_sessions_before_shuffle(spark: SparkSession) -> None:
     """Let each task join the rows of a session first, so a busy stream sends few of them."""
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    spark.conf.set(_MERGE, "true")
 
 
 def _first_of(sdf: DataFrame, keys: list[str], count: int) -> DataFrame:
@@ -46,52 +82,173 @@ def _first_of(sdf: DataFrame, keys: list[str], count: int) -> DataFrame:
     """
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows.sort_values(["t", "frame_id"]).groupby(keys, sort=False).head(count)
+            yield rows.sort_values(["t", "frame_id"]).groupby(keys, sort=False, dropna=False).head(count)
 
     return sdf.mapInPandas(cut, sdf.schema)
 
 
-def _stateful(sdf: DataFrame, key: str, processor, schema: str) -> DataFrame:
-    return sdf.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none"
+def event_micros(df: DataFrame, time: str) -> Column:
+    """A time column as microseconds.
+
+    Numbers count seconds of a stream's own clock. That is set to begin in 1971, as the engine's first
+    watermark is the beginning of 1970 and rows at it are late.
+    """
+    kind, value = df.schema[time].dataType, F.col(time)
+    if isinstance(kind, T.TimestampNTZType):
+        return micros(value)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("bigint") * 86_400_000_000
+    seconds = value.cast("bigint") if isinstance(kind, T.IntegralType) else value
+    return F.floor(seconds * 1_000_000).cast("bigint") + CLOCK_BEGINS
+
+
+def _in_order(
+    sdf: DataFrame, key: str, time: str, watermark: str, processor: OrderedProcessor, schema: str | T.StructType
+) -> DataFrame:
+    """Rows by key in event-time order through a processor."""
+    timed = sdf.withColumn(MICROS_COLUMN, event_micros(sdf, time))
+    marked = timed.withColumn(_EVENT, F.timestamp_micros(MICROS_COLUMN)).withWatermark(_EVENT, watermark)
+    # The filter names the event time, which keeps it above the watermark: rows without a stream move it on.
+    placed = marked.filter(F.when(F.col(_EVENT).isNotNull(), F.col(key).isNotNull()))
+    return placed.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
 
 
-def stream_sample_interval(sdf: DataFrame, interval: int) -> DataFrame:
+def _ms(seconds: float | None) -> int | None:
+    return None if seconds is None else int(seconds * 1000)
+
+
+def _typed(sdf: DataFrame, *names: str) -> str:
+    """Names with the types that ``sdf`` has for them, as a schema."""
+    return ", ".join(f"{n} {sdf.schema[n].dataType.simpleString()}" for n in names)
+
+
+def stream_sample_interval(
+    sdf: DataFrame,
+    interval: int,
+    watermark: str = WATERMARK,
+    time: str = "t",
+    bucket_seconds: float = BUCKET,
+    idle_seconds: float | None = None,
+) -> DataFrame:
     """``sample_interval`` on a live stream; the state is one number per stream."""
     if interval <= 0:
         raise ValueError("Interval must be positive.")
-    frames = sdf.filter(F.col("t") >= interval).select(
-        "stream_id", "frame_id", "t", F.floor("t").cast("bigint").alias("_second")
-    )
+    frames = sdf.filter(F.col("t").isNull() | (F.col("t") >= interval) | F.col("stream_id").isNull())
+    columns = list(dict.fromkeys(["stream_id", "frame_id", "t", time]))
+    frames = frames.select(*columns, F.floor("t").cast("bigint").alias("_second"))
     cut = _first_of(frames, ["stream_id", "_second"], 1).drop("_second")
-    return _stateful(cut, "stream_id", IntervalSampler(interval), cut.schema)
+    schema = _typed(cut, "stream_id", "frame_id", "t")
+    processor = IntervalSampler(interval, _ms(bucket_seconds), _ms(idle_seconds))
+    return _in_order(cut, "stream_id", time, watermark, processor, schema)
 
 
-def stream_sample_first(sdf: DataFrame, drain: int = 0) -> DataFrame:
+def stream_sample_first(
+    sdf: DataFrame,
+    drain: int = 0,
+    watermark: str = WATERMARK,
+    time: str = "t",
+    bucket_seconds: float = BUCKET,
+    idle_seconds: float | None = None,
+) -> DataFrame:
     """``sample_first`` on a live stream."""
-    frames = sdf.select("stream_id", "frame_id", "t")
-    cut = _first_of(frames, ["stream_id"], 1 + drain)
-    return _stateful(cut, "stream_id", FirstSampler(1 + drain), cut.schema)
-
-
-def stream_commands(sdf: DataFrame) -> DataFrame:
-    """``command_outcome`` on a live command stream."""
-    commands = sdf.select("stream_id", "event_id", "ts", "action")
-    fields = {f.name: f.dataType.simpleString() for f in commands.schema}
-    schema = (
-        f"stream_id {fields['stream_id']}, event_id {fields['event_id']},"
-        " action string, outcome string"
-    )
-    return _stateful(commands, "stream_id", TaskState(), schema)
+    frames = sdf.select(*dict.fromkeys(["stream_id", "frame_id", "t", time]))
+    cut = frames if idle_seconds is not None else _first_of(frames, ["stream_id"], 1 + drain)
+    schema = _typed(cut, "stream_id", "frame_id", "t")
+    processor = FirstSampler(1 + drain, _ms(bucket_seconds), _ms(idle_seconds))
+    return _in_order(cut, "stream_id", time, watermark, processor, schema)
+
 
+def stream_commands(
+    sdf: DataFrame,
+    watermark: str = WATERMARK,
+    time: str = "ts",
+    bucket_seconds: float = BUCKET,
+    idle_seconds: float | None = None,
+) -> DataFrame:
+    """``command_outcome`` on a live command stream.
+
+    A task that still runs when its commands end is stopped by a row of action ``end`` without an id.
+    """
+    commands = sdf.select("stream_id", "event_id", "action", time)
+    schema = f"{_typed(commands, 'stream_id', 'event_id')}, action string, outcome string"
+    processor = TaskState(_ms(bucket_seconds), _ms(idle_seconds))
+    return _in_order(commands, "stream_id", time, watermark, processor, schema)
+
+
+def stream_layout(
+    sdf: DataFrame,
+    watermark: str = WATERMARK,
+    time: str = "ver",
+    bucket_seconds: float = BUCKET,
+    idle_seconds: float | None = None,
+) -> DataFrame:
+    """``layout_diff`` on live updates; a row is one update with its full stream list.
 
-def stream_layout(sdf: DataFrame) -> DataFrame:
-    """``layout_diff`` on live updates; a row is one update with its full stream list."""
-    updates = sdf.select("task_id", "ver", "streams")
-    fields = {f.name: f.dataType.simpleString() for f in updates.schema}
-    schema = f"task_id {fields['task_id']}, ver {fields['ver']}, id string, change string"
-    return _stateful(updates, "task_id", LayoutState(), schema)
+    When the updates of a mix end, what it still shows is removed, in rows without a version.
+    """
+    updates = sdf.select(*dict.fromkeys(["task_id", "ver", "streams", time]))
+    schema = f"{_typed(updates, 'task_id', 'ver')}, id string, change string"
+    processor = LayoutState(_ms(bucket_seconds), _ms(idle_seconds))
+    return _in_order(updates, "task_id", time, watermark, processor, schema)
+
+
+def stream_recording(
+    packets: DataFrame,
+    commands: DataFrame,
+    tbs: tuple[tuple[int, int], ...] = (MICROS, MICROS, (1, 90_000), (1, 90_000)),
+    watermark: str = WATERMARK,
+    bucket_seconds: float = BUCKET,
+    idle_seconds: float | None = None,
+) -> DataFrame:
+    """Packets of each recording, routed and in the output time bases, while they come.
+
+    ``commands`` start and stop the recording of a stream. The first video and the first audio packet
+    of a recording choose its elementary streams. ``tbs`` are the time bases of video and audio, in
+    and out. Write it with ``commit_batches``, which a repeated batch does not write twice.
+    """
+    numbers = ["stream_index", "pts", "dts"]
+    rows = packets.select(
+        "stream_id", "ts", F.lit(1).alias("kind_"), F.col("frame_id").cast("bigint").alias("order_"), F.lit("").alias("action"),
+        "media", "frame_id", *numbers,
+    )
+    # no nulls among numbers: they would come to the processor as doubles
+    none = [F.lit(0).cast(rows.schema[n].dataType).alias(n) for n in ("frame_id", *numbers)]
+    switches = commands.filter(F.col("stream_id").isNull() | F.col("action").isin("start", "stop")).select(
+        "stream_id", "ts", F.lit(0).alias("kind_"), F.col("event_id").cast("bigint").alias("order_"), "action",
+        F.lit("").alias("media"), *none,
+    )
+    kept = ["stream_id", "frame_id", "pts", "dts"]
+    schema = f"session_id bigint, out_index int, {_typed(rows, *kept)}"
+    processor = Recorder(kept, _ms(bucket_seconds), _ms(idle_seconds))
+    routed = _in_order(rows.unionByName(switches), "stream_id", "ts", watermark, processor, schema)
+    return rescale_packets(routed, *tbs).select("stream_id", "session_id", "frame_id", "out_index", "pts", "dts")
+
+
+def stream_manifest(
+    sdf: DataFrame,
+    seconds: int = SEGMENT_SECONDS,
+    base: str = "out",
+    watermark: str = WATERMARK,
+    time: str = "t",
+    bucket_seconds: float = BUCKET,
+    idle_seconds: float | None = None,
+) -> DataFrame:
+    """``segment_manifest`` on live routed packets: a segment's row comes when the next one begins.
+
+    The last segment's row comes when the stream is over, which takes ``idle_seconds``.
+    """
+    rows = sdf.select(*dict.fromkeys(["stream_id", "frame_id", "t", "is_key", time]))
+    schema = f"{_typed(rows, 'stream_id')}, segment_no bigint, start_t double, end_t double, n bigint"
+    processor = SegmentCutter(seconds, _ms(bucket_seconds), _ms(idle_seconds))
+    closed = _in_order(rows, "stream_id", time, watermark, processor, schema)
+    return closed.select(
+        "stream_id", "segment_no", segment_file_name(F.lit(base), "segment_no").alias("file_name"),
+        "start_t", "end_t", (F.col("end_t") - F.col("start_t")).alias("duration"), "n",
+    )
 
 
 def with_event_time(sdf: DataFrame, time: str, watermark: str) -> DataFrame:
@@ -139,8 +296,7 @@ def stream_segments(
 ) -> DataFrame:
     """Rows per fixed span of the clock, out once the span is over.
 
-    Cutting at key frames needs the spans before; use ``assign_segments`` on
-    what has been written, or in ``foreachBatch``.
+    ``stream_manifest`` cuts at key frames.
     """
     return (
         with_event_time(sdf.select("stream_id", time), time, watermark)

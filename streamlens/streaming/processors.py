@@ -1,12 +1,14 @@
-"""State kept per stream or task between micro-batches."""
+"""State kept per stream, task or recording; rows come to ``step`` in event-time order."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from streamlens.operators.control import (
     NOT_FOUND,
@@ -17,6 +19,8 @@ from streamlens.operators.control import (
     UPDATED,
 )
 from streamlens.operators.layout import GEOMETRY
+from streamlens.operators.recording import OUT_INDEX
+from streamlens.streaming.ordered import OrderedProcessor, packed, unpacked
 
 # Fixed value: what becomes of a command, by action and whether the task runs.
 OUTCOMES = {
@@ -27,94 +31,115 @@ OUTCOMES = {
     ("update", False): NOT_FOUND,
     ("update", True): UPDATED,
 }
+#: The action of the row that ends a task whose input ran out.
+ENDED = "end"
 
 
-def _ordered(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    """One key's rows of a micro-batch, in order."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(by), ignore_index=True)
+def _before(flags: np.ndarray, values: np.ndarray, first: Any) -> np.ndarray:
+    """For each row the value of the last flagged row before it, or ``first``."""
+    place = np.where(flags, np.arange(1, len(flags) + 1), 0)
+    last = np.maximum.accumulate(np.concatenate(([0], place)))
+    return np.concatenate(([first], values))[last]
 
 
-class IntervalSampler(StatefulProcessor):
+class IntervalSampler(OrderedProcessor):
     """Remembers the whole second of the last kept frame."""
 
-    def __init__(self, interval: int):
+    order = ("t", "frame_id")
+
+    def __init__(self, interval: int, bucket_ms: int, idle_ms: int | None = None):
+        super().__init__(bucket_ms, idle_ms)
         self.interval = interval
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "last long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        frames = _ordered(rows, "t", "frame_id")
-        last = self.last.get()[0] if self.last.exists() else 0
-        kept = []
-        for i, t in enumerate(frames["t"]):
-            if t - last >= self.interval:
-                kept.append(i)
-                last = int(t)
+    def step(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        t = rows["t"].to_numpy()
+        due = (self.last.get()[0] if self.last.exists() else 0) + self.interval
+        kept, at = [], int(np.searchsorted(t, due))
+        while at < len(t):
+            kept.append(at)
+            due = math.floor(t[at]) + self.interval
+            at = int(np.searchsorted(t, due))
         if kept:
-            self.last.update((last,))
-            yield frames.iloc[kept]
+            self.last.update((due - self.interval,))
+            yield rows.iloc[kept][["stream_id", "frame_id", "t"]]
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.last.clear()
 
 
-class FirstSampler(StatefulProcessor):
+class FirstSampler(OrderedProcessor):
     """Remembers how many frames were kept."""
 
-    def __init__(self, count: int):
+    order = ("t", "frame_id")
+
+    def __init__(self, count: int, bucket_ms: int, idle_ms: int | None = None):
+        super().__init__(bucket_ms, idle_ms)
         self.count = count
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("kept", "kept long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
+    def wanted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        done = self.idle_ms is None and self.kept.exists() and self.kept.get()[0] >= self.count
+        return rows.iloc[:0] if done else rows
+
+    def step(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         kept = self.kept.get()[0] if self.kept.exists() else 0
-        if kept < self.count:
-            first = None
-            for batch in rows:
-                seen = [batch] if first is None else [first, batch]
-                first = _ordered(iter(seen), "t", "frame_id").head(self.count - kept)
+        first = rows.head(max(0, self.count - kept))
+        if len(first):
             self.kept.update((kept + len(first),))
-            yield first
+            yield first[["stream_id", "frame_id", "t"]]
+
+    def forget(self) -> None:
+        self.kept.clear()
 
-    def close(self) -> None:
-        pass
 
+class TaskState(OrderedProcessor):
+    """Remembers whether the task runs; a task that still runs when its input ends is stopped."""
 
-class TaskState(StatefulProcessor):
-    """Remembers whether the task runs."""
+    order = ("event_id",)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.active = handle.getValueState("active", "active boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        commands = _ordered(rows, "ts", "event_id")
+    def step(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         active = bool(self.active.exists() and self.active.get()[0])
-        outcomes = []
-        for action in commands["action"]:
-            outcomes.append(OUTCOMES[action, active])
-            active = (active or action == "start") and action != "stop"
-        self.active.update((active,))
-        yield commands.assign(outcome=outcomes)[["stream_id", "event_id", "action", "outcome"]]
+        actions = rows["action"].to_numpy()
+        switches = actions != "update"
+        runs = _before(switches, actions == "start", active)
+        outcomes = [OUTCOMES[a, bool(r)] for a, r in zip(actions, runs[:-1], strict=True)]
+        self.active.update((bool(runs[-1]),))
+        yield rows.assign(outcome=outcomes)[["stream_id", "event_id", "action", "outcome"]]
+
+    def finish(self, key: Any) -> Iterator[pd.DataFrame]:
+        if self.active.exists() and self.active.get()[0]:
+            row = {"stream_id": [key[0]], "event_id": [None], "action": [ENDED], "outcome": [STOPPED]}
+            yield pd.DataFrame(row)
+
+    def forget(self) -> None:
+        self.active.clear()
+
 
-    def close(self) -> None:
-        pass
+class LayoutState(OrderedProcessor):
+    """Remembers the running streams of a mix; each input row is one full stream list.
 
+    When its updates end, all that still runs is removed; such rows have no ``ver``.
+    """
 
-class LayoutState(StatefulProcessor):
-    """Remembers the running streams of a mix; each input row is one full stream list."""
+    order = ("ver",)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         entry = "id: string, url: string, " + ", ".join(f"{g}: int" for g in GEOMETRY)
         self.state = handle.getValueState("layout", f"streams array<struct<{entry}>>")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        updates = _ordered(rows, "ver")
+    def step(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         first = not self.state.exists()
         active = {} if first else {s[0]: tuple(s) for s in self.state.get()[0]}
         out = []
-        for ver, streams in zip(updates["ver"], updates["streams"]):
+        for ver, streams in zip(rows["ver"], rows["streams"], strict=True):
             # Of entries with the same id the last one counts.
             new = {s["id"]: (s["id"], s["url"], *(s[g] for g in GEOMETRY)) for s in streams}
             changes = {gone: "removed" for gone in active.keys() - new.keys()}
@@ -133,5 +158,128 @@ class LayoutState(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["task_id", "ver", "id", "change"])
 
-    def close(self) -> None:
-        pass
+    def finish(self, key: Any) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            out = [(key[0], None, s[0], "removed") for s in self.state.get()[0]]
+            if out:
+                yield pd.DataFrame(out, columns=["task_id", "ver", "id", "change"])
+
+    def forget(self) -> None:
+        self.state.clear()
+
+
+class Recorder(OrderedProcessor):
+    """Remembers the running recording of a stream and which elementary streams it takes.
+
+    Rows are packets and commands; an accepted start opens a recording, a stop ends it. The first
+    video and the first audio packet of a recording choose its elementary streams; audio waits
+    until there is video, and what waits when the recording ends without any is left out.
+    """
+
+    order = ("kind_", "order_")
+
+    def __init__(self, columns: list[str], bucket_ms: int, idle_ms: int | None = None):
+        super().__init__(bucket_ms, idle_ms)
+        self.columns = columns
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "session long, video int, audio int")
+        #: Packets of a recording that has no video yet, by part.
+        self.held = handle.getMapState("held", "part long", "rows binary")
+
+    def step(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        session, video, audio = self.now.get() if self.now.exists() else (None, None, None)
+        kinds, actions = rows["kind_"].to_numpy(), rows["action"].to_numpy()
+        cuts = np.flatnonzero(kinds == 0).tolist()
+        for low, high in zip([-1, *cuts], [*cuts, len(rows)], strict=True):
+            if low >= 0:
+                if actions[low] == "start" and session is None:
+                    session, video, audio = int(rows["order_"].iloc[low]), None, None
+                elif actions[low] == "stop" and session is not None:
+                    session = None
+                    self.held.clear()
+            packets = rows.iloc[low + 1 : high]
+            if session is None or packets.empty:
+                continue
+            video, audio, out = self._routed(packets, session, video, audio)
+            yield from out
+        self.now.update((session, video, audio))
+
+    def _routed(self, packets: pd.DataFrame, session: int, video, audio) -> tuple:
+        """The chosen elementary streams, and the packets of theirs that can go out."""
+        media, index = packets["media"].to_numpy(), packets["stream_index"].to_numpy()
+        here = {m: np.flatnonzero(media == m) for m in OUT_INDEX}
+        had_video = video is not None
+        if video is None and len(here["video"]):
+            video = int(index[here["video"][0]])
+        if audio is None and len(here["audio"]):
+            audio = int(index[here["audio"][0]])
+        taken = (media == "video") & (index == video) | (media == "audio") & (index == audio)
+        kept = packets[taken].assign(session_id=session)
+        kept["out_index"] = [OUT_INDEX[m] for m in media[taken]]
+        kept = kept[["session_id", "out_index", *self.columns]]
+        if video is None:
+            if len(kept):
+                parts = list(self.held.keys())
+                self.held.updateValue((len(parts),), (packed(kept),))
+            return video, audio, []
+        out = [kept] if len(kept) else []
+        if not had_video:
+            out = [unpacked(self.held.getValue(part)[0]) for part in sorted(self.held.keys())] + out
+            self.held.clear()
+        return video, audio, out
+
+    def forget(self) -> None:
+        self.now.clear()
+        self.held.clear()
+
+
+class SegmentCutter(OrderedProcessor):
+    """Remembers the open segment and gives its playlist row when the next one begins.
+
+    A segment begins with the first row and with the first key frame of each later span.
+    """
+
+    order = ("t", "frame_id")
+
+    def __init__(self, seconds: int, bucket_ms: int, idle_ms: int | None = None):
+        super().__init__(bucket_ms, idle_ms)
+        self.seconds = seconds
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "span long, segment long, start double, end double, n long")
+
+    def step(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        t = rows["t"].to_numpy()
+        spans = np.floor(t / self.seconds).astype(np.int64)
+        keys = np.flatnonzero(rows["is_key"].to_numpy().astype(bool))
+        _, first = np.unique(spans[keys], return_index=True)
+        begins = keys[first]
+        if self.now.exists():
+            span, segment, start, end, n = self.now.get()
+            begins = begins[spans[begins] != span]
+        else:
+            span, segment, start, end, n = int(spans[0]), 0, float(t[0]), float(t[0]), 0
+            begins = begins[spans[begins] != span]
+        bounds = [0, *begins.tolist(), len(t)]
+        closed = []
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            if k:
+                closed.append((key[0], segment, start, end, n))
+                span, segment, start, n = int(spans[low]), segment + 1, float(t[low]), 0
+            if high > low:
+                end, n = float(t[high - 1]), n + high - low
+        self.now.update((span, segment, start, end, n))
+        if closed:
+            yield self._playlist(closed)
+
+    def _playlist(self, closed: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(closed, columns=["stream_id", "segment_no", "start_t", "end_t", "n"])
+
+    def finish(self, key: Any) -> Iterator[pd.DataFrame]:
+        if self.now.exists():
+            _, segment, start, end, n = self.now.get()
+            yield self._playlist([(key[0], segment, start, end, n)])
+
+    def forget(self) -> None:
+        self.now.clear()

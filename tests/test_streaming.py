@@ -7,14 +7,21 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from streamlens.operators import control, gaps, layout, sampling
+import naive
+from streamlens.operators import control, gaps, layout, recording, sampling
+from streamlens.plans import recorder
 from streamlens.plans.registry import all_queries
+from streamlens.sinks.commits import commit_batches, read_committed
 from streamlens.sinks.frames import push_stream
 from streamlens.sources.packets import read_packet_stream
 from streamlens.streaming import operators as live
 
 START = datetime(2024, 1, 1)
-EVENT = "stream_id bigint, frame_id bigint, event_id bigint, ts timestamp_ntz, t double, action string"
+EVENT = (
+    "stream_id bigint, frame_id bigint, event_id bigint, ts timestamp_ntz, t double, action string, media string,"
+    " stream_index int, is_key boolean, pts bigint, dts bigint"
+)
+LATE = 25
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +34,8 @@ def rows():
         # One stream sends a third of everything.
         stream = 0 if rng.random() < 1 / 3 else rng.randrange(1, 12)
         action = rng.choice(["start", "stop", "update"])
-        out.append((stream, n, n, START + timedelta(seconds=at), at, action))
+        media = rng.choice(["video", "audio", "audio", "data"] if stream != 5 else ["audio", "data"])
+        out.append((stream, n, n, START + timedelta(seconds=at), at, action, media, rng.randrange(2), rng.random() < 0.4, n * 7, n * 7 - 1))
     return out
 
 
@@ -36,55 +44,140 @@ def table(spark, rows):
     return spark.createDataFrame(rows, EVENT).cache()
 
 
-@pytest.fixture(scope="module")
-def folder(spark, rows, tmp_path_factory):
-    """The rows in six files whose age gives their order."""
-    place = tmp_path_factory.mktemp("live")
-    size = len(rows) // 6
-    for part in range(6):
-        piece = spark.createDataFrame(rows[part * size:(part + 1) * size], EVENT)
-        piece.coalesce(1).write.mode("append").parquet(str(place))
+def aged_files(spark, pieces, schema, place):
+    """A file for each piece, whose age gives their order."""
+    for part, piece in enumerate(pieces):
+        spark.createDataFrame(piece, schema).coalesce(1).write.mode("append").parquet(str(place))
         for file in place.glob("part-*.parquet"):
             if file.stat().st_mtime > 1_700_000_100:
                 os.utime(file, (1_700_000_000 + part, 1_700_000_000 + part))
     return str(place)
 
 
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    """The rows in six files, in order."""
+    size = len(rows) // 6
+    pieces = [rows[part * size : (part + 1) * size] for part in range(6)]
+    return aged_files(spark, pieces, EVENT, tmp_path_factory.mktemp("live"))
+
+
+@pytest.fixture(scope="module")
+def late_folder(spark, rows, tmp_path_factory):
+    """The rows in five files, up to 25 seconds late, and a row without a stream that ends them."""
+    rng = random.Random(13)
+    shuffled = sorted(rows, key=lambda r: r[4] + rng.uniform(0, LATE - 0.1))
+    size = len(rows) // 5
+    pieces = [shuffled[part * size : (part + 1) * size] for part in range(5)]
+    assert all(min(r[4] for r in b) < max(r[4] for r in a) for a, b in zip(pieces, pieces[1:]))
+    end = [(None, None, None, START + timedelta(days=9), 9 * 86_400.0, *[None] * 6)]
+    return aged_files(spark, [*pieces, end], EVENT, tmp_path_factory.mktemp("late"))
+
+
 def read(spark, folder):
     return read_packet_stream(
         spark, folder, spark.read.parquet(folder).schema, maxFilesPerTrigger="1"
     )
 
 
-def drain(spark, sdf, tmp_path):
-    live.use_rocksdb(spark)
-    query = push_stream(sdf, str(tmp_path / "out"), str(tmp_path / "state"), drain=True)
-    query.awaitTermination()
+def drain(spark, sdf, tmp_path, progress=None):
+    with live.live_settings(spark, 3):
+        query = push_stream(sdf, str(tmp_path / "out"), str(tmp_path / "state"), drain=True)
+        query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(sdf.schema).parquet(str(tmp_path / "out"))
 
 
 def same(got, want):
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
 
 
-@pytest.mark.parametrize("interval", [1, 7])
-def test_interval(spark, table, folder, tmp_path, interval):
-    got = drain(spark, live.stream_sample_interval(read(spark, folder), interval), tmp_path)
-    same(got, sampling.sample_interval(table, interval))
+def test_late_rows_of_a_sampler_by_interval(spark, table, late_folder, tmp_path):
+    progress = []
+    sdf = live.stream_sample_interval(read(spark, late_folder), 7, f"{LATE} seconds", bucket_seconds=3)
+    same(drain(spark, sdf, tmp_path, progress), sampling.sample_interval(table, 7))
+    assert len([p for p in progress if p["numInputRows"]]) == 6
 
 
 @pytest.mark.parametrize("kept", [0, 4])
-def test_first(spark, table, folder, tmp_path, kept):
-    got = drain(spark, live.stream_sample_first(read(spark, folder), kept), tmp_path)
-    same(got, sampling.sample_first(table, kept))
-
-
-def test_commands(spark, table, folder, tmp_path):
-    got = drain(spark, live.stream_commands(read(spark, folder)), tmp_path)
-    same(got, control.command_outcome(table))
-
-
-@pytest.mark.parametrize("name", ["stream_commands", "stream_segments", "stream_gap_sessions"])
+def test_late_rows_of_a_sampler_of_first_frames(spark, table, late_folder, tmp_path, kept):
+    sdf = live.stream_sample_first(read(spark, late_folder), kept, f"{LATE} seconds")
+    same(drain(spark, sdf, tmp_path), sampling.sample_first(table, kept))
+
+
+def test_late_commands(spark, table, late_folder, tmp_path):
+    sdf = live.stream_commands(read(spark, late_folder), f"{LATE} seconds", bucket_seconds=100)
+    same(drain(spark, sdf, tmp_path), control.command_outcome(table))
+
+
+def test_ended_tasks_are_closed_and_forgotten(spark, rows, late_folder, tmp_path):
+    """Between two commands far apart, and when no more come; no state is left."""
+    progress = []
+    sdf = live.stream_commands(read(spark, late_folder), f"{LATE} seconds", bucket_seconds=3, idle_seconds=30)
+    got = drain(spark, sdf, tmp_path, progress).select("stream_id", "event_id", "action", "outcome")
+    expected = []
+    for stream in {r[0] for r in rows}:
+        own, life, runs = sorted((r[4], r[2], r[5]) for r in rows if r[0] == stream), [], False
+        lives = []
+        for k, row in enumerate(own):
+            if k and row[0] - own[k - 1][0] > 30:
+                lives.append(life)
+                life = []
+            life.append(row)
+        for life in [*lives, life]:
+            expected += [(stream, event, dict((e, a) for _, e, a in life)[event], what) for event, what in naive.outcomes(life)]
+            runs = [a for _, _, a in life if a != "update"][-1:] == ["start"]
+            expected += [(stream, None, "end", "stopped")] * runs
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+    assert sum(e[1] is None for e in expected) > 12
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) > 0
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_live_playlist(spark, table, late_folder, tmp_path):
+    live_rows = read(spark, late_folder)
+    sdf = live.stream_manifest(live_rows, 20, "out", f"{LATE} seconds", bucket_seconds=7, idle_seconds=9000)
+    same(drain(spark, sdf, tmp_path), recording.segment_manifest(table, 20))
+
+
+def test_live_recording_of_a_repeated_batch(spark, table, late_folder, tmp_path):
+    """The last batch runs again after its commit is lost; nothing is written twice."""
+    folder = read(spark, late_folder)
+    sdf = live.stream_recording(folder, folder, watermark=f"{LATE} seconds", bucket_seconds=3)
+    out, state, numbers = str(tmp_path / "out"), tmp_path / "state", []
+    write = commit_batches(spark, out, sdf.schema)
+
+    def sink(batch, number):
+        numbers.append(number)
+        write(batch, number)
+
+    with live.live_settings(spark, 3):
+        push_stream(sdf, sink, str(state), drain=True).awaitTermination()
+        want = recorder.recorded_packets(table, table.filter("action <> 'update'"), per_recording=True)
+        same(read_committed(spark, out, sdf.schema), want)
+        last = max(numbers)
+        for name in (str(last), f".{last}.crc"):
+            if (state / "commits" / name).exists():
+                (state / "commits" / name).unlink()
+        push_stream(sdf, sink, str(state), drain=True).awaitTermination()
+    assert numbers.count(last) == 2 and len(set(numbers)) >= 6
+    same(read_committed(spark, out, sdf.schema), want)
+
+
+def test_half_written_batches_are_not_seen(spark, tmp_path):
+    rows = spark.range(5)
+    path = str(tmp_path / "out")
+    write = commit_batches(spark, path, rows.schema)
+    write(rows, 3)
+    rows.write.parquet(f"{path}/data/_batch=4")
+    assert read_committed(spark, path, rows.schema).count() == 5
+    write(spark.range(7), 4)
+    write(spark.range(9), 3)
+    assert read_committed(spark, path, rows.schema).count() == 12
+
+
+@pytest.mark.parametrize("name", ["stream_gap_sessions"])
 def test_live_queries_read_a_folder_of_files(spark, tmp_path, name):
     """A table that is a folder gives the rows of the one that is a file."""
     sf = "/root/testdata/sf0.001"
@@ -131,30 +224,32 @@ def test_segments(spark, table, folder, tmp_path):
     ))
 
 
-def test_layout(spark, tmp_path):
-    rng, place = random.Random(4), tmp_path / "updates"
+@pytest.mark.parametrize("idle", [None, 40])
+def test_late_layouts(spark, tmp_path, idle):
+    rng = random.Random(4)
+    kind = (
+        "task_id bigint, ver int, streams array<struct<id:string,url:string,width:int,"
+        "height:int,x:int,y:int,z:int>>"
+    )
     rows = []
-    for ver in range(12):
-        piece = []
+    for ver in range(24):
         for task in range(5):
             ids = rng.sample("abcde", rng.randrange(0 if ver else 1, 5))
             streams = [(i, f"rtmp://{rng.randrange(3)}", rng.randrange(2), 1, 0, 0, 0) for i in ids]
             if streams:
-                piece.append((task, ver, streams))
-        rows += piece
-        df = spark.createDataFrame(
-            piece,
-            "task_id bigint, ver int, streams array<struct<id:string,url:string,width:int,"
-            "height:int,x:int,y:int,z:int>>",
-        )
-        df.coalesce(1).write.mode("append").parquet(str(place))
-        for file in place.glob("part-*.parquet"):
-            if file.stat().st_mtime > 1_700_000_100:
-                os.utime(file, (1_700_000_000 + ver, 1_700_000_000 + ver))
-    sdf = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(place))
-    got = drain(spark, live.stream_layout(sdf), tmp_path)
-    whole = spark.createDataFrame(rows, df.schema).selectExpr("task_id", "ver", "inline(streams)")
-    same(got, layout.layout_diff(whole))
+                rows.append((task, ver, streams))
+    shuffled = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 2.9))
+    pieces = [shuffled[len(rows) * k // 5 : len(rows) * (k + 1) // 5] for k in range(5)]
+    path = aged_files(spark, [*pieces, [(None, 10_000, None)]], kind, tmp_path / "updates")
+    whole = spark.createDataFrame(rows, kind)
+    sdf = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = drain(spark, live.stream_layout(sdf, "3 seconds", bucket_seconds=2, idle_seconds=idle), tmp_path)
+    last = {task: (ver, streams) for task, ver, streams in rows}
+    shown = [(task, None, s[0], "removed") for task, (_, streams) in last.items() for s in streams]
+    want = layout.layout_diff(whole.selectExpr("task_id", "ver", "inline(streams)")).select(got.columns)
+    if idle:
+        want = want.unionByName(spark.createDataFrame(shown, want.schema))
+    same(got, want)
 
 
 def test_push_to_a_function(spark, folder, tmp_path):
