@@ -78,12 +78,26 @@ def _b(field: str) -> Column:
     return F.col(f"_b_{field}")
 
 
+def whole_document(body: str) -> Column:
+    """Whether a body is one JSON value and nothing else.
+
+    The readers of JSON stop where the first value ends. In brackets, alone and before another value, a
+    body is one element of one and of two only if nothing follows it, a bracket of its own neither. Names
+    that occur twice are allowed, which the strict reader refuses.
+    """
+    alone = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    followed = F.json_array_length(F.concat(F.lit("["), body, F.lit(",0]"))) == 2
+    names = F.json_object_keys(body)
+    strict = F.try_parse_json(body).isNotNull() | (F.size(F.array_distinct(names)) < F.size(names))
+    return F.coalesce(alone & followed & strict, F.lit(False))
+
+
 def _parsed(df: DataFrame, body: str, fields: Sequence[str]) -> DataFrame:
-    """Add ``_fields``, the names present (NULL for a body that is no object), and each field.
+    """Add ``_fields``, the names present (NULL for a body that is not one object), and each field.
 
     ``json_tuple`` reads a body once for all fields, however many checks use them.
     """
-    present = df.withColumn("_fields", F.json_object_keys(body))
+    present = df.withColumn("_fields", F.when(whole_document(body), F.json_object_keys(body)))
     return present.select("*", F.json_tuple(body, *fields).alias(*[f"_b_{f}" for f in fields]))
 
 

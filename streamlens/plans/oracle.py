@@ -434,3 +434,7 @@ WHERE action <> 'update' GROUP BY stream_id, life HAVING arg_max(action, (ts, ev
 # What is written is what the job gives.
 ORACLE |= {"written_recording": ORACLE["recording_task"], "written_segments": ORACLE["segment_manifest"]}
 ORACLE["stream_manifest"] = ORACLE["segment_manifest"]
+ORACLE["validate_damaged"] = f"""
+SELECT req_id, CASE WHEN req_id % 5 = 0 THEN code ELSE 2002 END AS code,
+       CASE WHEN req_id % 5 = 0 THEN message ELSE 'Invalid JSON' END AS message
+FROM ({ORACLE["validate_screenshot"]})"""

@@ -351,6 +351,21 @@ def validate_screenshot(spark, sf):
     return requests.validate_screenshot(ev.screenshot_requests(ev.read_events(spark, sf)))
 
 
+@query
+def validate_damaged(spark, sf):
+    """Requests of which four in five are followed by something, cut short or closed once too often."""
+    bodies = ev.screenshot_requests(ev.read_events(spark, sf))
+    body, kind = F.col("body"), F.col("req_id") % 5
+    damaged = (
+        F.when(kind == 1, F.concat(body, F.lit(" trailing")))
+        .when(kind == 2, F.concat(body, body))
+        .when(kind == 3, body.substr(F.lit(1), F.length(body) - 1))
+        .when(kind == 4, F.concat(body, F.lit("],["), body))
+        .otherwise(F.concat(F.lit(" "), body, F.lit("\n")))
+    )
+    return requests.validate_screenshot(bodies.withColumn("body", damaged))
+
+
 @query
 def validate_recording(spark, sf):
     return requests.validate_recording(ev.recording_requests(ev.read_events(spark, sf)))
