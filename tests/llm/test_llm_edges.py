@@ -253,6 +253,44 @@ def test_drawings_formulas_and_fields_are_rendered(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a<![foo[x]]>b", "ab"),
+        ("<![", "<!["),
+        ("<![if gte mso 9]><p>x<![endif]>", "x"),
+        ("<svg><text><![CDATA[a < b]]></text></svg><p>c", "a < b\n\nc"),
+        ("<p style='backface-visibility:hidden'>seen", "seen"),
+        ("<style>.h, p#q {display:none} i{visibility:hidden} /* .v{display:none} */ @media print{.v{display:none}}</style>"
+         "<p class='a h'>no<p id=q>no<p class=v>yes<i> no<b style='visibility:visible'>but</b></i>", "yes but"),
+        ("<style>div{display:none}.s{display:block}</style><div>no</div><div class=s>yes</div>", "yes"),
+        ("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</div>", "yes"),
+        ("<div hidden style='display:block'>yes</div>", "yes"),
+        ("<form>Name <input value=Ann><input type=password value=no><input type=submit value=Send></form>", "Name AnnSend"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<details>no<summary>more</summary><p>no</details><details open><summary>s</summary>in</details>", "more\ns\nin"),
+        ("<span><div hidden>a</span>b</div>c", "c"),
+        ("<b hidden><div>a</b>b</div>c", "b\nc"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td rowspan=0>a<td colspan=2>b<td>x<tr><td>c<td>d<td>y</table>", "a | b     | x\n  | c | d | y"),
+        ("<table><tr><td>日本<td>b<tr><td>xyzw<td>c</table>", "日本 | b\nxyzw | c"),
+    ],
+)
+def test_visibility_spans_and_declarations(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_random_pages_raise_nothing():
+    pick = random.Random(9)
+    pieces = (
+        "<p> </p> <ul> </ul> <li> <table> </table> <tr> </tr> <td> <td\trowspan=3> <td\tcolspan=2> <th\trowspan=0> </td> <div> </div> <pre> </pre> <b> </b>"
+        " <span\thidden> </span> <![ <![CDATA[ ]]> <![x[ <!-- --> <!doctype <! <? > < & &lt; &#x; x y <svg> </svg> <math> <style> .a{display:none} </style> <textarea>"
+        " </textarea> <script> </script> <details> <summary> </details> <dialog> <input\tvalue=v> <select> <option> <head> </head> <body> \" ' = / <a\thref="
+    ).split(" ")
+    for _ in range(50_000):
+        html_text.visible_text("".join(pick.choices(pieces, k=pick.randint(1, 25))).replace("\t", " "))
+
+
 def test_deep_and_broken_pages(spark):
     deep = "<div><table><tr><td><ul><li>" * 3000 + "x"
     assert html_text.visible_text(deep).strip(" -") == "x"
