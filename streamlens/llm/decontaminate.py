@@ -6,7 +6,7 @@ item. Where that length reaches the window (13 words, or the whole of a shorter
 words of the window are hit, and the state tells in which items they stand. Only stretches
 of words that are all known to the automaton are walked.
 
-Items are packed into blocks of at most ``block_words`` words, so what is sent to the
+Items are packed by Spark into blocks of about ``block_words`` words, so what the driver holds and sends to the
 executors is bounded however large the benchmark is; each block is one more pass over the rows.
 
 Defined results: a text or item that is null, empty or without words hits nothing and is hit by
@@ -26,19 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamlens.llm.common import stored
+from streamlens.llm.items import fold_words, item_blocks, numbered_items
+
 WINDOW = 13
 BLOCK_WORDS = 100_000
-#: Bytes that words are made of stay, A-Z become a-z, all others become spaces.
-FOLD = bytes(
-    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
-    for c in range(256)
-)
-
-
-def fold_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
-
-
 class ItemAutomaton:
     """A generalised suffix automaton over item words, with the items of each state."""
 
@@ -151,41 +143,33 @@ class ItemAutomaton:
                     items.add(k)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items by blocks, read one partition at a time."""
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        words = fold_words(row[1])
-        if not words:
-            continue
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row[0], words))
-        size += len(words)
-    if block:
-        yield block
-
-
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """``docs`` with ``_n_words``, hit ``_spans`` (in words) and the ``_items`` that hit."""
+    """doc_id and text of ``docs`` with ``_n_words``, hit ``_spans`` (in words) and the ``_items`` that hit.
+
+    Where there are several blocks of items, what each pass finds is written before the next, so one
+    automaton lives at a time.
+    """
     context = docs.sparkSession.sparkContext
-    found = docs.withColumns(
-        {
-            "_n_words": F.lit(0).cast("long"),
-            "_spans": F.array().cast("array<struct<start:int,end:int>>"),
-            "_items": F.array().cast("array<string>"),
-        }
+    found = docs.select(
+        "doc_id",
+        "text",
+        F.lit(0).cast("long").alias("_n_words"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("_spans"),
+        F.array().cast("array<string>").alias("_items"),
     )
 
-    def one_pass(rows: DataFrame, block: list[tuple[str | None, list[bytes]]]) -> DataFrame:
+    def one_pass(rows: DataFrame, block: list[tuple[str | None, str]]) -> DataFrame:
         sent = context.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = [name for name, _ in sent.value]
-            automaton = ItemAutomaton([words for _, words in sent.value], window)
+            # equal items are one to the automaton, and their ids are attached to what it finds
+            names: dict[tuple[bytes, ...], list[str]] = {}
+            for name, text in sent.value:
+                names.setdefault(tuple(fold_words(text)), []).extend([] if name is None else [name])
+            own = list(names.values())
+            automaton = ItemAutomaton([list(words) for words in names], window)
             for whole in batches:
                 for at in range(0, whole.num_rows, 1000):
                     batch = whole.slice(at, 1000)
@@ -196,7 +180,7 @@ def find_overlaps(
                         hit, which = automaton.scan(words)
                         made["_n_words"].append(len(words))
                         made["_spans"].append(spans.as_py() + [{"start": a, "end": b} for a, b in hit])
-                        made["_items"].append(items.as_py() + [names[k] for k in which if names[k] is not None])
+                        made["_items"].append(items.as_py() + [name for k in which for name in own[k]])
                     columns = [
                         pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name) for f in batch.schema
                     ]
@@ -204,9 +188,10 @@ def find_overlaps(
 
         return rows.mapInArrow(scan, rows.schema)
 
+    numbered = numbered_items(benchmark.select(F.col("item_id").cast("string"), "text"), block_words)
     passes = 0
-    for block in _blocks(benchmark, block_words):
-        found = one_pass(found, block)
+    for block in item_blocks(stored(numbered, "item-blocks")):
+        found = one_pass(stored(found, "overlaps") if passes else found, [(name, text) for _, name, text in block])
         passes += 1
     return found if passes else one_pass(found, [])
 
@@ -231,7 +216,7 @@ def contaminated(hit: Column, n_words: Column, share: int = 20) -> Column:
 
 def overlap_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, counts of words, hit words and items, a digest of the items, and the verdict."""
-    found = find_overlaps(docs.select("doc_id", "text"), benchmark)
+    found = find_overlaps(docs, benchmark)
     items = F.array_sort(F.array_distinct("_items"))
     return found.select(
         "doc_id",
@@ -264,13 +249,17 @@ def decontaminate(
     A document goes if at least one word in ``share`` is hit. In the documents that stay, spans of
     at least ``min_span`` hit words are cut out; with None their texts stay as they are.
     """
-    found = find_overlaps(docs, benchmark)
+    # a whole row stands in the place of its id, so no column can clash with what is found
+    found = find_overlaps(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), benchmark)
     clean = found.filter(~contaminated(n_hit("_spans"), F.col("_n_words"), share))
     if min_span is None:
-        return clean.select(*docs.columns)
+        return clean.select("doc_id.*")
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t, own) if len(own) else t for t, own in zip(text, spans, strict=True)])
 
     long = F.filter("_spans", lambda s: s["end"] - s["start"] >= min_span)
-    return clean.withColumn("text", F.pandas_udf(cut, "string")(F.col("text"), long)).select(*docs.columns)
+    shorter = F.pandas_udf(cut, "string")(F.col("text"), long)
+    return clean.select("doc_id", shorter.alias("text")).select(
+        *[F.col("text") if c == "text" else F.col(f"doc_id.`{c}`") for c in docs.columns]
+    )

@@ -31,10 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from streamlens.llm.common import NO_ID, stored
-from streamlens.llm.decontaminate import FOLD, fold_words
+from streamlens.llm.items import FOLD, fold_words, item_blocks, numbered_items
 from streamlens.llm.shingles import text_slices
 
 BEST = 20
@@ -45,28 +44,6 @@ IMPACT, EXACT = 1_000_000, 2**53
 SALTS = 16
 
 
-def numbered_items(items: DataFrame, block_words: int = BLOCK) -> DataFrame:
-    """Items with a row number and the number of their block, by running sums of their words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [len(fold_words(t.as_py())) for t in batch.column("text")]
-            yield batch.append_column("size", pa.array(sizes, pa.int64()))
-
-    rows = items.select(F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("part"), "item_id", "text")
-    schema = T.StructType([*rows.schema.fields, T.StructField("size", T.LongType())])
-    sized = stored(rows.mapInArrow(count, schema).filter("size > 0").withColumn("size", F.col("size") + 32), "items")
-    parts = sized.groupBy("part").agg(F.sum("size").alias("size"))
-    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("part").orderBy("row"))
-    return (
-        sized.withColumn("inside", inside)
-        .join(parts, "part")
-        .select("row", "item_id", "text", F.floor((F.col("before") + F.col("inside") - 1) / block_words).alias("block"))
-    )
-
-
 def known_terms(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     """Per document with terms: how many it has, and which of the vocabulary how often."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -211,11 +188,9 @@ def block_best(docs: DataFrame, items: list[tuple[int, str]], k: int) -> DataFra
 def search(docs: DataFrame, items: DataFrame, k: int = BEST, block_words: int = BLOCK) -> DataFrame:
     """item_id, rank, doc_id and score of each item's ``k`` best documents with a score above 0."""
     numbered = stored(numbered_items(items, block_words), "blocks")
-    blocks = [r.block for r in numbered.select("block").distinct().orderBy("block").collect()]
     found = None
-    for block in blocks:
-        own = [(r.row, r.text) for r in numbered.filter(F.col("block") == block).orderBy("row").select("row", "text").collect()]
-        part = stored(block_best(docs, own, k), "best")
+    for block in item_blocks(numbered):
+        part = stored(block_best(docs, [(row, text) for row, _, text in block], k), "best")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = items.sparkSession.createDataFrame([], "row long, _id long, score long")

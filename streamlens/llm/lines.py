@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamlens.checkpoints import fresh_path
-from streamlens.llm.common import NO_ID, SPACES, ascii_lower, stored
+from streamlens.llm.common import NO_ID, SPACES, ascii_lower, free_name, stored
 
 MIN_CHARS = 10
 KEYS = ["_k1", "_k2"]
@@ -91,7 +91,10 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with shortened texts, and the columns ``n_lines`` and ``n_dropped`` in ``_lines``."""
+    """``docs`` with shortened texts, and ``n_lines`` and ``n_dropped`` in a struct as its last column.
+
+    The struct is called ``_lines``, with more underscores before it where a column has that name.
+    """
     spark = docs.sparkSession
     cuts = docs.select(
         F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("cuts")
@@ -124,7 +127,7 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, min_chars: i
         F.struct(
             F.size(lines).cast("long").alias("n_lines"),
             F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
-        ).alias("_lines"),
+        ).alias(free_name("_lines", docs.columns)),
     )
 
 

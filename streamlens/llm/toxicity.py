@@ -32,7 +32,6 @@ from streamlens.llm.common import stored
 
 #: Labelled rows that are learned from, chosen by a hash of their id.
 FIT_ROWS = 12_000
-MAX_TERMS = 2_000
 PREFIXES = range(3, 9)
 #: Counts of a term in a text that are told apart; the last is "or more".
 LEVELS = 3
@@ -58,6 +57,9 @@ def folded(token: str) -> str:
 class Lexicon:
     """Terms in a trie, walked by a lazily determinised automaton of at most one edit.
 
+    An edit is a letter more, less or other, or two neighbours that have changed places: for these a state
+    remembers, beside the node behind both letters, the one that is still to come.
+
     ``behind`` has whole words with the number of the beginning that stands for them: a misspelt one
     counts as that beginning misspelt.
     """
@@ -87,32 +89,40 @@ class Lexicon:
             node = self.child[node][letter]
         return node
 
-    def _state(self, pairs: set[tuple[int, int]]) -> int:
+    def _state(self, pairs: set[tuple[int, int | str]]) -> int:
         """The number of a set of (node, edits), closed under skipping a letter of the term."""
-        closed = set(pairs)
+        swaps = {p for p in pairs if isinstance(p[1], str)}
+        closed = pairs - swaps
         for node, edits in pairs:
             if edits == 0:
                 closed.update((c, 1) for c in self.child[node].values())
         least: dict[int, int] = {}
         for node, edits in closed:
             least[node] = min(edits, least.get(node, 9))
-        key = frozenset(least.items())
+        key = frozenset(least.items()) | swaps
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            ends = [(self.whole[n], e) for n, e in key if n in self.whole]
+            ends = [(self.whole[n], e) for n, e in key if n in self.whole and not isinstance(e, str)]
             self.accepts.append(tuple(sorted((k, e) for k, e in ends if e == 0 or len(self.terms[k][0]) >= FUZZY)))
             self.misspelt.append(tuple(sorted({(self.behind[n], 1) for n, e in key if e == 1 and n in self.behind})))
             self.begins.append(tuple(sorted((self.begin[n], 0) for n, e in key if e == 0 and n in self.begin)))
         return self.states[key]
 
     def _step(self, state: int, letter: str) -> int:
-        pairs: set[tuple[int, int]] = set()
+        pairs: set[tuple[int, int | str]] = set()
         for node, edits in self.sets[state]:
+            if isinstance(edits, str):
+                if letter == edits:
+                    pairs.add((node, 1))
+                continue
             if letter in self.child[node]:
                 pairs.add((self.child[node][letter], edits))
             if edits == 0:
+                for first, between in self.child[node].items():
+                    if first != letter and letter in self.child[between]:
+                        pairs.add((self.child[between][letter], first))
                 pairs.add((node, 1))
                 pairs.update((c, 1) for c in self.child[node].values())
         self.next[state][letter] = made = self._state(pairs) if pairs else -1
@@ -186,11 +196,14 @@ class Matcher:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """text and toxic of at most ``rows`` labelled rows, one of each group of copies."""
+    """text and toxic of at most ``rows`` labelled rows, one of each group of copies.
+
+    Of copies with different labels a toxic one stays, then the one of the smallest id.
+    """
     train = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     # at most `rows` ids: small enough to send to all tasks
     chosen = train.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).orderBy(F.xxhash64("doc_id")).limit(rows)
-    joined = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id")
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
 
     def least(texts: pd.Series) -> pd.DataFrame:
         out = []
@@ -201,12 +214,12 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"])
 
     marked = joined.withColumn("_least", F.pandas_udf(least, "a long, b long")("_text"))
-    return (
-        marked.withColumns({"_a": F.col("_least.a"), "_b": F.col("_least.b")})
-        .dropDuplicates(["_a"])
-        .dropDuplicates(["_b"])
-        .select("_text", "_toxic")
-    )
+    place = F.struct(-F.col("_toxic"), "doc_id", F.xxhash64("_text"))
+    kept = marked.select(F.col("_least.a").alias("_a"), F.col("_least.b").alias("_b"), "doc_id", "_text", "_toxic")
+    for key in ("_a", "_b"):
+        row = F.struct("_a", "_b", "doc_id", "_text", "_toxic")
+        kept = kept.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, place).alias("_row")).select("_row.*")
+    return kept.select("_text", "_toxic")
 
 
 def _features(text: str | None) -> set[str]:
@@ -290,11 +303,11 @@ def _behind(terms: list[tuple[str, bool]], strong: dict[str, float]) -> list[tup
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn terms and weights from at most ``rows`` labelled rows that are not held out.
 
-    What reaches the driver are at most ``max_terms`` features and, for each row of the sample, which of
-    them it has.
+    What reaches the driver are the features of these rows whose evidence is strong enough, however many,
+    and for each row which of them it has.
     """
     sample = stored(_sample(docs, labels, rows), "toxicity-sample")
     counts = sample.mapInArrow(_count_features, "feature string, toxic long, other long")
@@ -307,12 +320,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_terms: int
     share = n_toxic / (n_toxic + n_other)
     model.prior = math.log(share / (1 - share))
     need = math.log(max(2, summed.count())) + 1
+    n = F.col("t") + F.col("o")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    near = part(F.col("t"), share) + part(F.col("o"), 1 - share) >= need - 0.001
     strong = {
         feature: evidence
-        for feature, t, o in summed.filter((F.col("feature") != "") & (F.col("t") >= 3) & (F.col("t") > F.col("o")))
-        .orderBy(F.desc(F.col("t") - F.col("o")), "feature")
-        .limit(max_terms)
-        .collect()
+        for feature, t, o in summed.filter((F.col("feature") != "") & (F.col("t") >= 3) & (F.col("t") > F.col("o")) & near).collect()
         if (evidence := _evidence(t, o, share)) >= need
     }
 

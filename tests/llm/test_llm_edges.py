@@ -53,12 +53,16 @@ def test_ablations_count_what_each_rule_decides(spark):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits, where two neighbours that change places are one."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        old, row[0] = row[0], i
+        row = [i]
         for j, y in enumerate(b, 1):
-            old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def test_automaton_equals_edit_distance():
@@ -72,6 +76,19 @@ def test_automaton_equals_edit_distance():
         assert set(lexicon.match(other)) == expected
 
 
+def test_swapped_letters_are_one_edit():
+    lexicon = toxicity.Lexicon([("idiot", False)])
+    assert [lexicon.match(w) for w in ("iidot", "idito", "idoit", "diiot")] == [((0, 1),)] * 4
+    assert lexicon.match("1d10t") == lexicon.match("toidi") == ()
+
+
+def test_copies_with_other_labels_are_taken_in_order(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(k, text) for k in range(9)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k in (2, 6, 7))) for k in range(9)], "doc_id long, toxic int")
+    assert [tuple(r) for r in toxicity._sample(docs, labels, 100).collect()] == [(text, 1)]
+
+
 def test_short_terms_and_beginnings_match_exactly():
     lexicon = toxicity.Lexicon([("scum", False), ("lowei", True)])
     assert lexicon.match("scum") == ((0, 0),)
@@ -177,6 +194,30 @@ def test_automaton_equals_loops_on_random_words(spark, block_words):
         assert hashlib.sha256(",".join(ids).encode()).hexdigest() == digest
 
 
+def test_many_copies_of_an_item_cost_little(spark):
+    text = " ".join(["word"] * 3000)
+    items = spark.createDataFrame([(k, "Word!") for k in range(8000)], "item_id long, text string")
+    found = decontaminate.overlap_report(spark.createDataFrame([(1, text)], "doc_id long, text string"), items).first()
+    assert (found.n_words, found.n_hit, found.n_items) == (3000, 3000, 8000)
+
+
+def test_working_names_clash_with_nothing(spark):
+    names = ["_n_words", "_spans", "_items", "_lines", "_LINES", "_row", "_id", "_text", "_lost", "_at", "_key", "_kept", "_owner", "_batch"]
+    names.remove("_LINES")
+    extra = ", ".join(f"{n} string" for n in names)
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(1, f"a long shared line\n{item}"), (2, "a long shared line\nrest"), (3, "other words only")]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], f"doc_id long, text string, {extra}")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontaminate.decontaminate(docs, items)
+    assert clean.columns == docs.columns and counted(clean.collect()) == Counter((*r, *names) for r in rows[1:])
+    cut = decontaminate.decontaminate(docs, items, share=1, min_span=13)
+    assert cut.columns == docs.columns and {r[0]: tuple(r[2:]) for r in cut.collect()} == {k: tuple(names) for k in (1, 2, 3)}
+    short = lines.dedup_lines(docs).select(*docs.columns)
+    assert {r[0]: tuple(r[1:]) for r in short.collect()} == {1: (rows[0][1], *names), 2: ("rest", *names), 3: (rows[2][1], *names)}
+    assert neardup.keep_one(docs).columns == docs.columns and quality.keep_good(docs).columns == docs.columns
+
+
 def test_spans_are_cut(spark):
     item = " ".join(f"q{k}" for k in range(20))
     rest = " ".join(f"r{k}" for k in range(500))
