@@ -45,6 +45,15 @@ def test_screenshot(spark):
     assert check(spark, rq.validate_screenshot, [c for c, _ in cases]) == [w for _, w in cases]
 
 
+def test_a_body_is_one_document(spark):
+    good = ['{"a":1}', ' {"a":[1,{"b":"]"}]}\n', "[1]", '"x"', "1", '{"a":1,"a":2}', '{"a":"}],[{"}']
+    bad = [None, "", " ", '{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', '{"a":1', '{"a":1}]', '{"a":1}],[{"b":1}', '{"a":1},{"b":2}]',
+           '{"a":1},0],[0', '{"a":1}}', '{"a":1}//c', "{'a':1}", "{a:1}", '{"a":tru}', '{"a":1,}', '{"a":01}']
+    rows = spark.createDataFrame([(k, b) for k, b in enumerate([*good, *bad])], "k int, body string")
+    found = [r[0] for r in rows.orderBy("k").select(rq.whole_document("body")).collect()]
+    assert found == [True] * len(good) + [False] * len(bad)
+
+
 def test_recording(spark):
     def rec(name="a.mp4", url=LIVE, method="mp4", action="start"):
         return {"stream_url": url, "method": method, "action": action, "filename_name": name}
