@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructType
 
-from streamlens.checkpoints import shared_dir
 from streamlens.functions.media import progress_percent
 from streamlens.operators.cells import (
     DEFAULT_CELL_SECONDS,
@@ -18,9 +14,17 @@ from streamlens.operators.cells import (
     in_cell,
     with_cell,
 )
-from streamlens.operators.greedy import interval_walk, percentage_walk, walk_in_order
+from streamlens.operators.greedy import (
+    HIGHEST_SHARE,
+    interval_walk,
+    near_share_walk,
+    share_walk,
+    walk_in_order,
+)
+from streamlens.sources.frames import ORIGIN_SALTS
 
-HOT_STREAM_ROWS = 20_000_000
+# How many bins 100 percent of a file are cut into.
+SHARE_BINS = 1_000_000
 
 
 def sample_interval(
@@ -56,93 +60,65 @@ def sample_percentage(
     stream: str = "stream_id",
     t: str = "t",
     tiebreak: str = "frame_id",
-    hot_rows: int = HOT_STREAM_ROWS,
+    bins: int = SHARE_BINS,
 ) -> DataFrame:
     """Frames at least ``pct`` percent of the file after the last kept one.
 
     ``duration`` has one row per stream; its fraction of a second is dropped.
-    Streams of more than ``hot_rows`` frames are found by a count and sampled by
-    rounds of aggregation over all tasks; the others are walked in order.
+    Streams are first cut down, with partial aggregation, to the lowest and highest
+    share of each of ``bins`` bins in 100 percent. From these alone follows which bins
+    a kept row can be in; with n rows to keep, about ``n * n / 2`` of the bins where
+    frames lie close, and just the kept ones where they do not. Only the first frame of
+    each share in those bins is walked in order. Results do not depend on ``bins``.
     """
     if not 1 <= pct <= 100:
         raise ValueError("Percentage must be between 1 and 100.")
-    rows = df.select(stream, tiebreak, t).filter(F.col(t).isNotNull())
-    totals = duration.select(stream, F.col("duration").cast("bigint").alias("duration"))
-    hot = (
-        rows.groupBy(stream)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(stream)
-    )
-    if hot.isEmpty():
-        return _share_by_walk(rows, pct, totals, stream, t, tiebreak)
-    shared_dir(df.sparkSession)
-    hot = hot.checkpoint()
-    # At most (all rows / hot_rows) streams are hot, so this side is small.
-    hot = F.broadcast(hot)
-    cold_part = _share_by_walk(
-        rows.join(hot, stream, "left_anti"), pct, totals, stream, t, tiebreak
-    )
-    hot_part = _share_by_rounds(
-        rows.join(hot, stream, "left_semi"),
-        pct,
-        totals.join(hot, stream, "left_semi"),
-        stream,
-        t,
-        tiebreak,
+    if bins < 200:
+        raise ValueError("Bins must be narrower than one percent.")
+    shared = _with_share(df.select(stream, tiebreak, t), duration, stream, t, tiebreak)
+    bin_of = F.floor(F.least("pct", F.lit(HIGHEST_SHARE)) * F.lit(bins / 100))
+    shared = shared.filter((F.col("pct") >= pct) & ~F.isnan("pct")).withColumn("_bin", bin_of)
+    summary = shared.groupBy(stream, "_bin").agg(
+        F.min("pct").alias("_low"), F.max("pct").alias("_high")
     )
-    return cold_part.unionByName(hot_part)
-
-
-def _share_by_walk(rows, pct, totals, stream, t, tiebreak) -> DataFrame:
-    lead = totals.select(
-        stream, "duration", F.lit(None).cast("double").alias(t), F.lit(None).alias(tiebreak)
+    near = walk_in_order(
+        summary, stream, ["_bin"], near_share_walk(pct), summary.select(stream, "_bin").schema
+    ).withColumnsRenamed({stream: "_stream", "_bin": "_near"})
+    possible = (
+        shared.join(
+            near,
+            F.col(stream).eqNullSafe(F.col("_stream")) & (F.col("_bin") == F.col("_near")),
+            "left_semi",
+        )
+        .groupBy(stream, "pct")
+        .agg(F.min(F.struct(t, tiebreak)).alias("_first"))
+        .select(stream, "pct", F.col(f"_first.{tiebreak}"), F.col(f"_first.{t}"))
     )
-    body = rows.select(stream, F.lit(None).cast("bigint").alias("duration"), t, tiebreak)
-    fields = {f.name: f for f in rows.schema}
-    schema = StructType([fields[stream], fields[tiebreak], fields[t]]).add("pct", DoubleType())
-    order = [F.col("duration").asc_nulls_last(), t, tiebreak]
-    walk = percentage_walk(pct, to_arrow_schema(schema))
-    return walk_in_order(body.unionByName(lead), stream, order, walk, schema)
+    kept = walk_in_order(possible, stream, ["pct"], share_walk(pct), possible.schema)
+    return kept.select(stream, tiebreak, t, "pct")
 
 
-def _share_by_rounds(rows, pct, totals, stream, t, tiebreak) -> DataFrame:
-    """One kept frame per stream and round: the first far enough from the last.
+def _with_share(rows, duration, stream, t, tiebreak) -> DataFrame:
+    """Rows with ``pct``, how much of their file lies before them; NULL where that is unknown.
 
-    The number of rounds is bounded by the share, not by the rows: each one moves
-    a stream on by ``pct`` percent. A round is a partial minimum over all tasks.
-    The state, one row per hot stream, is checkpointed so that plans stay short.
+    Rows meet their stream's duration by stream and salt, as they do their origin. In a
+    file of no whole second every frame after 0 is infinitely far.
     """
-    usable = totals.filter(F.col("duration") >= 0)
-    share = F.when(F.col("duration") == 0, F.when(F.col(t) > 0, F.lit(float("inf")))).otherwise(
-        progress_percent(t, "duration")
+    salt = F.pmod(F.xxhash64(tiebreak), F.lit(ORIGIN_SALTS))
+    totals = duration.select(
+        F.col(stream).alias("_stream"), F.col("duration").cast("bigint").alias("_total")
+    ).withColumn("_its_salt", F.explode(F.sequence(F.lit(0), F.lit(ORIGIN_SALTS - 1))))
+    share = F.when(F.col("_total") > 0, progress_percent(t, "_total")).when(
+        (F.col("_total") == 0) & (F.col(t) > 0), F.lit(float("inf"))
     )
-    shared = (
-        rows.join(F.broadcast(usable), stream)
+    return (
+        rows.withColumn("_salt", salt)
+        .join(
+            totals,
+            F.col(stream).eqNullSafe(F.col("_stream")) & (F.col("_salt") == F.col("_its_salt")),
+        )
         .select(stream, tiebreak, t, share.alias("pct"))
-        .filter(F.col("pct") >= pct)
-        .checkpoint()
     )
-    state = usable.select(stream, F.lit(0.0).alias("_last"))
-    rounds = []
-    while True:
-        # inf - inf is NaN, which Spark orders above every number.
-        gap = F.col("pct") - F.col("_last")
-        picked = (
-            shared.join(F.broadcast(state), stream)
-            .filter((gap >= pct) & ~F.isnan(gap))
-            .groupBy(stream)
-            .agg(F.min(F.struct(t, tiebreak, "pct")).alias("_row"))
-            .select(stream, f"_row.{tiebreak}", f"_row.{t}", "_row.pct")
-            .checkpoint()
-        )
-        if picked.isEmpty():
-            break
-        rounds.append(picked)
-        state = picked.select(stream, F.col("pct").alias("_last"))
-    if not rounds:
-        return shared.limit(0)
-    return reduce(DataFrame.unionByName, rounds)
 
 
 def sample_first(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import naive
 from streamlens.operators import sampling
-from streamlens.operators.greedy import walk_in_order
+from streamlens.operators.greedy import near_share_walk, walk_in_order
 from streamlens.sinks.frames import name_frames
 from streamlens.sources.frames import stream_durations, to_frames
 from streamlens.sources.packets import PACKET_SCHEMA, read_packets
@@ -83,16 +83,41 @@ def test_interval_over_small_arrow_batches(spark, frames, streams):
 
 
 @pytest.mark.parametrize(
-    ("pct", "hot_rows"),
-    [(1, 10**9), (10, 10**9), (33, 10**9), (100, 10**9), (1, 50), (10, 0), (33, 0), (100, 50)],
+    ("pct", "bins"),
+    [(1, 10**6), (10, 10**6), (33, 10**6), (100, 10**6), (1, 200), (3, 777), (10, 200), (33, 1000), (100, 200)],
 )
-def test_percentage(frames, streams, pct, hot_rows):
+def test_percentage(frames, streams, pct, bins):
     durations = {s: max(t for t, _ in r) for s, r in streams.items()}
     want = {s: naive.percentage(r, pct, durations[s]) for s, r in streams.items()}
-    got = sampling.sample_percentage(frames, pct, stream_durations(frames), hot_rows=hot_rows)
+    got = sampling.sample_percentage(frames, pct, stream_durations(frames), bins=bins)
     assert by_stream(got) == {s: k for s, k in want.items() if k}
 
 
+@pytest.mark.parametrize(("pct", "bins"), [(1, 200), (1, 50_000), (7, 1000), (10, 10**6)])
+def test_percentage_of_a_dense_stream(spark, pct, bins):
+    """Frames far closer than bins, so that the chains of kept rows stay apart."""
+    rng = random.Random(pct)
+    rows = [(rng.random() * 900 + 100 * (rng.random() < 0.01), i) for i in range(20_000)]
+    rows += [(t, i + 50_000) for t, i in rows[::3]]
+    df = spark.createDataFrame([(1, i, t) for t, i in rows], FRAME).repartition(6)
+    got = sampling.sample_percentage(df, pct, stream_durations(df), bins=bins)
+    assert by_stream(got) == {1: naive.percentage(rows, pct, max(t for t, _ in rows))}
+
+
+def test_bins_of_a_dense_stream_that_rows_are_looked_up_in(spark):
+    """With 10 rows to keep, at most about 50 of the bins."""
+    summary = pa.RecordBatch.from_pydict(
+        {"s": [1] * 9_900, "b": range(100, 10_000),
+         "low": [b / 100 + 0.001 for b in range(100, 10_000)],
+         "high": [b / 100 + 0.009 for b in range(100, 10_000)]}
+    )
+    parts = [summary.slice(i, 37) for i in range(0, 9_900, 37)]
+    whole = list(near_share_walk(10)(iter([summary])))[0]
+    assert 10 <= whole.num_rows <= 65
+    split = pa.Table.from_batches(list(near_share_walk(10)(iter(parts))))
+    assert split.column("b").to_pylist() == whole.column("b").to_pylist()
+
+
 def test_percentage_edges(spark):
     rows = [
         (1, 1, 0.0), (1, 2, 0.3), (1, 3, 0.6),  # shorter than a second
@@ -102,8 +127,8 @@ def test_percentage_edges(spark):
     ]
     df = spark.createDataFrame(rows, FRAME)
     durations = spark.createDataFrame([(1, 0.9), (2, -1.0), (3, 100.0)], "stream_id bigint, duration double")
-    for hot_rows in (10, 0):
-        got = sampling.sample_percentage(df, 5, durations, hot_rows=hot_rows)
+    for bins in (10**6, 200):
+        got = sampling.sample_percentage(df, 5, durations, bins=bins)
         assert by_stream(got) == {1: [2], 3: [7]}
         assert {r["pct"] for r in got.collect()} == {float("inf"), 9.0}
 
