@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamlens.functions.media import MICROS, rescale_ts, segment_file_name
+from streamlens.functions.media import (
+    MICROS,
+    TimeBase,
+    best_ratio,
+    rescale_ts,
+    segment_file_name,
+)
 from streamlens.operators.cells import (
     CELL,
     DEFAULT_CELL_SECONDS,
@@ -21,6 +27,9 @@ from streamlens.operators.cells import (
 OUT_INDEX = {"video": 0, "audio": 1}
 SEGMENT_SECONDS = 5
 
+# Largest term of a frame rate; 60,000 / 1,001 is the largest in common use.
+RATE_LIMIT = 60_000
+
 
 def route_media(
     df: DataFrame,
@@ -68,12 +77,13 @@ def rescale_packets(
     df: DataFrame,
     video_tb: tuple[int, int],
     audio_tb: tuple[int, int],
-    out_video_tb: tuple[int, int],
-    out_audio_tb: tuple[int, int],
+    out_video_tb: TimeBase,
+    out_audio_tb: TimeBase,
     audio_uses_video_tb: bool = False,
 ) -> DataFrame:
     """Move ``pts`` and ``dts`` of routed packets to the output time bases.
 
+    Output time bases may be columns, such as those of ``with_time_base``.
     ``audio_uses_video_tb`` reads audio ticks in the video time base, for
     recordings that must line up with ones made that way.
     """
@@ -89,6 +99,48 @@ def rescale_packets(
     return df
 
 
+def with_time_base(
+    df: DataFrame,
+    video_tb: tuple[int, int],
+    audio_tb: tuple[int, int],
+    keys: Sequence[str] = ("stream_id", "session_id"),
+    limit: int = RATE_LIMIT,
+) -> DataFrame:
+    """Add the output time base of routed packets in cells, as ``tb_num`` and ``tb_den``.
+
+    For video it is the inverse of the recording's frame rate: its frames but one over the ticks they span,
+    as a fraction of terms up to ``limit``. Without a frame rate, and for audio, it is the
+    input's own.
+    """
+    is_video = F.col("out_index") == OUT_INDEX["video"]
+    shown = F.when(is_video, F.col("pts"))
+
+    def rate(w: CellWindows) -> list[Column]:
+        spans = F.max("_last").over(w.whole) - F.min("_first").over(w.whole)
+        frames = F.sum("_n").over(w.whole) - 1
+        ticks = [x.cast("decimal(20,0)") for x in (frames, spans)]
+        ratio = best_ratio(ticks[0] * video_tb[1], ticks[1] * video_tb[0], limit)
+        return [ratio.alias("_rate")]
+
+    rated = carry(
+        df,
+        keys,
+        [F.count(shown).alias("_n"), F.min(shown).alias("_first"), F.max(shown).alias("_last")],
+        rate,
+    )
+    known = is_video & (F.col("_rate.num") > 0)
+
+    def term(name: str, video: int, audio: int) -> Column:
+        own = F.when(is_video, F.lit(video)).otherwise(F.lit(audio)).cast("bigint")
+        return F.when(known, F.col(f"_rate.{name}")).otherwise(own)
+
+    return rated.select(
+        *df.columns,
+        term("den", video_tb[0], audio_tb[0]).alias("tb_num"),
+        term("num", video_tb[1], audio_tb[1]).alias("tb_den"),
+    )
+
+
 def interleave(
     df: DataFrame,
     order: str = "dts",

@@ -338,6 +338,26 @@ WHERE f.media <> 'data' AND EXISTS (
   SELECT 1 FROM scaled v JOIN sessions r ON v.stream_id = r.stream_id
    AND v.ts >= r.start_ts AND (r.stop_ts IS NULL OR v.ts < r.stop_ts)
   WHERE v.media = 'video' AND v.stream_id = f.stream_id)""",
+    "recording_rates": f"""WITH {SESSIONS}, {FRAMES},
+numbered AS (
+  SELECT stream_id, frame_id, ts, media, row_number() OVER (PARTITION BY stream_id, media ORDER BY ts, frame_id) - 1 AS n
+  FROM frames WHERE media <> 'data'),
+recorded AS (
+  SELECT s.session_id, f.*, count(*) FILTER (f.media = 'video') OVER (PARTITION BY f.stream_id) AS videos,
+         count(*) FILTER (f.media = 'video') OVER (PARTITION BY f.stream_id, s.session_id) AS here
+  FROM numbered f JOIN sessions s ON f.stream_id = s.stream_id
+   AND f.ts >= s.start_ts AND (s.stop_ts IS NULL OR f.ts < s.stop_ts)),
+ticked AS (
+  SELECT stream_id, session_id, frame_id, CASE media WHEN 'video' THEN 0 ELSE 1 END AS out_index,
+         CASE WHEN media = 'audio' THEN n * 1024 WHEN here > 1 THEN n
+              ELSE n * CASE stream_id % 3 WHEN 0 THEN 3600 WHEN 1 THEN 3000 ELSE 3003 END END AS ticks,
+         CASE WHEN media = 'video' AND here > 1 AND stream_id % 3 = 2 THEN 1001 ELSE 1 END AS tb_num,
+         CASE WHEN media = 'audio' THEN 44100 WHEN here < 2 THEN 90000
+              ELSE CASE stream_id % 3 WHEN 0 THEN 25 WHEN 1 THEN 30 ELSE 30000 END END AS tb_den
+  FROM recorded WHERE videos > 0)
+SELECT stream_id, session_id, frame_id, out_index, ticks::BIGINT AS pts, ticks::BIGINT AS dts,
+       tb_num::BIGINT AS tb_num, tb_den::BIGINT AS tb_den
+FROM ticked""",
     "active_task_profile": f"""WITH {SESSIONS},
 edges AS (
   SELECT start_ts AS ts, 1 AS d FROM sessions

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from streamlens.functions.media import MICROS
 from streamlens.operators.cells import CELL, DEFAULT_CELL_SECONDS
 from streamlens.operators.control import record_sessions, sessions_from_commands
-from streamlens.operators.recording import rescale_packets, route_media
+from streamlens.operators.recording import rescale_packets, route_media, with_time_base
 from streamlens.sinks.recorders import record
 
 
@@ -20,19 +21,27 @@ def recorded_packets(
     out_audio_tb: tuple[int, int] = (1, 90_000),
     cell_seconds: int = DEFAULT_CELL_SECONDS,
     per_recording: bool = False,
+    at_frame_rate: bool = False,
 ) -> DataFrame:
     """Packets of each recording, ready to be written, with the session they belong to.
 
     ``per_recording`` lets each recording choose its elementary streams by its own first packets,
     as live recordings do; otherwise an input's choice holds for all its recordings.
+    ``at_frame_rate`` moves video to the inverse of each recording's frame rate and leaves audio in
+    its own time base; both are then given as ``tb_num`` and ``tb_den``.
     """
     sessions = sessions_from_commands(commands, cell_seconds=cell_seconds)
     rest = [c for c in frames.columns if c not in ("stream_id", "frame_id", "ts")]
     packets = record_sessions(frames, sessions, rest, cell_seconds, keep_cells=True)
     if per_recording:
-        routed = route_media(packets, "ts", keys=("stream_id", "session_id"), by_time=True).drop(CELL)
+        routed = route_media(packets, "ts", keys=("stream_id", "session_id"), by_time=True)
     else:
-        routed = route_media(packets).drop(CELL)
+        routed = route_media(packets)
+    if at_frame_rate:
+        based = with_time_base(routed, video_tb, audio_tb).drop(CELL)
+        out_tb = (F.col("tb_num"), F.col("tb_den"))
+        return rescale_packets(based, video_tb, audio_tb, out_tb, out_tb)
+    routed = routed.drop(CELL)
     return rescale_packets(routed, video_tb, audio_tb, out_video_tb, out_audio_tb)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from streamlens.checkpoints import fresh_path
 from streamlens.functions.media import json_field_or_default, rescale_ts, url_basename
 from streamlens.operators import control, gaps, layout, recording, requests, sampling
-from streamlens.operators.cells import measure_cell_seconds
+from streamlens.operators.cells import measure_cell_seconds, number_rows
 from streamlens.plans import event_tables as ev
 from streamlens.plans import mixer, recorder, screenshot
 from streamlens.sinks.commits import commit_batches, read_committed
@@ -244,6 +244,29 @@ def recording_task(spark, sf):
     return packets.select("stream_id", "session_id", "frame_id", "out_index", "pts", "dts")
 
 
+@query
+def recording_rates(spark, sf):
+    """Recordings of 25, 30 and 30000/1001 frames a second, each in the inverse of its rate."""
+    width = ev.cell_seconds(spark, sf)
+    media = ev.frames(spark, sf).filter(F.col("media") != "data")
+    numbered = number_rows(
+        media, "_n", ["ts", "frame_id"], width * 1_000_000, ("stream_id", "media")
+    )
+    ticks = F.element_at(F.array(*[F.lit(x) for x in (3600, 3000, 3003)]), (F.col("stream_id") % 3 + 1).cast("int"))
+    pts = F.col("_n") * F.when(F.col("media") == "video", ticks).otherwise(1024)
+    packets = recorder.recorded_packets(
+        numbered.withColumns({"pts": pts, "dts": pts}).drop("_n"),
+        ev.commands(ev.read_events(spark, sf)),
+        (1, 90_000),
+        (1, 44_100),
+        cell_seconds=width,
+        at_frame_rate=True,
+    )
+    return packets.select(
+        "stream_id", "session_id", "frame_id", "out_index", "pts", "dts", "tb_num", "tb_den"
+    )
+
+
 @query
 def active_task_profile(spark, sf):
     running = sessions(spark, sf)

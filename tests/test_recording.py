@@ -105,6 +105,65 @@ def test_rescale_is_exact(spark):
             assert y == (want if abs(want) < 2**63 - 1 else None)
 
 
+def test_rescale_by_columns(spark):
+    rng = random.Random(5)
+    terms = [1, 25, 1001, 30_000, 2**31 - 1]
+    rows = [(rng.randrange(-(2**62), 2**62), *rng.choices(terms, k=4)) for _ in range(200)]
+    rows += [(None, 1, 1, 1, 1), (7, 1, 2, 1, 1), (-7, 1, 2, 1, 1)]
+    df = spark.createDataFrame(rows, "x bigint, a int, b bigint, c int, d int")
+    src, dst = (F.col("a"), F.col("b")), (F.col("c"), F.col("d"))
+    for x, a, b, c, d, y in df.select("*", media.rescale_ts("x", src, dst)).collect():
+        if x is None:
+            assert y is None
+            continue
+        want = int((abs(x) * Fraction(a, b) / Fraction(c, d) * 2 + 1) // 2) * (1 if x >= 0 else -1)
+        assert y == (want if abs(want) < 2**63 - 1 else None)
+
+
+@pytest.mark.parametrize("limit", [1, 1001, 60_000, 2**31 - 1])
+def test_best_ratio(spark, limit):
+    """No fraction within the limit is nearer; below 1 only its denominator, above only its numerator binds."""
+    rng = random.Random(limit)
+    size = lambda: 10 ** rng.randrange(1, 18)
+    rows = [(rng.randrange(size()), rng.randrange(1, size() + 1)) for _ in range(600)]
+    rows += [(0, 5), (10**17, 1), (1, 10**17), (30_000 * 999, 1001 * 999), (5, 0), (None, 1), (-1, 2)]
+    df = spark.createDataFrame(rows, "n bigint, d bigint")
+    for n, d, got in df.select("n", "d", media.best_ratio(F.col("n"), F.col("d"), limit)).collect():
+        if n is None or n < 0 or d == 0:
+            assert got is None
+            continue
+        exact, near = Fraction(n, d), Fraction(got["num"], got["den"])
+        assert (near.numerator, near.denominator) == tuple(got) and max(tuple(got)) <= limit
+        if exact <= 1:
+            assert abs(near - exact) == abs(exact.limit_denominator(limit) - exact)
+        elif exact > limit:
+            assert near == limit
+        else:
+            other = 1 / (1 / exact).limit_denominator(limit) if 1 / exact >= Fraction(1, limit) else near
+            assert abs(near - exact) <= abs(other - exact)
+
+
+@pytest.mark.parametrize("width", [1, 10**9])
+def test_output_time_bases(spark, width):
+    """Frame rates of ticks rounded to microseconds, with frames out of order; audio keeps its base."""
+    rates = {1: Fraction(25), 2: Fraction(30), 3: Fraction(30_000, 1001), 4: Fraction(1, 7)}
+    rows = [
+        (s, s, i * 2 + s, 0, round(i / rate * 10**6) + 5_000)
+        for s, rate in rates.items() for i in range(3000)
+    ]
+    rows += [(s, s, -i, 1, i * 1024) for s in rates for i in range(9)]
+    rows += [(5, 5, 1, 0, 100), (6, 6, 1, 0, 100), (6, 6, 2, 0, 100), (7, 7, 1, 1, 0), (8, 8, 1, 0, None)]
+    random.Random(2).shuffle(rows)
+    schema = "stream_id int, session_id int, frame_id int, out_index int, pts bigint"
+    df = spark.createDataFrame(rows, schema).withColumn("_cell", F.expr(f"coalesce(pts, 0) div {width * 10**6}"))
+    got = recording.with_time_base(df, (1, 10**6), (1, 44_100))
+    assert got.count() == len(rows)
+    bases = {(r[0], r[1]): tuple(r)[2:] for r in got.select("stream_id", "out_index", "tb_num", "tb_den").distinct().collect()}
+    want = {(s, 0): (r.denominator, r.numerator) for s, r in rates.items()}
+    want |= {(s, 1): (1, 44_100) for s in (*rates, 7)} | {(s, 0): (1, 10**6) for s in (5, 6, 8)}
+    assert bases == want
+
+
 def test_audio_time_base(spark):
     df = spark.createDataFrame([(0, 90, 90), (1, 48, 48)], "out_index int, pts bigint, dts bigint")
     args = ((1, 90_000), (1, 48_000), (1, 1000), (1, 48_000))
