@@ -105,21 +105,27 @@ def record_sessions(
     keep: Sequence[str] = (),
     cell_seconds: int = DEFAULT_CELL_SECONDS,
     keep_cells: bool = False,
+    methods: Sequence[str] | None = None,
 ) -> DataFrame:
     """Frames inside a ``[start_ts, stop_ts)`` session of their stream, with columns ``keep``.
 
     Sessions of one task key do not overlap, so a frame can only belong to the
     last one started at or before it: an as-of lookup, with no range join and no
-    copies of frames. Record methods separately, as their sessions may overlap.
+    copies of frames. With ``methods`` the sessions carry a ``method``, which belongs to
+    their task key: the last session of each method is looked up in the same pass, and a frame is
+    given once, with its ``method``, for each session it is in. Sessions of other methods
+    are left out. Sessions may overlap only if their methods differ.
     """
     session = F.struct("session_id", "stop_ts")
     none = F.lit(None).cast(sessions.select(session).schema[0].dataType)
+    method = F.col("method") if methods is not None else F.lit(None).cast("string")
     starts = sessions.select(
         "stream_id",
         F.col("start_ts").alias("ts"),
         F.lit(0).alias("_kind"),
         F.col("session_id").alias("_order"),
         session.alias("_session"),
+        method.alias("_method"),
     )
     packets = frames.select(
         "stream_id",
@@ -127,30 +133,59 @@ def record_sessions(
         F.lit(1).alias("_kind"),
         F.col("frame_id").alias("_order"),
         none.alias("_session"),
+        F.lit(None).cast("string").alias("_method"),
         "frame_id",
         *keep,
     )
+    lanes = [None] if methods is None else list(dict.fromkeys(methods))
+
+    def begins(lane: str | None) -> Column:
+        return (F.col("_kind") == 0) & (F.lit(True) if lane is None else F.col("_method") == lane)
+
     events = packets.unionByName(starts, allowMissingColumns=True)
     carried = carry(
         with_cell(events, "ts", cell_seconds),
         ["stream_id"],
-        [F.max(F.when(F.col("_kind") == 0, F.struct("ts", "_order", "_session"))).alias("_tail")],
-        lambda w: [F.last("_tail._session", ignorenulls=True).over(w.before).alias("_open")],
+        [
+            F.max(F.when(begins(lane), F.struct("ts", "_order", "_session"))).alias(f"_tail{i}")
+            for i, lane in enumerate(lanes)
+        ],
+        lambda w: [
+            F.last(f"_tail{i}._session", ignorenulls=True).over(w.before).alias(f"_open{i}")
+            for i in range(len(lanes))
+        ],
     )
-    here = F.last("_session", ignorenulls=True).over(
-        in_cell(["stream_id"], "ts", "_kind", "_order").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
+    so_far = in_cell(["stream_id"], "ts", "_kind", "_order").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    current = carried.withColumn("_in", F.coalesce(here, F.col("_open")))
-    stop = F.col("_in.stop_ts")
-    return current.filter(
-        (F.col("_kind") == 1)
-        & F.col("_in").isNotNull()
-        & (stop.isNull() | (F.col("ts") < stop))
-    ).select(
-        "stream_id", "_in.session_id", "frame_id", "ts", *keep, *([CELL] if keep_cells else [])
+    current = carried.withColumns(
+        {
+            f"_in{i}": F.coalesce(
+                F.last(F.when(begins(lane), F.col("_session")), ignorenulls=True).over(so_far),
+                F.col(f"_open{i}"),
+            )
+            for i, lane in enumerate(lanes)
+        }
+    ).filter(F.col("_kind") == 1)
+
+    def inside(found: Column) -> Column:
+        stop = found["stop_ts"]
+        return found["session_id"].isNotNull() & (stop.isNull() | (F.col("ts") < stop))
+
+    cell = [CELL] if keep_cells else []
+    if methods is None:
+        return current.filter(inside(F.col("_in0"))).select(
+            "stream_id", "_in0.session_id", "frame_id", "ts", *keep, *cell
+        )
+    found = F.array(
+        *[
+            F.struct(F.lit(lane).alias("method"), F.col(f"_in{i}").alias("of"))
+            for i, lane in enumerate(lanes)
+        ]
     )
+    return current.withColumn(
+        "_in", F.explode(F.filter(found, lambda x: inside(x["of"])))
+    ).select("stream_id", "_in.method", "_in.of.session_id", "frame_id", "ts", *keep, *cell)
 
 
 def active_task_profile(

@@ -48,6 +48,22 @@ sessions AS (
   SELECT stream_id, event_id AS session_id, ts AS start_ts, stop_ts
   FROM accepted WHERE action = 'start')"""
 
+# The same by (stream, method): even commands are of one method, odd ones of the other.
+METHOD_SESSIONS = """
+commands AS (
+  SELECT user_id AS stream_id, event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'mp4' ELSE 'hls' END AS method,
+         CASE event_type WHEN 'signup' THEN 'start' ELSE 'stop' END AS action
+  FROM events WHERE event_type IN ('signup', 'error')),
+judged AS (
+  SELECT *, coalesce(lag(action) OVER (PARTITION BY stream_id, method ORDER BY ts, event_id) = 'start', false) AS active
+  FROM commands),
+accepted AS (
+  SELECT *, lead(ts) OVER (PARTITION BY stream_id, method ORDER BY ts, event_id) AS stop_ts
+  FROM judged WHERE (action = 'start') <> active),
+sessions AS (
+  SELECT stream_id, method, event_id AS session_id, ts AS start_ts, stop_ts
+  FROM accepted WHERE action = 'start')"""
+
 INTERVAL = VIDEO + f""",
 picks AS (
   SELECT stream_id, min_by(frame_id, rn) AS frame_id, min_by(t, rn) AS t, min(rn) AS rn
@@ -328,6 +344,19 @@ FROM wanted w ASOF JOIN video v ON w.stream_id = v.stream_id AND v.t >= w.at""",
 SELECT s.stream_id, s.session_id, e.event_id AS frame_id, e.ts
 FROM events e JOIN sessions s ON e.user_id = s.stream_id
  AND e.ts >= s.start_ts AND (s.stop_ts IS NULL OR e.ts < s.stop_ts)""",
+    "record_methods": f"""WITH {METHOD_SESSIONS}
+SELECT s.stream_id, s.method, s.session_id, e.event_id AS frame_id, e.ts
+FROM events e JOIN sessions s ON e.user_id = s.stream_id
+ AND e.ts >= s.start_ts AND (s.stop_ts IS NULL OR e.ts < s.stop_ts)""",
+    "recording_methods_task": f"""WITH {METHOD_SESSIONS}, {FRAMES},
+recorded AS (
+  SELECT s.method, s.session_id, f.*, (pts::HUGEINT * 2 * 90000 + 1000000) // 2000000 AS ticks,
+         bool_or(f.media = 'video') OVER (PARTITION BY s.stream_id, s.session_id) AS shown
+  FROM frames f JOIN sessions s ON f.stream_id = s.stream_id
+   AND f.ts >= s.start_ts AND (s.stop_ts IS NULL OR f.ts < s.stop_ts))
+SELECT stream_id, method, session_id, frame_id, CASE media WHEN 'video' THEN 0 ELSE 1 END AS out_index,
+       ticks::BIGINT AS pts, ticks::BIGINT AS dts
+FROM recorded WHERE shown AND media <> 'data'""",
     "recording_task": f"""WITH {SESSIONS}, {FRAMES},
 scaled AS (SELECT *, ((pts::HUGEINT * 2 * 90000 + 1000000) // 2000000)::BIGINT AS ticks FROM frames)
 SELECT s.stream_id, s.session_id, f.frame_id, CASE f.media WHEN 'video' THEN 0 ELSE 1 END AS out_index,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +24,20 @@ def recorded_packets(
     cell_seconds: int = DEFAULT_CELL_SECONDS,
     per_recording: bool = False,
     at_frame_rate: bool = False,
+    methods: Sequence[str] | None = None,
 ) -> DataFrame:
     """Packets of each recording, ready to be written, with the session they belong to.
 
     ``per_recording`` lets each recording choose its elementary streams by its own first packets,
     as live recordings do; otherwise an input's choice holds for all its recordings.
     ``at_frame_rate`` moves video to the inverse of each recording's frame rate and leaves audio in
-    its own time base; both are then given as ``tb_num`` and ``tb_den``.
+    its own time base; both are then given as ``tb_num`` and ``tb_den``. With ``methods`` the commands
+    carry a ``method`` and one input is recorded by several at once; packets then give theirs.
     """
-    sessions = sessions_from_commands(commands, cell_seconds=cell_seconds)
+    keys = ["stream_id"] if methods is None else ["stream_id", "method"]
+    sessions = sessions_from_commands(commands, keys, cell_seconds=cell_seconds)
     rest = [c for c in frames.columns if c not in ("stream_id", "frame_id", "ts")]
-    packets = record_sessions(frames, sessions, rest, cell_seconds, keep_cells=True)
+    packets = record_sessions(frames, sessions, rest, cell_seconds, True, methods)
     if per_recording:
         routed = route_media(packets, "ts", keys=("stream_id", "session_id"), by_time=True)
     else:

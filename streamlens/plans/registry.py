@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from streamlens.checkpoints import fresh_path
-from streamlens.functions.media import json_field_or_default, rescale_ts, url_basename
+from streamlens.functions.media import (
+    RECORDING_METHODS,
+    json_field_or_default,
+    rescale_ts,
+    url_basename,
+)
 from streamlens.operators import control, gaps, layout, recording, requests, sampling
 from streamlens.operators.cells import measure_cell_seconds, number_rows
 from streamlens.plans import event_tables as ev
@@ -232,6 +237,40 @@ def record_sessions(spark, sf):
     )
 
 
+def _by_method(spark, sf):
+    """Commands of two recording methods, so that an input may be recorded by both at once."""
+    method = F.when(F.col("event_id") % 2 == 0, "mp4").otherwise("hls")
+    return ev.commands(ev.read_events(spark, sf)).withColumn("method", method)
+
+
+@query
+def record_methods(spark, sf):
+    """Frames of all recordings, where those of different methods overlap."""
+    width = ev.cell_seconds(spark, sf)
+    running = control.sessions_from_commands(
+        _by_method(spark, sf), ["stream_id", "method"], cell_seconds=width
+    )
+    raw = ev.raw_frames(ev.read_events(spark, sf))
+    return control.record_sessions(
+        raw, running, cell_seconds=width, methods=RECORDING_METHODS
+    )
+
+
+@query
+def recording_methods_task(spark, sf):
+    """Packets of recordings by two methods at once, each choosing its own elementary streams."""
+    packets = recorder.recorded_packets(
+        ev.frames(spark, sf).withColumn("dts", F.col("pts")),
+        _by_method(spark, sf),
+        cell_seconds=ev.cell_seconds(spark, sf),
+        per_recording=True,
+        methods=RECORDING_METHODS,
+    )
+    return packets.select(
+        "stream_id", "method", "session_id", "frame_id", "out_index", "pts", "dts"
+    )
+
+
 @query
 def recording_task(spark, sf):
     """Packets of all recordings in the output time base."""

@@ -72,6 +72,37 @@ def test_packets_inside_sessions(spark, commands, histories, cell_seconds):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("cell_seconds", [1, 11, 10_000])
+def test_sessions_of_two_methods_overlap(spark, cell_seconds):
+    """Frames at borders of sessions, sessions without length, and a method nobody asked for."""
+    rng, rows, frames = random.Random(6), [], []
+    for stream in range(25):
+        for method in ("mp4", "hls", "other"):
+            t, last = rng.randrange(20), rng.randrange(8)
+            for n in range(last):
+                stop = t + rng.choice([0, 1, 7, 40])
+                rows.append((stream, method, len(rows), t, None if n == last - 1 and rng.random() < 0.5 else stop))
+                t = stop + rng.choice([0, 0, 3, 30])
+        frames += [(stream, stream * 1000 + i, rng.randrange(200)) for i in range(60)]
+    sessions = spark.createDataFrame(
+        [(s, m, i, at(a), None if b is None else at(b)) for s, m, i, a, b in rows],
+        "stream_id bigint, method string, session_id bigint, start_ts timestamp_ntz, stop_ts timestamp_ntz",
+    )
+    df = spark.createDataFrame(
+        [(s, f, at(t)) for s, f, t in frames], "stream_id bigint, frame_id bigint, ts timestamp_ntz"
+    )
+    got = control.record_sessions(
+        df, sessions, cell_seconds=cell_seconds, methods=("mp4", "hls")
+    ).collect()
+    want = sorted(
+        (s, m, i, f, at(t))
+        for s, f, t in frames
+        for s2, m, i, a, b in rows
+        if s == s2 and m != "other" and a <= t and (b is None or t < b)
+    )
+    assert sorted(tuple(r) for r in got) == want
+
+
 @pytest.mark.parametrize("cell_seconds", [1, 10_000])
 def test_running_tasks(commands, histories, cell_seconds):
     sessions = control.sessions_from_commands(commands, cell_seconds=100)

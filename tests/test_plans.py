@@ -36,7 +36,7 @@ def test_no_product_and_no_single_task(large, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["command_outcome", "sessions", "record_sessions", "gap_sessions", "until_timeout",
+    "name", ["command_outcome", "sessions", "record_sessions", "record_methods", "gap_sessions", "until_timeout",
              "interleave", "name_frames", "sample_at_times", "screenshot_responses"]
 )
 def test_windows_over_rows_stay_in_cells(large, name):

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 NARROW = 100_000
 CELLED = [
     "frames_base", "route_media", "route_media_by_index", "name_frames", "sample_at_times",
-    "command_outcome", "sessions", "record_sessions", "recording_task", "recording_rates", "gap_sessions",
+    "command_outcome", "sessions", "record_sessions", "recording_task", "recording_rates", "record_methods",
+    "recording_methods_task", "gap_sessions",
     "until_timeout", "interleave", "screenshot_responses", "recording_responses",
     "active_task_profile", "layout_diff", "layout_replay", "mix_task", "mix_on_clock",
     "mix_responses",
