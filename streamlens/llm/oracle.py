@@ -36,6 +36,23 @@ f AS (
 SELECT *, failed % 4 <> 0 AS base_failed, failed % 8 = 0 AS kept FROM f
 """
 
+ABLATIONS = f"""
+WITH ledger AS ({OP1}),
+best AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+tests(policy, mask, rule, bit) AS (
+  SELECT policy, mask, rule, bit FROM
+    (VALUES ('v1', 3), ('v2', 7), ('v3', 15), ('v4', 63)) AS p(policy, mask)
+    JOIN (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8),
+                 ('short_words', 16), ('long_words', 32)) AS r(rule, bit) ON bit <= mask
+)
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER ((failed & mask) <> 0) AS n_rejected,
+       count(*) FILTER ((failed & bit) <> 0) AS n_failed,
+       count(*) FILTER ((failed & mask) = bit) AS n_rescued,
+       count(*) FILTER ((failed & mask) = bit AND quality = 1) AS n_rescued_good,
+       count(*) FILTER ((failed & mask) = bit AND quality = 0) AS n_rescued_poor
+FROM ledger LEFT JOIN best USING (doc_id) CROSS JOIN tests GROUP BY policy, rule
+"""
+
 OP3 = rf"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,
@@ -250,4 +267,5 @@ LLM_ORACLE: dict[str, str] = {
     "op11_embedding_dedup": OP11,
     "op12_centroids": OP12,
     "op13_lexical_search": OP13,
+    "quality_ablations": ABLATIONS,
 }

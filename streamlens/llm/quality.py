@@ -2,9 +2,9 @@
 
 ``ledger`` measures each text once and stores measurements and one failure bit for each rule.
 A policy is a versioned mask of rules; a document goes if any rule of the mask failed.
-``ablations`` counts, over the ledger alone, what each rule of a policy decides.
+``ablations`` counts, over the ledger and labels, what each rule of a policy decides.
 
-Everything is column expressions over one row: no shuffle, no Python. Windows of words are
+Everything is column expressions, for the ledger over one row: no shuffle, no Python. Windows of words are
 compared by 64-bit hashes within their text.
 
 Defined results: null and empty texts have no words and fail ``few_words``. Repeated rows are
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamlens.llm.common import SPACES, let, words_of
+from streamlens.llm.common import SPACES, let, stored, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -41,7 +41,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "v3": (*BASE, "symbols", "repeated_lines"),
     "v4": tuple(RULES),
 }
-#: Ablations over labelled rows: what ``repeated_lines`` alone rejects is mostly labelled good, and
+#: Ablations over labelled rows (``quality_ablations``): what ``repeated_lines`` alone rejects is mostly labelled good, and
 #: later stages drop the lines themselves; the rules of word lengths reject nothing more.
 CURRENT = "v2"
 
@@ -128,11 +128,17 @@ def apply_policy(judged: DataFrame, version: str = CURRENT) -> DataFrame:
     )
 
 
-def ablations(judged: DataFrame) -> DataFrame:
+def store_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger written once in the shared folder; policies and ablations read it from there."""
+    return stored(ledger(docs), "quality-ledger")
+
+
+def ablations(judged: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """For each policy and rule: documents, those rejected, failed by the rule, rescued without it.
 
-    The ledger is first reduced to one row for each pattern of bits, of which there are at most
-    two to the number of rules.
+    With ``labels`` (doc_id, quality) also how many of the rescued are labelled good, and poor; of
+    several labels of a document the best counts. The ledger is first reduced to one row for each
+    pattern of bits, of which there are at most two to the number of rules.
     """
     tests = F.array(
         *[
@@ -146,17 +152,24 @@ def ablations(judged: DataFrame) -> DataFrame:
             for rule in rules
         ]
     )
-    patterns = judged.groupBy("failed").agg(F.count("*").alias("n"))
+    sizes = {"n": F.count("*")}
+    if labels is not None:
+        best = labels.groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+        judged = judged.join(best, "doc_id", "left")
+        sizes |= {name: F.count_if(F.col("_quality") == mark) for name, mark in (("good", 1), ("poor", 0))}
+    patterns = judged.groupBy("failed").agg(*[size.alias(name) for name, size in sizes.items()])
     hit = F.col("failed").bitwiseAND(F.col("t.mask"))
-    count = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    count = lambda condition, of="n": F.sum(F.when(condition, F.col(of)).otherwise(0))
+    rescued = hit == F.col("t.bit")
     return (
-        patterns.select("failed", "n", F.explode(tests).alias("t"))
+        patterns.select("failed", *sizes, F.explode(tests).alias("t"))
         .groupBy(F.col("t.policy").alias("policy"), F.col("t.rule").alias("rule"))
         .agg(
             F.sum("n").alias("n_docs"),
             count(hit != 0).alias("n_rejected"),
             count(hit.bitwiseAND(F.col("t.bit")) != 0).alias("n_failed"),
-            count(hit == F.col("t.bit")).alias("n_rescued"),
+            count(rescued).alias("n_rescued"),
+            *[count(rescued, of).alias(f"n_rescued_{of}") for of in sizes if of != "n"],
         )
     )
 

@@ -49,6 +49,18 @@ def test_ablations_count_what_each_rule_decides(spark):
     assert found["v4", "long_words"].n_rescued == 1
 
 
+def test_ablations_over_labels(spark):
+    """Documents without a label or an id, labels without a document, several labels for one."""
+    bit = quality.BIT["symbols"]
+    judged = spark.createDataFrame([(i, bit) for i in (1, 2, 3, 3, 4, None)] + [(5, 0)], "doc_id long, failed long")
+    marks = [(1, 1), (2, 0), (2, 1), (3, 0), (3, None), (4, None), (5, 1), (6, 1), (None, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int").withColumn("failed", F.lit("x"))
+    found = {(r.policy, r.rule): r[2:] for r in quality.ablations(judged, labels).collect()}
+    assert found["v2", "symbols"] == (7, 6, 6, 6, 2, 2)
+    assert found["v2", "few_words"] == (7, 6, 0, 0, 0, 0)
+    assert quality.ablations(judged.limit(0), labels).count() == 0
+
+
 # 2 toxicity
 
 
