@@ -483,6 +483,13 @@ WHERE action <> 'update' GROUP BY stream_id, life HAVING arg_max(action, (ts, ev
 # What is written is what the job gives.
 ORACLE |= {"written_recording": ORACLE["recording_task"], "written_segments": ORACLE["segment_manifest"]}
 ORACLE["stream_manifest"] = ORACLE["segment_manifest"]
+ORACLE["stream_packet_frames"] = ORACLE["packet_frames"]
+ORACLE["stream_task_states"] = f"""WITH {COMMANDS}
+SELECT stream_id, coalesce(arg_max(action, (ts, event_id)) FILTER (WHERE action <> 'update') = 'start', false) AS active
+FROM commands GROUP BY stream_id"""
+ORACLE["sample_registered"] = f"""WITH {VIDEO},
+keyed AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY t, frame_id) AS nth FROM video WHERE is_key)
+SELECT stream_id, frame_id, t FROM keyed WHERE nth = 1"""
 ORACLE["validate_damaged"] = f"""
 SELECT req_id, CASE WHEN req_id % 5 = 0 THEN code ELSE 2002 END AS code,
        CASE WHEN req_id % 5 = 0 THEN message ELSE 'Invalid JSON' END AS message

@@ -20,10 +20,16 @@ from streamlens.operators.cells import measure_cell_seconds, number_rows
 from streamlens.plans import event_tables as ev
 from streamlens.plans import mixer, recorder, screenshot
 from streamlens.sinks.commits import commit_batches, read_committed
-from streamlens.sinks.frames import attach_payload, name_frames, push_stream, write_frames
+from streamlens.sinks.frames import name_frames, push_stream
 from streamlens.sinks.recorders import record
 from streamlens.sources.frames import stream_durations, to_frames
-from streamlens.sources.packets import media_inventory, probe_streams, read_packets
+from streamlens.sources.packets import (
+    PACKET_SCHEMA,
+    media_inventory,
+    probe_streams,
+    read_packet_stream,
+    read_packets,
+)
 from streamlens.streaming import operators as live
 
 DAY = 86_400
@@ -73,7 +79,7 @@ def written_frames(spark, sf):
     path = fresh_path(spark, "frames")
     kept = sampling.sample_interval(ev.video(spark, sf), DAY)
     frames = ev.raw_frames(ev.read_events(spark, sf))
-    write_frames(attach_payload(kept, frames, "size"), path)
+    screenshot.save_screenshots(frames, kept, path, "size")
     return spark.read.parquet(path).select(
         F.col("stream_id").cast("bigint").alias("stream_id"), "frame_id", "t", "size"
     )
@@ -198,6 +204,17 @@ def sample_immediate_drain(spark, sf):
     return sampling.sample_first(ev.video(spark, sf), drain=3)
 
 
+def _first_key(df: DataFrame) -> DataFrame:
+    return sampling.sample_first(df.filter("is_key"))
+
+
+@query
+def sample_registered(spark, sf):
+    """A sampler of the user's own: the first key frame of each stream."""
+    sampling.register_sampler("first_key", _first_key)
+    return sampling.sample(ev.video(spark, sf), "first_key")
+
+
 @query
 def sample_at_time(spark, sf):
     return sampling.sample_at_time(ev.video(spark, sf), 10 * DAY)
@@ -473,9 +490,12 @@ def _in_parts(
     time: str,
     job: Callable[[DataFrame, str], DataFrame],
     sink: Callable[[DataFrame], Callable[[DataFrame, int], None]] | None = None,
+    state: str | None = None,
 ) -> DataFrame | None:
     """Run a live job over a table that comes in parts, with late rows, and then ends.
 
+    ``state`` names the folder of the job's checkpoint.
+
     Rows come by their time and a delay of up to a tenth of the whole, so each part has rows that belong
     before others of the part before; the watermark given to the job allows for that. The job is started
     anew for each part and goes on from its checkpoint. The end is one far later row without a stream.
@@ -492,9 +512,10 @@ def _in_parts(
     years = F.max(F.col(time)) + (400 * DAY if kind.simpleString() == "double" else F.expr("INTERVAL 400 DAYS"))
     end = table.agg(years.cast(kind).alias(time))
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != time]
-    path, out, state = (fresh_path(spark, n) for n in ("live", "drained", "state"))
+    path, out = (fresh_path(spark, n) for n in ("live", "drained"))
+    state = state or fresh_path(spark, "state")
     table.limit(0).write.parquet(path)
-    source = spark.readStream.schema(table.schema).parquet(path)
+    source = read_packet_stream(spark, path, table.schema)
     cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     with live.live_settings(spark, cores):
         sdf = job(source, f"{late // 1000 + 1} milliseconds")
@@ -549,6 +570,29 @@ def stream_commands_ended(spark, sf):
     )
 
 
+@query
+def stream_task_states(spark, sf):
+    """Which tasks run, read from the state of the live query that judges their commands."""
+    commands = ev.commands(ev.read_events(spark, sf))
+    state = fresh_path(spark, "state")
+    _in_parts(
+        spark, commands, "ts", lambda rows, late: live.stream_commands(rows, late, bucket_seconds=DAY), state=state
+    )
+    return live.task_states(spark, state)
+
+
+@query
+def stream_packet_frames(spark, sf):
+    """Packets as they arrive, by their own schema, in as many batches as there are files of them."""
+    path, out = (fresh_path(spark, n) for n in ("packets", "drained"))
+    ev.packets(ev.read_events(spark, sf)).repartition(PARTS, "frame_id").write.parquet(path)
+    arriving = read_packet_stream(spark, path, PACKET_SCHEMA, maxFilesPerTrigger="1")
+    timed = to_frames(arriving, time="pts", tb=PACKET_TB)
+    frames = timed.select("stream_id", "frame_id", "stream_index", "media", "pts", "t")
+    push_stream(frames, out, drain=True).awaitTermination()
+    return spark.read.schema(frames.schema).parquet(out)
+
+
 @query
 def stream_layout(spark, sf):
     entries = ev.layout(ev.read_events(spark, sf))

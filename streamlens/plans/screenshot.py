@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from streamlens.checkpoints import fresh_path
 from streamlens.operators.cells import DEFAULT_CELL_SECONDS
 from streamlens.operators.sampling import sample
 from streamlens.sinks.frames import attach_payload, name_frames, write_frames
@@ -24,5 +25,12 @@ def screenshots(
 
 
 def save_screenshots(frames: DataFrame, named: DataFrame, path: str, *payload: str) -> None:
-    """Write the named frames with their payload, which only they are read for."""
-    write_frames(attach_payload(named, frames, *payload), path)
+    """Write the named frames with their payload, which only they are read for.
+
+    Names are written to the shared folder first, as payload is fetched in two steps that both read them.
+    """
+    spark = named.sparkSession
+    names = fresh_path(spark, "named")
+    named.write.parquet(names)
+    written = spark.read.schema(named.schema).parquet(names)
+    write_frames(attach_payload(written, frames, *payload), path)

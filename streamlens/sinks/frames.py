@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from streamlens.checkpoints import fresh_path
 from streamlens.operators.cells import DEFAULT_CELL_SECONDS, number_rows, ticks_per_second
 
+# Marks by which payload is chosen before it is shuffled: at most a million words of 64 bits are broadcast.
+PAYLOAD_MARKS = 1 << 26
+
 
 def name_frames(
     df: DataFrame,
@@ -37,9 +40,37 @@ def write_frames(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.hint("rebalance", "stream_id").write.mode(mode).partitionBy("stream_id").parquet(path)
 
 
-def attach_payload(kept: DataFrame, frames: DataFrame, *payload: str) -> DataFrame:
-    """Payload columns of the kept frames only; sampling itself never reads them."""
-    return kept.join(frames.select("stream_id", "frame_id", *payload), ["stream_id", "frame_id"])
+def attach_payload(
+    kept: DataFrame, frames: DataFrame, *payload: str, marks: int = PAYLOAD_MARKS
+) -> DataFrame:
+    """Payload columns of the kept frames only; sampling itself never reads them.
+
+    Payload that no kept frame asks for is left out before it is shuffled, see ``marked``. ``kept``
+    is read twice and should be a written table where it is dear to make.
+    """
+    wanted = marked(kept, frames.select("stream_id", "frame_id", *payload), marks)
+    return kept.join(wanted, ["stream_id", "frame_id"])
+
+
+def marked(kept: DataFrame, frames: DataFrame, marks: int = PAYLOAD_MARKS) -> DataFrame:
+    """The frames that may be among ``kept``: all that are, and few others while marks are sparse.
+
+    Each kept frame sets one of ``marks`` bits by the hash of its key. The words of these bits, at most
+    ``marks / 64`` however many frames are kept, are broadcast and looked up where frames are read, so
+    frames are neither shuffled nor sorted for it. More kept frames than bits only let more frames through.
+    """
+    keys = ["stream_id", "frame_id"]
+    # equal keys of different types must have equal hashes
+    common = kept.select(*keys).unionByName(frames.select(*keys)).schema
+    place = F.pmod(F.xxhash64(*[F.col(k).cast(common[k].dataType) for k in keys]), F.lit(marks))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    words = (
+        kept.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("_bit"))
+        .groupBy("_word")
+        .agg(F.bit_or("_bit").alias("_bits"))
+    )
+    found = frames.withColumns({"_word": word, "_at": bit}).join(F.broadcast(words), "_word")
+    return found.filter(F.getbit("_bits", F.col("_at")) == 1).select(*frames.columns)
 
 
 def push_stream(

@@ -24,6 +24,7 @@ from streamlens.operators.gaps import READ_TIMEOUT_SECONDS
 from streamlens.operators.recording import SEGMENT_SECONDS, rescale_packets
 from streamlens.streaming.ordered import MICROS_COLUMN, OrderedProcessor
 from streamlens.streaming.processors import (
+    TASK_STATE,
     FirstSampler,
     IntervalSampler,
     LayoutState,
@@ -179,6 +180,16 @@ def stream_commands(
     return _in_order(commands, "stream_id", time, watermark, processor, schema)
 
 
+def task_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Whether each task runs now, from the state that ``stream_commands`` keeps in its ``checkpoint``.
+
+    The state of the last finished micro-batch is read, by as many tasks as it has partitions; the live
+    query itself goes on. Commands that still wait for their turn do not count yet.
+    """
+    state = spark.read.format("statestore").option("stateVarName", TASK_STATE).load(checkpoint)
+    return state.select("key.*", "value.active")
+
+
 def stream_layout(
     sdf: DataFrame,
     watermark: str = WATERMARK,

@@ -33,6 +33,8 @@ OUTCOMES = {
 }
 #: The action of the row that ends a task whose input ran out.
 ENDED = "end"
+#: The state that tells whether a task runs.
+TASK_STATE = "active"
 
 
 def _before(flags: np.ndarray, values: np.ndarray, first: Any) -> np.ndarray:
@@ -103,7 +105,7 @@ class TaskState(OrderedProcessor):
     order = ("event_id",)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.active = handle.getValueState("active", "active boolean")
+        self.active = handle.getValueState(TASK_STATE, "active boolean")
 
     def step(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         active = bool(self.active.exists() and self.active.get()[0])

@@ -94,3 +94,40 @@ def test_payload_is_not_part_of_sampling(large):
         F.col("id").cast("double").alias("t"), F.lit(b"x").alias("data"),
     )
     assert "data" not in plan_of(sample_interval(frames, 1)).split("Range")[0]
+
+
+def test_only_wanted_payload_is_shuffled(spark):
+    """Marks are looked up in the scan's own stage; what passes them is little more than what is kept."""
+    from streamlens.sinks.frames import attach_payload, marked
+
+    frames = spark.range(200_000).select(
+        (F.col("id") % 3).alias("stream_id"), F.col("id").alias("frame_id"),
+        F.repeat(F.lit("x"), 100).alias("data"),
+    )
+    kept = frames.filter("frame_id % 500 = 7").select(
+        F.col("stream_id").cast("int").alias("stream_id"), "frame_id", F.lit(1.5).alias("t")
+    )
+    passed = marked(kept, frames)
+    assert passed.join(kept, ["stream_id", "frame_id"], "left_semi").count() == 400
+    assert passed.count() < 420
+    crowded = marked(kept, frames, marks=256)
+    assert crowded.join(kept, ["stream_id", "frame_id"], "left_semi").count() == 400
+    got = attach_payload(kept, frames, "data")
+    assert sorted(r["frame_id"] for r in got.select("frame_id").collect()) == list(range(7, 200_000, 500))
+    assert got.columns == ["stream_id", "frame_id", "t", "data"]
+    assert attach_payload(kept.limit(0), frames, "data").isEmpty()
+
+
+def test_payload_meets_its_marks_before_any_shuffle(large):
+    from streamlens.sinks.frames import attach_payload
+
+    events = large.read.parquet(f"{SF}/events.parquet").select(
+        F.col("user_id").alias("stream_id"), F.col("event_id").alias("frame_id"), "props"
+    )
+    plan = plan_of(attach_payload(events.select("stream_id", "frame_id").filter("frame_id % 50 = 1"), events, "props"))
+    # the branch that carries the payload, from its shuffle down to its file
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "props" in line)
+    above = [line for line in lines[:scan]]
+    shuffle = max(i for i, line in enumerate(above) if "Exchange hashpartitioning(stream_id" in line)
+    assert any("BroadcastHashJoin" in line for line in above[shuffle:])
