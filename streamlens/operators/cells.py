@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamlens.checkpoints import fresh_path
 from streamlens.functions.media import micros
 
 CELL = "_cell"
@@ -72,7 +73,7 @@ def with_cell_width(df: DataFrame, name: str, width: int) -> DataFrame:
     and need no further shuffle. Any clock that orders a stream in the same way
     makes the same use of them. Rows without a time are in no cell and left out,
     which is said here so that rows and summaries have one plan to share; ``unplaced``
-    gives the rows that are left out, to be repaired or counted.
+    gives the rows that are left out and ``set_aside`` writes them, to be repaired or counted.
     """
     if CELL in df.columns:
         return df
@@ -85,6 +86,22 @@ def unplaced(df: DataFrame, stream: str = "stream_id", time: str = "ts") -> Data
     return df.filter(F.col(stream).isNull() | F.col(time).isNull())
 
 
+def set_aside(
+    df: DataFrame, path: str | None, stream: str = "stream_id", time: str = "ts"
+) -> DataFrame:
+    """The rows that have a place, once those that have none are written to ``path``.
+
+    Without a path such rows are an error, which names how many there are. Files that keep counts of
+    nulls answer that without being read.
+    """
+    lost = unplaced(df, stream, time)
+    if path is not None:
+        lost.write.parquet(path)
+    elif n := lost.count():
+        raise ValueError(f"{n} rows have no {stream} or {time}; name a folder to set them aside.")
+    return df.filter(F.col(stream).isNotNull() & F.col(time).isNotNull())
+
+
 def measure_cell_seconds(
     df: DataFrame,
     stream: str | None = "stream_id",
@@ -154,12 +171,36 @@ def carry(
     """Attach to each row what ``across`` computes over its stream's cell summaries.
 
     The summary is of ``rows``, or of ``summarised``: the same rows before joins
-    it does not need.
+    it does not need. Rows without a key are left out. Every other row meets exactly one
+    summary, so the join is an outer one, which Spark drops where nothing carried is used.
     """
-    source = rows if summarised is None else summarised
+    rows = _keyed(rows, keys)
+    source = rows if summarised is None else _keyed(summarised, keys)
     summary = source.groupBy(*keys, CELL).agg(*per_cell)
     carried = summary.select(*keys, CELL, *across(CellWindows.over(keys)))
-    return rows.join(carried, [*keys, CELL])
+    return rows.join(carried, [*keys, CELL], "left")
+
+
+def _keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    for key in keys:
+        rows = rows.filter(F.col(key).isNotNull())
+    return rows
+
+
+def kept_by_cell(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Write rows that are partitioned by their cells once, in buckets of key and cell, to be read again.
+
+    For rows that are dear to make and that several summaries are taken of: each of those then reads a few
+    columns of the table, and neither its rows nor theirs are shuffled again. The table lies in the
+    shared folder, so lost executors read it anew.
+    """
+    spark = rows.sparkSession
+    path = fresh_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.write.bucketBy(buckets, *keys, CELL).sortBy(*keys, CELL)
+    writer.option("path", path).saveAsTable(table, format="parquet")
+    return spark.table(table)
 
 
 def in_cell(keys: Sequence[str], *order: str | Column) -> WindowSpec:

@@ -48,7 +48,12 @@ def route_media(
     """
     video, audio = F.col("media") == "video", F.col("media") == "audio"
     index = F.col("stream_index") if "stream_index" in df.columns else F.lit(0)
-    rank = F.struct(*([time, "frame_id"] if by_time else []), index.alias("i"))
+    rank = F.struct(time, "frame_id", index.alias("i")) if by_time else index
+
+    def first(name: str, w: CellWindows) -> Column:
+        least = F.min(name).over(w.whole)
+        return least["i"] if by_time else least
+
     routed = carry(
         with_cell(df.filter(video | audio), time, cell_seconds),
         keys,
@@ -57,8 +62,8 @@ def route_media(
             F.min(F.when(audio, rank)).alias("_audio"),
         ],
         lambda w: [
-            F.min("_video").over(w.whole)["i"].alias("_video_index"),
-            F.min("_audio").over(w.whole)["i"].alias("_audio_index"),
+            first("_video", w).alias("_video_index"),
+            first("_audio", w).alias("_audio_index"),
         ],
     )
     chosen = F.when(video, index == F.col("_video_index")).otherwise(

@@ -238,18 +238,21 @@ def respond(
     body: str = "body",
     time: str = "ts",
     cell_seconds: int = DEFAULT_CELL_SECONDS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Code and message of each request, given the accepted ones before it: one answer each.
 
-    Requests that pass the checks become commands on their task key; a start of a
+    Columns ``keep`` of the requests go with their answers. Requests that pass the checks become commands on their task key; a start of a
     running task, or a stop or update of one that is not running, is refused.
     """
     judge, running, not_running = _RESPONSES[job]
     url, method = (
         (_b("output_url"), F.lit(MIX_METHOD)) if job == "mix" else (_b("stream_url"), _b("method"))
     )
-    verdicts = judge(df.select("req_id", time, body), body).select(
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(True)
+    verdicts = judge(df.select("req_id", time, body, kept.alias("_kept")), body).select(
         "req_id",
+        "_kept",
         # a request without a time comes before all others of its task
         F.coalesce(F.col(time), _earliest(df.schema[time].dataType)).alias(time),
         task_key(_known(url), _known(method)).alias("_task"),
@@ -267,6 +270,9 @@ def respond(
         "req_id",
         F.when(refused, INVALID_REQUEST).otherwise(F.col("code")).alias("code"),
         F.when(refused, text).otherwise(F.col("message")).alias("message"),
+        "_kept",
+    )
+    rejected = verdicts.filter(F.col("code") != SUCCESS).select("req_id", "code", "message", "_kept")
+    return answered.unionByName(rejected).select(
+        "req_id", "code", "message", *[F.col("_kept").getField(c).alias(c) for c in keep]
     )
-    rejected = verdicts.filter(F.col("code") != SUCCESS).select("req_id", "code", "message")
-    return answered.unionByName(rejected)

@@ -14,8 +14,10 @@ def accepted_requests(
     requests: DataFrame, time: str = "ts", cell_seconds: int = DEFAULT_CELL_SECONDS
 ) -> DataFrame:
     """The mix requests that start a task or update a running one; refused ones change nothing."""
-    answers = respond(requests, "mix", time=time, cell_seconds=cell_seconds)
-    return requests.join(answers.filter(F.col("code") == SUCCESS).select("req_id"), "req_id")
+    # one column, so that requests may have a code or a message of their own
+    whole = requests.select("req_id", time, "body", F.struct(*requests.columns).alias("_request"))
+    answers = respond(whole, "mix", time=time, cell_seconds=cell_seconds, keep=["_request"])
+    return answers.filter(F.col("code") == SUCCESS).select("_request.*")
 
 
 def layouts_of_requests(requests: DataFrame, body: str = "body") -> DataFrame:

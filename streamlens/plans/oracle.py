@@ -487,6 +487,22 @@ ORACLE["stream_packet_frames"] = ORACLE["packet_frames"]
 ORACLE["stream_task_states"] = f"""WITH {COMMANDS}
 SELECT stream_id, coalesce(arg_max(action, (ts, event_id)) FILTER (WHERE action <> 'update') = 'start', false) AS active
 FROM commands GROUP BY stream_id"""
+_SOUND = f"""WITH sound AS (SELECT * FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0), {
+    SESSIONS.replace("FROM events", "FROM sound")
+}, {FRAMES.replace("FROM events", "FROM sound")},
+inside AS (
+  SELECT s.stream_id, s.session_id, f.frame_id, f.media,
+         bool_or(f.media = 'video') OVER (PARTITION BY s.stream_id) AS shown
+  FROM frames f JOIN sessions s ON f.stream_id = s.stream_id
+   AND f.ts >= s.start_ts AND (s.stop_ts IS NULL OR f.ts < s.stop_ts)),
+lost AS (
+  SELECT CASE WHEN event_id % 13 <> 0 THEN user_id END AS stream_id, event_id, event_type
+  FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0)"""
+ORACLE["recording_of_damaged"] = f"""{_SOUND}
+SELECT 'mp4' AS part, stream_id, frame_id AS number, session_id FROM inside WHERE shown AND media <> 'data'
+UNION ALL SELECT 'unplaced/packets', stream_id, event_id, NULL FROM lost
+UNION ALL SELECT 'unplaced/commands', stream_id, event_id, NULL FROM lost
+WHERE event_type IN ('signup', 'error', 'purchase')"""
 ORACLE["sample_registered"] = f"""WITH {VIDEO},
 keyed AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY t, frame_id) AS nth FROM video WHERE is_key)
 SELECT stream_id, frame_id, t FROM keyed WHERE nth = 1"""

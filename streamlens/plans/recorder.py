@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamlens.functions.media import MICROS
-from streamlens.operators.cells import CELL, DEFAULT_CELL_SECONDS
+from streamlens.operators.cells import CELL, DEFAULT_CELL_SECONDS, kept_by_cell, set_aside
 from streamlens.operators.control import record_sessions, sessions_from_commands
 from streamlens.operators.recording import rescale_packets, route_media, with_time_base
 from streamlens.sinks.recorders import record
+from streamlens.sources.frames import to_frames
 
 
 def recorded_packets(
@@ -37,7 +38,8 @@ def recorded_packets(
     keys = ["stream_id"] if methods is None else ["stream_id", "method"]
     sessions = sessions_from_commands(commands, keys, cell_seconds=cell_seconds)
     rest = [c for c in frames.columns if c not in ("stream_id", "frame_id", "ts")]
-    packets = record_sessions(frames, sessions, rest, cell_seconds, True, methods)
+    inside = record_sessions(frames, sessions, rest, cell_seconds, True, methods)
+    packets = kept_by_cell(inside, ["stream_id"], "recorded")
     if per_recording:
         routed = route_media(packets, "ts", keys=("stream_id", "session_id"), by_time=True)
     else:
@@ -52,3 +54,18 @@ def recorded_packets(
 
 def save_recording(packets: DataFrame, method: str, path: str, **options) -> None:
     record(packets, method, path, **options)
+
+
+def record_inputs(
+    raw: DataFrame, commands: DataFrame, method: str, path: str, cell_seconds: int = DEFAULT_CELL_SECONDS, **params
+) -> None:
+    """Record raw packets as the commands say: the recordings, and beside them what has no place in any.
+
+    Packets and commands without a stream or a time are in ``unplaced/packets`` and ``unplaced/commands``.
+    """
+    placed = set_aside(raw, f"{path}/unplaced/packets")
+    told = set_aside(commands, f"{path}/unplaced/commands")
+    frames = to_frames(placed, cell_seconds=cell_seconds)
+    timed = frames if "dts" in frames.columns else frames.withColumn("dts", F.col("pts"))
+    packets = recorded_packets(timed, told, cell_seconds=cell_seconds, **params)
+    save_recording(packets, method, f"{path}/{method}")

@@ -300,6 +300,32 @@ def recording_task(spark, sf):
     return packets.select("stream_id", "session_id", "frame_id", "out_index", "pts", "dts")
 
 
+@query
+def recording_of_damaged(spark, sf):
+    """Recordings of packets and commands of which some lack their time or stream, with what was set aside."""
+    path = fresh_path(spark, "damaged")
+    events = ev.read_events(spark, sf)
+
+    def damaged(rows: DataFrame, number: str) -> DataFrame:
+        lost = {"ts": F.col(number) % 11 != 0, "stream_id": F.col(number) % 13 != 0}
+        return rows.withColumns({name: F.when(known, F.col(name)) for name, known in lost.items()})
+
+    raw, told = damaged(ev.raw_frames(events), "frame_id"), damaged(ev.commands(events), "event_id")
+    recorder.record_inputs(raw, told, "mp4", path, ev.cell_seconds(spark, sf))
+
+    def rows(part: str, number: str, session: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{part}").select(
+            F.lit(part).alias("part"),
+            F.col("stream_id").cast("bigint").alias("stream_id"),
+            F.col(number).alias("number"),
+            F.expr(session).alias("session_id"),
+        )
+
+    recorded = rows("mp4", "frame_id", "session_id")
+    aside = rows("unplaced/packets", "frame_id", "CAST(NULL AS BIGINT)")
+    return recorded.unionByName(aside).unionByName(rows("unplaced/commands", "event_id", "CAST(NULL AS BIGINT)"))
+
+
 @query
 def recording_rates(spark, sf):
     """Recordings of 25, 30 and 30000/1001 frames a second, each in the inverse of its rate."""

@@ -190,3 +190,14 @@ def test_clock_knows_no_time_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got == [(m - datetime(1970, 1, 1)) // timedelta(microseconds=1) for m in moments]
     assert [r[0] for r in back] == moments
+
+
+def test_rows_without_a_place_are_set_aside_or_refused(spark, tmp_path):
+    from streamlens.operators.cells import set_aside
+
+    df = spark.createDataFrame([(1, 5), (None, 6), (2, None)], "stream_id bigint, ts bigint")
+    with pytest.raises(ValueError, match="2 rows"):
+        set_aside(df, None)
+    assert [tuple(r) for r in set_aside(df, f"{tmp_path}/lost").collect()] == [(1, 5)]
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/lost").collect()} == {(None, 6), (2, None)}
+    assert set_aside(df.filter("ts = 5"), None).count() == 1

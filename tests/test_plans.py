@@ -96,6 +96,29 @@ def test_payload_is_not_part_of_sampling(large):
     assert "data" not in plan_of(sample_interval(frames, 1)).split("Range")[0]
 
 
+def counted(plan):
+    return plan.count("FileScan"), plan.count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize(
+    "name, scans, shuffles",
+    [("route_media", 2, 4), ("interleave", 4, 11), ("segment_manifest", 4, 15), ("recording_task", 2, 2),
+     ("recording_rates", 3, 6), ("recording_methods_task", 2, 3)],
+)
+def test_reads_and_shuffles(large, name, scans, shuffles):
+    """Recordings are written once by cell; choosing their streams and rates shuffles summaries only."""
+    reads, exchanges = counted(plan_of(all_queries()[name](large, SF)))
+    assert reads <= scans and exchanges <= shuffles
+
+
+def test_recorded_packets_are_not_shuffled_again(large):
+    """All rows come from buckets; what is shuffled has one row for each cell."""
+    plan = plan_of(all_queries()["recording_task"](large, SF))
+    assert plan.count("Bucketed: true") == 2
+    below = [part.split("+- ")[1] for part in plan.split("Exchange hashpartitioning")[1:]]
+    assert all("Aggregate" in part or "Project" in part for part in below)
+
+
 def test_only_wanted_payload_is_shuffled(spark):
     """Marks are looked up in the scan's own stage; what passes them is little more than what is kept."""
     from streamlens.sinks.frames import attach_payload, marked

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from streamlens.operators import requests as rq
 
@@ -158,3 +159,14 @@ def test_every_request_is_answered(spark):
         1: rq.SCREENSHOT_RUNNING, 2: rq.SCREENSHOT_STARTED, 3: rq.SCREENSHOT_NOT_RUNNING,
         4: rq.INVALID_JSON_TEXT, 5: rq.INVALID_JSON_TEXT,
     }
+
+
+def test_answers_carry_columns_along(spark):
+    df = spark.createDataFrame(
+        [(1, 1, '{"stream_url":"rtmp://a","method":"immediate","action":"start"}', "x"), (2, 2, "{", "y")],
+        "req_id bigint, ts bigint, body string, code string",
+    )
+    whole = df.select("*", F.struct("code", "req_id").alias("own"))
+    got = {(r["req_id"], r["code"], r["own"]["code"]) for r in rq.respond(whole, "screenshot", keep=["own"]).collect()}
+    assert got == {(1, 1000, "x"), (2, 2002, "y")}
+    assert rq.respond(df, "screenshot").columns == ["req_id", "code", "message"]
