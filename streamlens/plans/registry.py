@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from streamlens.checkpoints import fresh_path
 from streamlens.functions.media import (
@@ -526,17 +525,17 @@ def _in_parts(
     before others of the part before; the watermark given to the job allows for that. The job is started
     anew for each part and goes on from its checkpoint. The end is one far later row without a stream.
     """
+    staged = fresh_path(spark, "staged")
+    table.write.parquet(staged)
+    whole = spark.read.schema(table.schema).parquet(staged)
     at = live.event_micros(table, time)
-    low, high = table.agg(F.min(at), F.max(at)).first()
+    low, high = whole.agg(F.min(at), F.max(at)).first()
     late = (high - low) // LATE + 1
     comes = at - low + F.pmod(F.xxhash64(*table.columns), F.lit(late))
-    part = F.call_function("div", comes * PARTS, F.lit(high - low + late))
-    staged = fresh_path(spark, "staged")
-    table.withColumn("_part", part).write.partitionBy("_part").parquet(staged)
-    rows = spark.read.schema(StructType([*table.schema.fields, StructField("_part", LongType())])).parquet(staged)
+    rows = whole.withColumn("_part", F.call_function("div", comes * PARTS, F.lit(high - low + late)))
     kind = table.schema[time].dataType
     years = F.max(F.col(time)) + (400 * DAY if kind.simpleString() == "double" else F.expr("INTERVAL 400 DAYS"))
-    end = table.agg(years.cast(kind).alias(time))
+    end = whole.agg(years.cast(kind).alias(time))
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != time]
     path, out = (fresh_path(spark, n) for n in ("live", "drained"))
     state = state or fresh_path(spark, "state")

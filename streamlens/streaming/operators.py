@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from streamlens.functions.media import MICROS, micros, segment_file_name
 from streamlens.operators.gaps import READ_TIMEOUT_SECONDS
 from streamlens.operators.recording import SEGMENT_SECONDS, rescale_packets
-from streamlens.streaming.ordered import MICROS_COLUMN, OrderedProcessor
+from streamlens.streaming.ordered import GROUP_COLUMN, LAST, MICROS_COLUMN, NULLS, OrderedProcessor
 from streamlens.streaming.processors import (
     TASK_STATE,
     FirstSampler,
@@ -42,6 +42,8 @@ WATERMARK = "10 seconds"
 CLOCK_BEGINS = 365 * 86_400_000_000
 #: Seconds of event time that wait together in state.
 BUCKET = 10
+#: Into how many groups the keys of a live query are dealt; fixed when it first starts, and its tasks are no more.
+GROUPS = 128
 
 
 @contextmanager
@@ -106,14 +108,21 @@ def event_micros(df: DataFrame, time: str) -> Column:
 
 
 def _in_order(
-    sdf: DataFrame, key: str, time: str, watermark: str, processor: OrderedProcessor, schema: str | T.StructType
+    sdf: DataFrame, time: str, watermark: str, processor: OrderedProcessor, schema: str | T.StructType
 ) -> DataFrame:
-    """Rows by key in event-time order through a processor."""
+    """Rows by groups of keys in event-time order through a processor."""
+    key = processor.key
+    processor.key_type = sdf.schema[key].dataType.simpleString()
     timed = sdf.withColumn(MICROS_COLUMN, event_micros(sdf, time))
     marked = timed.withColumn(_EVENT, F.timestamp_micros(MICROS_COLUMN)).withWatermark(_EVENT, watermark)
     # The filter names the event time, which keeps it above the watermark: rows without a stream move it on.
     placed = marked.filter(F.when(F.col(_EVENT).isNotNull(), F.col(key).isNotNull()))
-    return placed.groupBy(key).transformWithStateInPandas(
+    numbers = [f.name for f in sdf.schema if isinstance(f.dataType, T.IntegralType) and f.name != key]
+    flags = {n + NULLS: F.col(n).isNull() for n in numbers}
+    whole = {n: F.coalesce(n, F.lit(0).cast(sdf.schema[n].dataType)) for n in numbers}
+    group = F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int")
+    dealt = placed.withColumns(flags).withColumns({**whole, GROUP_COLUMN: group})
+    return dealt.groupBy(GROUP_COLUMN).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime"
     )
 
@@ -144,7 +153,7 @@ def stream_sample_interval(
     cut = _first_of(frames, ["stream_id", "_second"], 1).drop("_second")
     schema = _typed(cut, "stream_id", "frame_id", "t")
     processor = IntervalSampler(interval, _ms(bucket_seconds), _ms(idle_seconds))
-    return _in_order(cut, "stream_id", time, watermark, processor, schema)
+    return _in_order(cut, time, watermark, processor, schema)
 
 
 def stream_sample_first(
@@ -160,7 +169,7 @@ def stream_sample_first(
     cut = frames if idle_seconds is not None else _first_of(frames, ["stream_id"], 1 + drain)
     schema = _typed(cut, "stream_id", "frame_id", "t")
     processor = FirstSampler(1 + drain, _ms(bucket_seconds), _ms(idle_seconds))
-    return _in_order(cut, "stream_id", time, watermark, processor, schema)
+    return _in_order(cut, time, watermark, processor, schema)
 
 
 def stream_commands(
@@ -177,7 +186,7 @@ def stream_commands(
     commands = sdf.select("stream_id", "event_id", "action", time)
     schema = f"{_typed(commands, 'stream_id', 'event_id')}, action string, outcome string"
     processor = TaskState(_ms(bucket_seconds), _ms(idle_seconds))
-    return _in_order(commands, "stream_id", time, watermark, processor, schema)
+    return _in_order(commands, time, watermark, processor, schema)
 
 
 def task_states(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -187,7 +196,7 @@ def task_states(spark: SparkSession, checkpoint: str) -> DataFrame:
     query itself goes on. Commands that still wait for their turn do not count yet.
     """
     state = spark.read.format("statestore").option("stateVarName", TASK_STATE).load(checkpoint)
-    return state.select("key.*", "value.active")
+    return state.select("list_element.*").drop(LAST)
 
 
 def stream_layout(
@@ -204,7 +213,7 @@ def stream_layout(
     updates = sdf.select(*dict.fromkeys(["task_id", "ver", "streams", time]))
     schema = f"{_typed(updates, 'task_id', 'ver')}, id string, change string"
     processor = LayoutState(_ms(bucket_seconds), _ms(idle_seconds))
-    return _in_order(updates, "task_id", time, watermark, processor, schema)
+    return _in_order(updates, time, watermark, processor, schema)
 
 
 def stream_recording(
@@ -235,7 +244,7 @@ def stream_recording(
     kept = ["stream_id", "frame_id", "pts", "dts"]
     schema = f"session_id bigint, out_index int, {_typed(rows, *kept)}"
     processor = Recorder(kept, _ms(bucket_seconds), _ms(idle_seconds))
-    routed = _in_order(rows.unionByName(switches), "stream_id", "ts", watermark, processor, schema)
+    routed = _in_order(rows.unionByName(switches), "ts", watermark, processor, schema)
     return rescale_packets(routed, *tbs).select("stream_id", "session_id", "frame_id", "out_index", "pts", "dts")
 
 
@@ -255,7 +264,7 @@ def stream_manifest(
     rows = sdf.select(*dict.fromkeys(["stream_id", "frame_id", "t", "is_key", time]))
     schema = f"{_typed(rows, 'stream_id')}, segment_no bigint, start_t double, end_t double, n bigint"
     processor = SegmentCutter(seconds, _ms(bucket_seconds), _ms(idle_seconds))
-    closed = _in_order(rows, "stream_id", time, watermark, processor, schema)
+    closed = _in_order(rows, time, watermark, processor, schema)
     return closed.select(
         "stream_id", "segment_no", segment_file_name(F.lit(base), "segment_no").alias("file_name"),
         "start_t", "end_t", (F.col("end_t") - F.col("start_t")).alias("duration"), "n",

@@ -135,6 +135,45 @@ def test_ended_tasks_are_closed_and_forgotten(spark, rows, late_folder, tmp_path
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 0
 
 
+def test_waiting_entries_are_bounded_by_groups(spark, tmp_path):
+    """However many streams a batch has, its rows wait in an entry for each group and bucket."""
+    rows = [(s, s, START, a) for s in range(3000) for a in ("start", "update")]
+    path = aged_files(spark, [rows], "stream_id bigint, event_id bigint, ts timestamp_ntz, action string", tmp_path / "many")
+    progress = []
+    sdf = live.stream_commands(read(spark, path), f"{LATE} seconds", bucket_seconds=100)
+    drain(spark, sdf, tmp_path, progress)
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in progress)
+    # an entry, its timer in two orders and the number of entries
+    assert 0 < held <= 4 * live.GROUPS < 3000
+
+
+def test_large_numbers_beside_nulls(spark, tmp_path):
+    """Numbers that no double holds stay as they are where others of the same streams are null."""
+    big = 2**53 + 1
+    kind = "stream_id bigint, event_id bigint, ts timestamp_ntz, action string"
+    first = [(1, big, START, "start"), (1, None, START, "update"), (2, big + 2, START, "stop")]
+    second = [(1, big + 4, START + timedelta(seconds=3), "stop")]
+    end = [(None, None, START + timedelta(days=9), None)]
+    path = aged_files(spark, [first, second, end], kind, tmp_path / "big")
+    sdf = live.stream_commands(read(spark, path), f"{LATE} seconds", bucket_seconds=7)
+    got = {tuple(r) for r in drain(spark, sdf, tmp_path).collect()}
+    assert got == {
+        (1, big, "start", "started"), (1, None, "update", "updated"),
+        (2, big + 2, "stop", "not_running"), (1, big + 4, "stop", "stopped"),
+    }
+
+
+def test_running_tasks_of_many_groups(spark, tmp_path):
+    kind = "stream_id string, event_id bigint, ts timestamp_ntz, action string"
+    rows = [(f"s{n}", n, START, "start" if n % 3 else "stop") for n in range(500)]
+    end = [(None, None, START + timedelta(days=9), None)]
+    path = aged_files(spark, [rows, end], kind, tmp_path / "tasks")
+    drain(spark, live.stream_commands(read(spark, path), f"{LATE} seconds"), tmp_path)
+    states = live.task_states(spark, str(tmp_path / "state"))
+    assert states.columns == ["stream_id", "active"]
+    assert {tuple(r) for r in states.collect()} == {(f"s{n}", n % 3 > 0) for n in range(500)}
+
+
 def test_live_playlist(spark, table, late_folder, tmp_path):
     live_rows = read(spark, late_folder)
     sdf = live.stream_manifest(live_rows, 20, "out", f"{LATE} seconds", bucket_seconds=7, idle_seconds=9000)
