@@ -110,7 +110,8 @@ class OrderedProcessor(StatefulProcessor):
         #: The event time of the last row released of each key, and what ``step`` keeps.
         schema = f"{self.key} {self.key_type}, {LAST} long, {self.columns_kept}"
         self.stored = handle.getListState(self.state_name, schema)
-        self.done: tuple | None = None
+        #: Groups whose rows are released, and up to where; timers of different groups alternate.
+        self.done: dict[Any, int] = {}
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -156,9 +157,9 @@ class OrderedProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         # all that the watermark has passed is here, also what this timer is not for
         now = timerValues.getCurrentWatermarkInMs()
-        if self.done == (key, now):
+        if self.done.get(key) == now:
             return
-        self.done = (key, now)
+        self.done[key] = now
         due: dict[int, list[tuple[int, int]]] = {}
         later = []
         for bucket, part in list(self.waiting.keys()):
