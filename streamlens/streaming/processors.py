@@ -49,6 +49,11 @@ def _before(runs: Runs, flags: np.ndarray, values: np.ndarray, first: np.ndarray
     )
 
 
+def _whole(value: Any) -> int | None:
+    """A whole number that came as a double where others beside it are null; the state store keeps no doubles for it."""
+    return None if value is None or value != value else int(value)
+
+
 class IntervalSampler(OrderedProcessor):
     """Remembers the whole second of the last kept frame."""
 
@@ -139,7 +144,7 @@ class LayoutState(OrderedProcessor):
             active = {} if first else {s[0]: tuple(s) for s in before[0]}
             for ver, streams in zip(vers[low:high], lists[low:high]):
                 # Of entries with the same id the last one counts.
-                new = {s["id"]: (s["id"], s["url"], *(s[g] for g in GEOMETRY)) for s in streams}
+                new = {s["id"]: (s["id"], s["url"], *(_whole(s[g]) for g in GEOMETRY)) for s in streams}
                 changes = {gone: "removed" for gone in active.keys() - new.keys()}
                 for name, entry in new.items():
                     if name not in active:

@@ -291,6 +291,22 @@ def test_late_layouts(spark, tmp_path, idle):
     same(got, want)
 
 
+def test_layouts_beside_nulls(spark, tmp_path):
+    """An entry without a geometry changes nothing for others of its batch, and is unchanged itself."""
+    kind = (
+        "task_id bigint, ver int, streams array<struct<id:string,url:string,width:int,"
+        "height:int,x:int,y:int,z:int>>"
+    )
+    entry = ("a", "rtmp://0", 101, 51, 4, 0, 1)
+    bare = ("b", "rtmp://0", None, None, None, 0, None)
+    rows = [(task, ver, [entry, bare] if task < 20 else [entry]) for ver in range(6) for task in range(40)]
+    pieces = [rows[:80], rows[80:160], rows[160:], [(None, 10_000, None)]]
+    path = aged_files(spark, pieces, kind, tmp_path / "updates")
+    sdf = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+    got = drain(spark, live.stream_layout(sdf, "1 second", bucket_seconds=1), tmp_path)
+    assert got.count() == 5 * 60 and got.filter("change <> 'unchanged'").isEmpty()
+
+
 def test_push_to_a_function(spark, folder, tmp_path):
     seen = []
     query = push_stream(
