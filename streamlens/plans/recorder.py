@@ -57,15 +57,22 @@ def save_recording(packets: DataFrame, method: str, path: str, **options) -> Non
 
 
 def record_inputs(
-    raw: DataFrame, commands: DataFrame, method: str, path: str, cell_seconds: int = DEFAULT_CELL_SECONDS, **params
+    raw: DataFrame,
+    commands: DataFrame,
+    method: str,
+    path: str,
+    cell_seconds: int = DEFAULT_CELL_SECONDS,
+    folders: int | None = None,
+    **params,
 ) -> None:
     """Record raw packets as the commands say: the recordings, and beside them what has no place in any.
 
     Packets and commands without a stream or a time are in ``unplaced/packets`` and ``unplaced/commands``.
+    Many inputs can share a number of ``folders``.
     """
     placed = set_aside(raw, f"{path}/unplaced/packets")
     told = set_aside(commands, f"{path}/unplaced/commands")
     frames = to_frames(placed, cell_seconds=cell_seconds)
     timed = frames if "dts" in frames.columns else frames.withColumn("dts", F.col("pts"))
     packets = recorded_packets(timed, told, cell_seconds=cell_seconds, **params)
-    save_recording(packets, method, f"{path}/{method}")
+    save_recording(packets, method, f"{path}/{method}", **({} if folders is None else {"folders": folders}))

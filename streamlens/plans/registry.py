@@ -19,7 +19,7 @@ from streamlens.operators.cells import measure_cell_seconds, number_rows
 from streamlens.plans import event_tables as ev
 from streamlens.plans import mixer, recorder, screenshot
 from streamlens.sinks.commits import commit_batches, read_committed
-from streamlens.sinks.frames import name_frames, push_stream
+from streamlens.sinks.frames import SHARED_FOLDERS, name_frames, push_stream
 from streamlens.sinks.recorders import record
 from streamlens.sources.frames import stream_durations, to_frames
 from streamlens.sources.packets import (
@@ -78,7 +78,7 @@ def written_frames(spark, sf):
     path = fresh_path(spark, "frames")
     kept = sampling.sample_interval(ev.video(spark, sf), DAY)
     frames = ev.raw_frames(ev.read_events(spark, sf))
-    screenshot.save_screenshots(frames, kept, path, "size")
+    screenshot.save_screenshots(frames, kept, path, "size", folders=SHARED_FOLDERS)
     return spark.read.parquet(path).select(
         F.col("stream_id").cast("bigint").alias("stream_id"), "frame_id", "t", "size"
     )
@@ -88,7 +88,7 @@ def written_frames(spark, sf):
 def written_recording(spark, sf):
     """Recordings written whole, and read back."""
     path = fresh_path(spark, "recording")
-    record(recording_task(spark, sf), "mp4", path)
+    record(recording_task(spark, sf), "mp4", path, folders=SHARED_FOLDERS)
     return spark.read.parquet(path).select(
         F.col("stream_id").cast("bigint").alias("stream_id"),
         "session_id", "frame_id", "out_index", "pts", "dts",
@@ -99,7 +99,7 @@ def written_recording(spark, sf):
 def written_segments(spark, sf):
     """Recordings written in segments; the playlist that lies beside them."""
     path = fresh_path(spark, "segments")
-    record(_routed(spark, sf), "hls", path, seconds=DAY)
+    record(_routed(spark, sf), "hls", path, seconds=DAY, folders=SHARED_FOLDERS)
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -310,7 +310,7 @@ def recording_of_damaged(spark, sf):
         return rows.withColumns({name: F.when(known, F.col(name)) for name, known in lost.items()})
 
     raw, told = damaged(ev.raw_frames(events), "frame_id"), damaged(ev.commands(events), "event_id")
-    recorder.record_inputs(raw, told, "mp4", path, ev.cell_seconds(spark, sf))
+    recorder.record_inputs(raw, told, "mp4", path, ev.cell_seconds(spark, sf), SHARED_FOLDERS)
 
     def rows(part: str, number: str, session: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{part}").select(

@@ -24,8 +24,10 @@ def screenshots(
     return name_frames(kept, dir, prefix, cell_seconds=cell_seconds)
 
 
-def save_screenshots(frames: DataFrame, named: DataFrame, path: str, *payload: str) -> None:
-    """Write the named frames with their payload, which only they are read for.
+def save_screenshots(
+    frames: DataFrame, named: DataFrame, path: str, *payload: str, folders: int | None = None
+) -> None:
+    """Write the named frames with their payload, which only they are read for, by stream or into shared ``folders``.
 
     Names are written to the shared folder first, as payload is fetched in two steps that both read them.
     """
@@ -33,4 +35,4 @@ def save_screenshots(frames: DataFrame, named: DataFrame, path: str, *payload: s
     names = fresh_path(spark, "named")
     named.write.parquet(names)
     written = spark.read.schema(named.schema).parquet(names)
-    write_frames(attach_payload(written, frames, *payload), path)
+    write_frames(attach_payload(written, frames, *payload), path, folders=folders)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +13,10 @@ from streamlens.operators.cells import DEFAULT_CELL_SECONDS, number_rows, ticks_
 
 # Marks by which payload is chosen before it is shuffled: at most a million words of 64 bits are broadcast.
 PAYLOAD_MARKS = 1 << 26
+#: The column that names the folder of inputs that share one.
+FOLDER = "folder"
+#: Folders for tables of very many inputs.
+SHARED_FOLDERS = 64
 
 
 def name_frames(
@@ -31,13 +35,42 @@ def name_frames(
     return numbered.select("stream_id", "frame_id", "frame_no", path.alias("path"), *rest)
 
 
-def write_frames(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def folder_of(df: DataFrame, folders: int | None) -> tuple[str, DataFrame]:
+    """The column that names each row's folder, and the rows with it.
+
+    Without a number it is the input itself. A folder costs a store several calls when it is written,
+    and again when it is listed and read, so many inputs are dealt to so many ``folders`` by a hash of their id, which
+    is then a column of the files. ``rows_of_stream`` reads an input's rows from its folder alone.
+    """
+    if folders is None:
+        return "stream_id", df
+    name, taken = FOLDER, {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name, df.withColumn(name, _dealt(F.col("stream_id"), folders))
+
+
+def _dealt(stream: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(stream.cast("string")), F.lit(folders)).cast("int")
+
+
+def rows_of_stream(spark: SparkSession, path: str, stream: int | str, folders: int) -> DataFrame:
+    """What was written of one input into shared ``folders``; the others are not read."""
+    written = spark.read.parquet(path)
+    # the folder is the last column
+    name = written.columns[-1]
+    here = (F.col(name) == _dealt(F.lit(stream), folders)) & (F.col("stream_id") == F.lit(stream))
+    return written.filter(here).drop(name)
+
+
+def write_frames(df: DataFrame, path: str, mode: str = "errorifexists", folders: int | None = None) -> None:
     """Write kept frames, payload included, into one folder per stream.
 
     Rebalancing brings a stream's frames together, to write few files, and splits
-    a stream that is too large for one task.
+    a stream that is too large for one task. Many streams can share a number of ``folders``, see ``folder_of``.
     """
-    df.hint("rebalance", "stream_id").write.mode(mode).partitionBy("stream_id").parquet(path)
+    name, dealt = folder_of(df, folders)
+    dealt.hint("rebalance", name).write.mode(mode).partitionBy(name).parquet(path)
 
 
 def attach_payload(

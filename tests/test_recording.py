@@ -9,6 +9,7 @@ import naive
 from streamlens.functions import media
 from streamlens.operators import recording
 from streamlens.sinks import recorders
+from streamlens.sinks.frames import rows_of_stream
 from streamlens.sources.packets import PACKET_SCHEMA, media_files, probe_streams, read_packets
 
 PACKET = "stream_id bigint, frame_id bigint, stream_index int, media string, t double"
@@ -233,6 +234,32 @@ def test_single_recordings_are_in_order(spark, frames, packets, tmp_path):
         recorders.record(df, "avi", f"{tmp_path}/none")
 
 
+@pytest.mark.parametrize("method, part", [("mp4", ""), ("hls", "/segments")])
+def test_many_inputs_share_folders(spark, tmp_path, method, part):
+    """Folders are as many as asked for, not as many as inputs; an input's packets lie together there, in order."""
+    df = spark.range(600).selectExpr(
+        "id % 200 as stream_id", "id as frame_id", "cast(id * 7 % 600 as double) as t",
+        "cast(id % 2 as int) as out_index", "id % 3 = 0 as is_key", "id * 7 % 600 as dts",
+    )
+    recorders.record(df, method, f"{tmp_path}/out", folders=4)
+    folders = list((tmp_path / f"out{part}").glob("folder=*"))
+    assert 1 < len(folders) <= 4
+    placed = []
+    for folder in folders:
+        rows = [r for p in sorted(folder.glob("*.parquet")) for r in spark.read.parquet(str(p)).collect()]
+        changes = [r["stream_id"] for k, r in enumerate(rows) if not k or rows[k - 1]["stream_id"] != r["stream_id"]]
+        assert len(changes) == len(set(changes))
+        for k in range(1, len(rows)):
+            if rows[k]["stream_id"] == rows[k - 1]["stream_id"]:
+                assert rows[k]["dts"] > rows[k - 1]["dts"]
+        placed += [(r["stream_id"], r["frame_id"]) for r in rows]
+    assert sorted(placed) == sorted((n % 200, n) for n in range(600))
+    one = rows_of_stream(spark, f"{tmp_path}/out{part}", 17, 4)
+    assert sorted(r["frame_id"] for r in one.collect()) == [17, 217, 417]
+    assert len({r["f"] for r in one.selectExpr("input_file_name() as f").collect()}) == 1
+    assert "folder" not in one.columns
+
+
 def test_packet_tables(spark, tmp_path):
     rows = [(1, 1, 0, "video", True, 0, 0, 4, 2, b"ab"), (1, 2, 1, "audio", None, 5, 5, None, None, b"c")]
     spark.createDataFrame(rows, PACKET_SCHEMA).write.parquet(f"{tmp_path}/packets")
