@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamlens.llm.tokens import encoder_of, id_lists, slices, vocabulary_path
+from streamlens.llm.tokens import encoder_of, id_lists, parts, vocabulary_path
 
 LENGTH = 2048
 GRAIN = 512
@@ -123,27 +123,26 @@ def pack(
             lists = id_lists(np.concatenate(out[6]), np.concatenate(([0], np.cumsum(out[2]))))
             return pa.RecordBatch.from_arrays([*columns, lists], names=names)
 
-        for whole in batches:
-            for batch in slices(whole):
-                full = []
-                ids, begins = encoder.flat(batch.column("text").to_pylist(), end)
-                for doc, a, b in zip(batch.column("doc_id").to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                    n = b - a
-                    for at, size in cut(n, length, grain):
-                        piece = ids[a + at : a + at + size]
-                        if size == length:
-                            full.append((doc, at, piece, n))
-                            continue
-                        first = min(size, room - held)
-                        group.append((doc, at, piece[:first], n))
-                        held += first
-                        if held == room:
-                            yield rows(group, windows_of([len(p[2]) for p in group], length))
-                            group, held = [], 0
-                            if first < size:
-                                group, held = [(doc, at + first, piece[first:], n)], size - first
-                if full:
-                    yield rows(full, [[k] for k in range(len(full))])
+        for batch in parts(batches):
+            full = []
+            ids, begins = encoder.flat(batch.column("text").to_pylist(), end)
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                n = b - a
+                for at, size in cut(n, length, grain):
+                    piece = ids[a + at : a + at + size]
+                    if size == length:
+                        full.append((doc, at, piece, n))
+                        continue
+                    first = min(size, room - held)
+                    group.append((doc, at, piece[:first], n))
+                    held += first
+                    if held == room:
+                        yield rows(group, windows_of([len(p[2]) for p in group], length))
+                        group, held = [], 0
+                        if first < size:
+                            group, held = [(doc, at + first, piece[first:], n)], size - first
+            if full:
+                yield rows(full, [[k] for k in range(len(full))])
         if group:
             yield rows(group, windows_of([len(p[2]) for p in group], length))
 

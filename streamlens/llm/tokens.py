@@ -20,6 +20,7 @@ table. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -244,6 +245,25 @@ def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def give_back() -> None:
+    """Return freed memory to the machine.
+
+    Arrow and the C library keep it for later, and a worker that has nothing to do goes on holding it beside the next
+    stage of its executor.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices of all batches. What was freed meanwhile is given back after each batch."""
+    for whole in batches:
+        yield from slices(whole)
+        give_back()
+
+
 TOKEN_SCHEMA = "doc_id long, file int, place long, n_tokens long, ids array<int>"
 
 
@@ -262,20 +282,19 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file, place = encoder_of(vocabulary, special_as_text), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for batch in slices(whole):
-                ids, at = encoder.flat(batch.column("text").to_pylist(), end)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(np.full(batch.num_rows, file, np.int32)),
-                        pa.array(place + at[:-1]),
-                        pa.array(np.diff(at)),
-                        id_lists(ids, at),
-                    ],
-                    names=["doc_id", "file", "place", "n_tokens", "ids"],
-                )
-                place += len(ids)
+        for batch in parts(batches):
+            ids, at = encoder.flat(batch.column("text").to_pylist(), end)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(np.full(batch.num_rows, file, np.int32)),
+                    pa.array(place + at[:-1]),
+                    pa.array(np.diff(at)),
+                    id_lists(ids, at),
+                ],
+                names=["doc_id", "file", "place", "n_tokens", "ids"],
+            )
+            place += len(ids)
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")

@@ -3,7 +3,10 @@ columns with clashing names."""
 
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from llm_tables import TEXTS, edge_documents, no_documents, tokenizer
@@ -17,6 +20,9 @@ from streamlens.llm import (
 )
 
 
+ROOT = Path(__file__).resolve().parents[2]
+
+
 def counted(rows):
     return Counter(tuple(r) for r in rows)
 
@@ -666,3 +672,33 @@ def test_pipeline_on_edges(spark, docs, tmp_path):
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= {26, 27}
+
+
+def test_worker_gives_freed_memory_back():
+    """What batches needed is not held beside the next stage of the executor."""
+    code = """
+import pyarrow as pa
+from streamlens.llm import tokens
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 >> 20
+
+def batches():
+    for k in range(6):
+        rows = [f"{k} {n} " * 150 for n in range(20_000)]
+        yield pa.RecordBatch.from_pydict({"doc_id": range(20_000), "text": rows})
+
+before, held = resident(), []
+for batch in tokens.parts(batches()):
+    held.append(batch.column("text").to_pylist())
+    held.append(pa.array([t * 3 for t in held.pop()]))
+    if len(held) == 25:
+        held.clear()
+held.clear()
+del batch
+tokens.give_back()
+print(resident() - before)
+"""
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT, timeout=120)
+    assert int(made.stdout) < 60
